@@ -1,0 +1,4 @@
+"""Registered telemetry queries and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
