@@ -40,8 +40,8 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
 
 
-def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
-    """(doc_id, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines,
+def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, `keep` columns, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines,
     n_repeat_words): one row per document. A null text counts as empty. Words that lie
     in an 8-word window found twice or more in their text are counted in place: the
     windows' hashes are sorted with their positions only where any hash repeats."""
@@ -50,7 +50,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
     lines = F.filter(F.split(F.translate(text, "\t\x0b\x0c\r ", ""), "\n"), lambda x: x != "")
     exact = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(_BLANKS)) != "")
     first = docs.select(
-        F.col(id_col).alias("doc_id"), stratum.alias("stratum"), words(text).alias("words"),
+        F.col(id_col).alias("doc_id"), *keep, stratum.alias("stratum"), words(text).alias("words"),
         F.length(F.translate(text, _BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         F.size(lines).cast("long").alias("n_lines"),
@@ -58,7 +58,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
     )
     n = F.size("words")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    base = ["doc_id", "stratum", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
+    base = ["doc_id", *keep, "stratum", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     hashed = first.select(*base, n.cast("long").alias("n_words"), windows.alias("h"))
     pairs = F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     ordered = hashed.select(*base, "n_words", pairs.alias("s"))
@@ -123,11 +123,11 @@ def cutoffs(rows: DataFrame, labels: DataFrame, rules: dict[str, list[float]] =
     return best
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", **settings) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", keep: tuple[str, ...] = (), **settings) -> DataFrame:
     """The figures of every document with base_failed, rejected_by (rules, sorted as in
     RULES) and kept. Rows are kept apart even where ids repeat; a null stratum is a
     stratum of its own; an empty table, or one without labels, has base checks only."""
-    rows = materialize(figures(docs, id_col, text_col, stratum_col), "quality")
+    rows = materialize(figures(docs, id_col, text_col, stratum_col, keep), "quality")
     rules = settings.get("rules", RULES)
     found = materialize(cutoffs(rows, labels, **settings), "quality-cutoffs").withColumnRenamed("stratum", "of")
     small = found.count() <= BROADCAST_STRATA

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import quality, simhash, substring
+from gaugeworks.llm import packing, quality, secrets, simhash, substring
 from gaugeworks.llm.shared import reach_workers
 
 
@@ -25,10 +25,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.spans(_documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    base = F.sha2(listed(F.filter("spans", lambda x: x["kind"] != "owned")), 256).alias("base_sha256")
+    examples = F.size(F.filter("spans", lambda x: x["verdict"] == "example")).cast("long").alias("n_examples")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), base, listed("spans").alias("spans"), examples)
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return substring.digests(docs, substring.factors(docs))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op8_substring": op8_substring}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op4_secrets": op4_secrets, "op8_substring": op8_substring, "op9_packing": op9_packing}
 ORACLES: dict[str, str] = {}

@@ -51,16 +51,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per document, fp the signed 64-bit fingerprint. Null and
-    word-less texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, `keep` columns, fp): one row per document, fp the signed 64-bit
+    fingerprint. Null and word-less texts have fingerprint 0."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).cast("string").alias("__text"))
+    names = ["doc_id", *keep]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "fp long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        for b in slices(batches, "__text"):
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column("__text")], np.uint64)
+            yield pa.record_batch([*[b.column(c) for c in names], pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, schema)
 
 
 def block_masks(budget: int, fixed: int = 0) -> list[int]:
@@ -193,17 +196,17 @@ def links(fps: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS)
     return ready[0].repartition(n, "mask", "bits").select("fp", "mask").mapInArrow(run, "u long, v long")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of `docs`: component_id is the smallest
-    id (nulls apart) of the documents that links of at most `budget` bits reach, the row
-    itself included. Rows that share an id and a text have equal results; an empty table
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, `keep` columns, fp, component_id, root) for every row of `docs`:
+    component_id is the smallest id (nulls apart) of the documents that links of at most
+    `budget` bits reach, the row itself included; root names the component. Rows that share an id and a text have equal results; an empty table
     gives no rows; other columns are not read."""
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle, keep), "simhash")
     least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     joined = materialize(components(links(least, budget), "simhash-classes"), "simhash-nodes")
     roots = least.join(joined, least.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     of_root = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(roots.join(of_root, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(roots.join(of_root, "root").select("fp", "component_id", "root"), "fp").select("doc_id", *keep, "fp", "component_id", "root")
 
 
 def hex_fingerprint(fp: str = "fp"):
