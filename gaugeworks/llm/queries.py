@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import packing, quality, secrets, simhash, substring
+from gaugeworks.llm import packing, quality, secrets, simhash, substring, winnow
 from gaugeworks.llm.shared import reach_workers
 
 
@@ -25,6 +25,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnow.edits(_documents(spark, sf_dir))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnow.written("fp").alias("fingerprint"), winnow.written("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.spans(_documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -43,5 +48,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op4_secrets": op4_secrets, "op8_substring": op8_substring, "op9_packing": op9_packing}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_fingerprints": op3_fingerprints, "op4_secrets": op4_secrets, "op8_substring": op8_substring, "op9_packing": op9_packing}
 ORACLES: dict[str, str] = {}
