@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import packing, quality, secrets, simhash, substring, winnow
+from gaugeworks.llm import archives, packing, quality, secrets, simhash, substring, winnow
 from gaugeworks.llm.shared import reach_workers
 
 
@@ -39,6 +39,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), base, listed("spans").alias("spans"), examples)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reach_workers(spark)
+    manifest = archives.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return archives.read(manifest).drop("payload", "url")
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return substring.digests(docs, substring.factors(docs))
@@ -48,5 +54,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_fingerprints": op3_fingerprints, "op4_secrets": op4_secrets, "op8_substring": op8_substring, "op9_packing": op9_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_fingerprints": op3_fingerprints, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op8_substring": op8_substring, "op9_packing": op9_packing}
+ORACLES = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+             g AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 1000""",
+}
