@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import archives, packing, quality, secrets, simhash, substring, winnow
+from gaugeworks.llm import archives, interpolation, licenses, packing, pieces, quality, secrets, simhash, substring, winnow
 from gaugeworks.llm.shared import reach_workers
 
 
@@ -45,6 +45,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.read(manifest).drop("payload", "url")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(_documents(spark, sf_dir))
+
+
+def op7_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.scores(_documents(spark, sf_dir))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return substring.digests(docs, substring.factors(docs))
@@ -54,7 +62,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_fingerprints": op3_fingerprints, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op8_substring": op8_substring, "op9_packing": op9_packing}
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(_documents(spark, sf_dir), with_ids=False)
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_fingerprints": op3_fingerprints, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_interpolation": op7_interpolation, "op8_substring": op8_substring, "op9_packing": op9_packing, "op10_pieces": op10_pieces}
 ORACLES = {
     "op5_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
