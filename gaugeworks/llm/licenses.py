@@ -102,7 +102,7 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> l
         for d in range(width):
             up = last[d + 1]
             left = now[d - 1] if d else 0
-            most = up if up > left else left
+            most = max(up, left, last[d])
             if row[d] and last[d] + 1 > most:
                 most = last[d] + 1
             now[d] = most
@@ -113,6 +113,8 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> l
             d -= 1
         elif best[i][d] == best[i - 1][d + 1]:
             i, d = i - 1, d + 1
+        elif best[i][d] == best[i - 1][d]:
+            i -= 1
         else:
             pairs.append((i - 1, i - 1 + diagonal - band + d))
             i -= 1

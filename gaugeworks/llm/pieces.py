@@ -6,9 +6,10 @@ are sorted, which walks their trie depth first: the best scores of all prefixes
 last word are on a stack, those of the prefix that the next word shares are kept, and
 only its further characters are scored. Characters without a piece become byte pieces.
 
-The segmentation is the one of highest total score. The public model was trained by
-merges and its scores are merge ranks, so the library's own merge order can give other
-ids for the same words; with the model's type set to unigram it gives these.
+The segmentation is the one of highest total score, of equals the one whose last piece
+is longest. The public model was trained by
+merges and its scores are merge ranks, so applying the merges in order, as its own
+library does, gives other ids for many words; decoding is the same.
 """
 
 from __future__ import annotations
@@ -63,6 +64,7 @@ class Pieces:
     def learn(self, words: Iterable[str]) -> None:
         """Segments the words in sorted order, each from where it leaves the one before."""
         score, lengths, unknown = self.score, self.lengths, self.unknown
+        lowest = float("-inf")
         best, back, last = [0.0], [(0, -1)], ""
         for word in sorted(words):
             shared, most = 0, min(len(word), len(last))
@@ -70,13 +72,15 @@ class Pieces:
                 shared += 1
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                alone = score.get(word[end - 1])
-                top, place = (best[end - 1] + unknown, (end - 1, -1)) if alone is None else (best[end - 1] + alone[0], (end - 1, alone[1]))
+                top, place = lowest, (end - 1, -1)
                 for n in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
                     if n <= end:
                         found = score.get(word[end - n : end])
                         if found is not None and best[end - n] + found[0] > top:
                             top, place = best[end - n] + found[0], (end - n, found[1])
+                alone, piece = score.get(word[end - 1], (unknown, -1))
+                if best[end - 1] + alone > top:
+                    top, place = best[end - 1] + alone, (end - 1, piece)
                 best.append(top)
                 back.append(place)
             ids, end = [], len(word)

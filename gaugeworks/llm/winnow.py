@@ -80,7 +80,8 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], rows: int = 1_00
     parts = max(1, min(10_000, docs.count() // rows))
     found = docs.select(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
     cuts = sorted(set(found or []))
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col(id_col))), F.lit(len(cuts) + 1)) if cuts else F.isnull(id_col).cast("int")
+    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col(id_col))) if cuts else F.lit(0)
+    part = F.when(F.isnull(id_col), len(cuts) + 1).otherwise(above)
     dealt = docs.withColumn("__part", part).withColumn("__copy", F.lit(False))
     heads = sorted(dealt.groupBy("__part").agg(F.max(id_col)).collect())
     before = [(head[1], heads[i - 1][0]) for i, head in enumerate(heads)]
