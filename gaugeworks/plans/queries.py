@@ -1,4 +1,521 @@
-"""Registered telemetry queries and their SQL."""
+"""Registered telemetry queries over the driver's tables, and their SQL for DuckDB.
 
+`now` is the newest fact's time; the window is a day and buckets are hours, as the test
+tables hold a few hundred events a day."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeworks.functions import scalars
+from gaugeworks.operators import authority, bounded, counters, filters, health, metrics, performance, rollups, trends
+from gaugeworks.plans.facts_sql import CHOSEN, DAY, FACTS, HOUR, PERFORMANCE
+from gaugeworks.schema import TOKEN_PARTS
+from gaugeworks.sources.events import performance_facts, usage_facts
+
+WINDOW_S, WIDTH_S, LIMIT = 86_400, 3_600, 3_000
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None, *ctes: str):
+    """Registers a query with its SQL, which may use the CTEs given (facts by default)."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH {', '.join(ctes or (FACTS,))} {sql}" if ctes != ("",) else sql
+        return f
+
+    return register
+
+
+def _now(facts: DataFrame) -> int:
+    return facts.agg(F.max("observed_us")).first()[0] or 0
+
+
+def _window(facts: DataFrame, chosen: bool = False) -> DataFrame:
+    """The last window up to the newest fact, of all facts or of those that authority picks."""
+    inside = filters.in_closed_window(_now(facts), WINDOW_S)
+    return (authority.select_authoritative(facts) if chosen else facts).where(inside)
+
+
+IN_DAY = f"observed_us BETWEEN (SELECT now FROM clock) - {DAY} AND (SELECT now FROM clock)"
+QUALITY = "CASE WHEN count(*) = 0 THEN 'unavailable' WHEN bool_or(quality = 'estimated') THEN 'estimated' WHEN bool_or(quality = 'unavailable') THEN 'unavailable' ELSE 'derived' END"
+AUTHORITY = "CASE WHEN min(authority) = max(authority) THEN min(authority) WHEN count(authority) > 0 THEN 'mixed' END"
+THROUGHPUT = f"""sum(output_tokens)::BIGINT AS output_tokens, count(DISTINCT (agent, session_id)) AS sessions, count(*) AS facts,
+    sum(output_tokens)::DOUBLE / 86400.0::DOUBLE AS tokens_per_s, sum(output_tokens)::DOUBLE / 86400.0::DOUBLE / count(DISTINCT (agent, session_id)) AS per_session,
+    {QUALITY} AS quality, {AUTHORITY} AS authority, CASE WHEN min(quality) <> max(quality) OR bool_or(quality = 'unavailable') THEN 'partial' ELSE 'complete' END AS coverage"""
+
+
+@query(f"SELECT model_raw, {THROUGHPUT} FROM f WHERE {IN_DAY} GROUP BY model_raw")
+def throughput_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.throughput(_window(usage_facts(spark, sf_dir)), WINDOW_S, ("model_raw",))
+
+
+@query(f"SELECT {THROUGHPUT} FROM sel AS f WHERE {IN_DAY}", FACTS, CHOSEN)
+def throughput_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.throughput(_window(usage_facts(spark, sf_dir), chosen=True), WINDOW_S)
+
+
+def _parts_sql(capable: str = "burn_total IS NOT NULL") -> str:
+    return ", ".join(f"CASE WHEN count(*) FILTER ({capable} AND {p} IS NULL) = 0 THEN (sum({p}) FILTER ({capable}))::BIGINT END AS {p}" for p in TOKEN_PARTS)
+
+
+BURN = f"""count(*) AS facts, count(burn_total) AS capable, sum(burn_total)::BIGINT AS burn_total, sum(burn_total)::DOUBLE / 86400.0::DOUBLE * 60.0::DOUBLE AS tokens_per_min, {_parts_sql()}"""
+WHOLE = " AND ".join(f"{p} IS NOT NULL" for p in TOKEN_PARTS)
+
+
+@query(f"SELECT *, CASE WHEN facts = capable AND {WHOLE} THEN 'complete' ELSE 'partial' END AS coverage FROM (SELECT {BURN} FROM sel AS f WHERE {IN_DAY})", FACTS, CHOSEN)
+def token_burn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.burn(_window(usage_facts(spark, sf_dir), chosen=True), WINDOW_S)
+
+
+@query(f"SELECT *, CASE WHEN facts = capable AND {WHOLE} THEN 'complete' ELSE 'partial' END AS coverage FROM (SELECT session_id, {BURN} FROM f WHERE {IN_DAY} GROUP BY session_id)")
+def token_burn_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.burn(_window(usage_facts(spark, sf_dir)), WINDOW_S, ("session_id",))
+
+
+CALLS = "count(DISTINCT CASE WHEN call_id <> '' THEN (agent, call_id) END)"
+
+
+@query(f"SELECT model_raw, {CALLS} AS calls, {CALLS}::DOUBLE / 86400.0::DOUBLE * 60.0::DOUBLE AS calls_per_min, CASE WHEN bool_and(call_id IS NOT NULL AND call_id <> '') THEN 'complete' ELSE 'partial' END AS coverage FROM f WHERE {IN_DAY} GROUP BY model_raw")
+def calls_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.calls(_window(usage_facts(spark, sf_dir)), WINDOW_S, ("model_raw",))
+
+
+@query("SELECT agent, model_raw, count(*) AS facts, sum(output_tokens)::BIGINT AS output_tokens FROM f WHERE agent = 'agent-a' AND model_raw IN ('m1', 'm2') GROUP BY ALL")
+def filter_agent_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = filters.MetricFilter(frozenset({"agent-a"}), frozenset({"m1", "m2"}))
+    return chosen.apply(usage_facts(spark, sf_dir)).groupBy("agent", "model_raw").agg(F.count(F.lit(1)).alias("facts"), F.sum("output_tokens").alias("output_tokens"))
+
+
+@query("SELECT id, agent, call_id, authority, output_tokens FROM sel", FACTS, CHOSEN)
+def authority_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return authority.select_authoritative(usage_facts(spark, sf_dir)).select("id", "agent", "call_id", "authority", "output_tokens")
+
+
+@query("SELECT t.agent, t.call_id, t.range_start_us, t.id, conflict, n AS facts FROM t JOIN (SELECT agent, call_id, range_start_us, count(*) AS n FROM k GROUP BY ALL) AS c USING (agent, call_id, range_start_us)", FACTS, CHOSEN)
+def authority_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return authority.cohorts(usage_facts(spark, sf_dir)).select("agent", "call_id", "range_start_us", "id", "conflict", "facts")
+
+
+@query("""SELECT a.id, (SELECT min(b.id) FROM f AS b WHERE b.tier = 'enhanced' AND a.tier = 'fallback' AND b.call_id = a.call_id AND b.agent = a.agent
+    AND b.granularity = a.granularity AND b.range_start_us = a.range_start_us AND b.range_end_us = a.range_end_us) AS superseded_by FROM f AS a""")
+def superseded_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return authority.mark_superseded(usage_facts(spark, sf_dir)).select("id", "superseded_by")
+
+
+@query("""SELECT source_id, model_raw, CASE WHEN bool_or(quality = 'estimated') THEN 'estimated' WHEN bool_or(quality = 'unavailable') THEN 'unavailable' WHEN bool_or(quality = 'derived') THEN 'derived' ELSE 'measured' END AS quality,
+    min(quality) <> max(quality) AS mixed FROM f GROUP BY source_id, model_raw""")
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage_facts(spark, sf_dir).groupBy("source_id", "model_raw").agg(metrics.combined_quality().alias("quality"), metrics.mixed_quality().alias("mixed"))
+
+
+@query(f"SELECT session_id, channel, {AUTHORITY} AS authority FROM f GROUP BY session_id, channel")
+def authority_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage_facts(spark, sf_dir).groupBy("session_id", "channel").agg(metrics.combined_authority().alias("authority"))
+
+
+@query(f"""SELECT *, CASE WHEN facts = 0 THEN 'absent' WHEN output_tokens = 0 THEN 'zero' END AS state FROM (SELECT session_id, range_start_us, count(*) AS facts, sum(output_tokens)::BIGINT AS output_tokens,
+    {_parts_sql("true").replace("true AND ", "").replace(" FILTER (true)", "")} FROM f GROUP BY session_id, range_start_us)""")
+def coverage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = usage_facts(spark, sf_dir).groupBy("session_id", "range_start_us").agg(F.count(F.lit(1)).alias("facts"), F.sum("output_tokens").alias("output_tokens"), *[metrics.all_or_null_sum(p).alias(p) for p in TOKEN_PARTS])
+    return sums.withColumn("state", metrics.data_state(F.lit(False), F.col("output_tokens"), F.col("facts")))
+
+
+@query("SELECT source_id, session_id, max(observed_us) AS newest_us, greatest(0.0::DOUBLE, ((SELECT now FROM clock) - max(observed_us)) / 1000000.0::DOUBLE) AS age_s FROM f GROUP BY ALL")
+def freshness_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir)
+    return metrics.freshness(facts, _now(facts), ("source_id", "session_id"))
+
+
+@query(f"""SELECT id, observed_us, true AS retained FROM f WHERE observed_us <= (SELECT now FROM clock) AND observed_us >= (SELECT now FROM clock) - {DAY}""")
+def last_good_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seen ten days later, when the window up to then is empty."""
+    facts = usage_facts(spark, sf_dir)
+    return filters.last_good(facts, _now(facts) + 10 * DAY, WINDOW_S).select("id", "observed_us", "retained")
+
+
+NORMAL = "p WHERE NOT is_retry AND quality <> 'unavailable'"
+
+
+def _quantiles(spark: SparkSession, sf_dir: str, column: str, quantiles: dict[str, float]) -> DataFrame:
+    return performance.distribution(performance.normal(performance_facts(spark, sf_dir)), column, quantiles, ("model_raw",))
+
+
+def _quantile_sql(column: str, quantiles: dict[str, float], rows: str = NORMAL) -> str:
+    figures = ", ".join(f"quantile_disc({column}, {p}) AS {name}" for name, p in quantiles.items())
+    return f"SELECT model_raw, count({column}) AS samples, {figures}, count({column}) BETWEEN 1 AND 4 AS low_sample FROM {rows} GROUP BY model_raw"
+
+
+P50, DECODE = {"p50": 0.5, "p95": 0.95}, {"p50": 0.5, "p95": 0.95, "p10": 0.1}
+
+
+@query(_quantile_sql("ttft_ms", P50), PERFORMANCE)
+def perf_ttft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quantiles(spark, sf_dir, "ttft_ms", P50)
+
+
+@query(_quantile_sql("duration_ms", P50), PERFORMANCE)
+def perf_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quantiles(spark, sf_dir, "duration_ms", P50)
+
+
+@query(_quantile_sql("decode_tps", DECODE, "(SELECT *, (output_total - 1) / ((duration_ms - ttft_ms) / 1000.0::DOUBLE) AS decode_tps FROM p WHERE output_total >= 2 AND duration_ms > ttft_ms AND NOT is_retry AND quality <> 'unavailable')"), PERFORMANCE)
+def perf_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = performance.with_decode_tps(performance.normal(performance_facts(spark, sf_dir)))
+    return performance.distribution(facts, "decode_tps", DECODE, ("model_raw",))
+
+
+@query("""SELECT model_raw, count(*) FILTER (is_retry) AS retries, count(*) FILTER (NOT is_retry AND quality <> 'unavailable' AND NOT (output_total >= 2 AND duration_ms > ttft_ms)) AS decode_invalid,
+    count(*) FILTER (NOT is_retry AND quality <> 'unavailable') AS normal FROM p GROUP BY model_raw""", PERFORMANCE)
+def perf_retry_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return performance.exclusions(performance_facts(spark, sf_dir), ("model_raw",))
+
+
+@query("""SELECT agent, request_id, granularity, model_raw, observed_us, duration_ms, ttft_ms, output_total, is_retry, tier, quality, source_id FROM p
+    QUALIFY row_number() OVER (PARTITION BY agent, request_id, granularity ORDER BY tier <> 'enhanced', concat_ws('|', model_raw, observed_us::VARCHAR, printf('%.1f', duration_ms), printf('%.1f', ttft_ms), output_total::VARCHAR, is_retry::VARCHAR, tier, quality, source_id)) = 1""", PERFORMANCE)
+def perf_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return authority.coalesce_performance(performance_facts(spark, sf_dir))
+
+
+@query("SELECT agent, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95, max(duration_ms) AS most, CASE WHEN quantile_disc(duration_ms, 0.95) < 20000 THEN 'MEET' ELSE 'MISS' END AS verdict FROM p GROUP BY agent", PERFORMANCE)
+def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return performance.latency_stats(performance_facts(spark, sf_dir), "duration_ms", 20_000.0, ("agent",))
+
+
+BUCKETS = f"""
+w AS (SELECT now // {HOUR} * {HOUR} AS closed, now // {HOUR} * {HOUR} - {DAY} AS start, CASE WHEN now % {HOUR} > 0 THEN now // {HOUR} * {HOUR} ELSE now // {HOUR} * {HOUR} - {HOUR} END AS last FROM clock),
+b AS (SELECT observed_us // {HOUR} * {HOUR} AS bucket_us, f.* FROM f, w WHERE observed_us >= start AND observed_us < closed),
+g AS (SELECT unnest(range((SELECT start FROM w), (SELECT last FROM w) + 1, {HOUR})) AS bucket_us)"""
+
+
+def _ranked_sql(value: str) -> str:
+    return f"""
+m AS (SELECT model_raw, sum({value})::BIGINT AS total, min(model_display) AS model_display FROM b WHERE {value} IS NOT NULL GROUP BY model_raw),
+r AS (SELECT *, row_number() OVER (ORDER BY total DESC, model_display, model_raw) AS rank, count(*) OVER () AS models FROM m),
+s AS (SELECT *, CASE WHEN models > 5 AND rank >= 5 THEN 'Other' WHEN count(*) OVER (PARTITION BY model_display) > 1 THEN model_display || ' (' || model_raw || ')' ELSE model_display END AS series, least(rank, 5) AS series_rank FROM r),
+a AS (SELECT series, bucket_us, sum({value})::BIGINT AS amount, count(*) AS facts FROM b JOIN s USING (model_raw) WHERE {value} IS NOT NULL GROUP BY ALL),
+n AS (SELECT series, min(series_rank) AS series_rank FROM s GROUP BY series),
+points AS (SELECT n.series, g.bucket_us, n.series_rank, a.amount, a.facts FROM n CROSS JOIN g LEFT JOIN a ON a.series = n.series AND a.bucket_us = g.bucket_us)"""
+
+
+@query("SELECT series, bucket_us, series_rank, amount, facts, amount::DOUBLE / 3600.0::DOUBLE * 1.0::DOUBLE AS rate FROM points", FACTS, BUCKETS, _ranked_sql("output_tokens"))
+def trend_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir)
+    return trends.trend(facts, _now(facts), WIDTH_S, WINDOW_S)
+
+
+@query("SELECT series, bucket_us, series_rank, amount, facts, amount::DOUBLE / 3600.0::DOUBLE * 60.0::DOUBLE AS rate FROM points", FACTS, BUCKETS, _ranked_sql("burn_total"))
+def trend_burn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir)
+    return trends.trend(facts, _now(facts), WIDTH_S, WINDOW_S, "burn_total", 60.0)
+
+
+@query("""SELECT g.bucket_us, calls, calls::DOUBLE / 3600.0::DOUBLE * 60.0::DOUBLE AS calls_per_min FROM g LEFT JOIN (SELECT bucket_us, count(*) AS calls FROM
+    (SELECT * FROM b WHERE call_id <> '' QUALIFY row_number() OVER (PARTITION BY agent, call_id ORDER BY observed_us, id) = 1) GROUP BY bucket_us) AS c ON c.bucket_us = g.bucket_us""", FACTS, BUCKETS)
+def trend_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir)
+    return trends.calls_trend(facts, _now(facts), WIDTH_S, WINDOW_S)
+
+
+@query(" UNION ALL ".join(f"SELECT bucket_us, '{p}' AS part, sum({p})::BIGINT AS amount FROM b WHERE burn_total IS NOT NULL GROUP BY bucket_us HAVING sum({p}) IS NOT NULL" for p in TOKEN_PARTS), FACTS, BUCKETS)
+def trend_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir)
+    return trends.parts_trend(facts, _now(facts), WIDTH_S, WINDOW_S)
+
+
+@query("SELECT model_raw, total, model_display, rank, models, series, series_rank FROM s", FACTS, BUCKETS, _ranked_sql("output_tokens"))
+def trend_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir)
+    return trends.ranked(trends.bucketed(facts, _now(facts), WIDTH_S, WINDOW_S))
+
+
+@query("SELECT series, count(*) AS buckets, count(amount) AS filled, sum(amount)::BIGINT AS total FROM points GROUP BY series", FACTS, BUCKETS, _ranked_sql("output_tokens"))
+def trend_top4_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trend_throughput(spark, sf_dir).groupBy("series").agg(F.count(F.lit(1)).alias("buckets"), F.count("amount").alias("filled"), F.sum("amount").alias("total"))
+
+
+@query(f"""SELECT bucket_us, {', '.join(f"coalesce(max(amount) FILTER (part = '{p}')::VARCHAR, '—') AS {p}" for p in TOKEN_PARTS)} FROM ({' UNION ALL '.join(f"SELECT bucket_us, '{p}' AS part, sum({p})::BIGINT AS amount FROM b WHERE burn_total IS NOT NULL GROUP BY bucket_us" for p in TOKEN_PARTS)}) GROUP BY bucket_us""", FACTS, BUCKETS)
+def trend_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trends.table(trend_parts(spark, sf_dir).withColumnRenamed("part", "series"), TOKEN_PARTS)
+
+
+@query("""SELECT series, segment::BIGINT AS segment, min(bucket_us) AS start_us, max(bucket_us) AS end_us, count(*) AS points FROM (SELECT *, sum(CASE WHEN amount IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY bucket_us) AS segment FROM points)
+    WHERE amount IS NOT NULL GROUP BY series, segment""", FACTS, BUCKETS, _ranked_sql("output_tokens"))
+def trend_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trends.segments(trend_throughput(spark, sf_dir))
+
+
+@query("SELECT series, bucket_us, (row_number() OVER (PARTITION BY series ORDER BY bucket_us) - 1) / greatest(count(*) OVER (PARTITION BY series) - 1, 1) AS x FROM points WHERE amount IS NOT NULL", FACTS, BUCKETS, _ranked_sql("output_tokens"))
+def trend_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trends.normalised(trend_throughput(spark, sf_dir).where("amount IS NOT NULL")).select("series", "bucket_us", "x")
+
+
+ROLLUP_KEYS = "agent, model_raw, session_id, source_id, authority, tier, granularity"
+ALL_PARTS = ", ".join(f"CASE WHEN count({p}) = count(*) THEN sum({p})::BIGINT END AS {p}" for p in ["burn_total", *TOKEN_PARTS])
+
+
+@query(f"SELECT range_start_us AS bucket_us, {ROLLUP_KEYS}, sum(output_tokens)::BIGINT AS output_tokens, {ALL_PARTS}, {QUALITY} AS quality, min(model_display) AS model_display, count(*) AS samples FROM f GROUP BY range_start_us, {ROLLUP_KEYS}")
+def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.daily(usage_facts(spark, sf_dir))
+
+
+@query("SELECT l_returnflag, epoch_us(l_shipdate) // 86400000000 * 86400000000 AS bucket_us, count(*) AS samples, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem GROUP BY ALL", "")
+def daily_rollup_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup's buckets over the largest table."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_quantity", F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("observed_us"))
+    return items.groupBy("l_returnflag", rollups.day_start().alias("bucket_us")).agg(F.count(F.lit(1)).alias("samples"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+
+
+@query(f"SELECT DISTINCT range_start_us AS bucket_us FROM f WHERE range_start_us < (SELECT now FROM clock) // {DAY} * {DAY}")
+def complete_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir)
+    return rollups.complete_days(facts, _now(facts))
+
+
+@query(f"""SELECT bucket_us, CASE WHEN bucket_us IN (SELECT range_start_us FROM f WHERE channel = 'click') AND early THEN 'partial' ELSE 'complete' END AS coverage, count(*) AS rollups, sum(samples)::BIGINT AS samples FROM
+    (SELECT range_start_us AS bucket_us, range_start_us < (SELECT min(range_start_us) FROM f) + 5 * {DAY} AS early, count(*) AS samples FROM f
+     WHERE CASE WHEN range_start_us < (SELECT min(range_start_us) FROM f) + 5 * {DAY} THEN channel <> 'click' ELSE range_start_us < (SELECT now FROM clock) // {DAY} * {DAY} END GROUP BY range_start_us, {ROLLUP_KEYS}) GROUP BY ALL""")
+def late_rollup_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five days are rolled up before their clicks arrive; then all full days are."""
+    facts = usage_facts(spark, sf_dir)
+    first = facts.agg(F.min("range_start_us")).first()[0] or 0
+    early = facts.where((F.col("observed_us") < first + 5 * DAY) & (F.col("channel") != "click"))
+    known = rollups.daily(early).withColumn("coverage", F.lit("complete"))
+    late = facts.where((F.col("observed_us") >= first + 5 * DAY) | (F.col("channel") == "click"))
+    done, _ = rollups.compact(late, known, _now(facts))
+    return done.groupBy("bucket_us", "coverage").agg(F.count(F.lit(1)).alias("rollups"), F.sum("samples").alias("samples"))
+
+
+@query("SELECT source_id, count(*) AS n FROM f GROUP BY source_id")
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded.source_counts(usage_facts(spark, sf_dir))
+
+
+BUDGETS = f"""
+c AS (SELECT source_id, count(*) AS n FROM f GROUP BY source_id),
+o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY n, source_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY n, source_id) AS i, count(*) OVER () AS m FROM c),
+h AS (SELECT *, min(CASE WHEN n <= ({LIMIT} - before) // (m - i + 1) THEN 1 ELSE 0 END) OVER (ORDER BY n, source_id) AS whole FROM o),
+budgets AS (SELECT source_id, n, CASE WHEN whole = 1 THEN n ELSE ({LIMIT} - sum(CASE whole WHEN 1 THEN n ELSE 0 END) OVER ()) // (sum(1 - whole) OVER ())
+    + CASE WHEN row_number() OVER (PARTITION BY whole ORDER BY source_id) <= ({LIMIT} - sum(CASE whole WHEN 1 THEN n ELSE 0 END) OVER ()) % (sum(1 - whole) OVER ()) THEN 1 ELSE 0 END END::BIGINT AS budget FROM h)"""
+
+
+@query("SELECT * FROM budgets", FACTS, BUDGETS)
+def fair_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded.fair_budgets(bounded.source_counts(usage_facts(spark, sf_dir)), LIMIT)
+
+
+@query("SELECT id, source_id, observed_us FROM (SELECT id, source_id, observed_us, budget, row_number() OVER (PARTITION BY source_id ORDER BY observed_us DESC, id DESC) AS i FROM f JOIN budgets USING (source_id)) WHERE i <= budget", FACTS, BUDGETS)
+def fair_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded.fair_window(usage_facts(spark, sf_dir), LIMIT).select("id", "source_id", "observed_us")
+
+
+@query("SELECT source_id, n, budget, list_sort(list(DISTINCT agent)) AS agents, list_sort(list(DISTINCT channel)) AS channels FROM budgets JOIN f USING (source_id) WHERE budget < n GROUP BY ALL", FACTS, BUDGETS)
+def overloaded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded.truncated_sources(usage_facts(spark, sf_dir), LIMIT)
+
+
+@query("SELECT id, session_id, observed_us FROM f QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY observed_us DESC, id DESC) <= 5")
+def newest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded.newest(usage_facts(spark, sf_dir), 5, ("session_id",)).select("id", "session_id", "observed_us")
+
+
+KINDS = "(SELECT observed_us, 'usage' AS kind, id FROM f UNION ALL SELECT observed_us, 'performance', agent || ':' || request_id || ':' || observed_us::VARCHAR FROM p)"
+
+
+def _both_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usage = usage_facts(spark, sf_dir).select("observed_us", F.lit("usage").alias("kind"), "id")
+    name = F.concat_ws(":", "agent", "request_id", F.col("observed_us").cast("string")).alias("id")
+    return usage.unionByName(performance_facts(spark, sf_dir).select("observed_us", F.lit("performance").alias("kind"), name))
+
+
+@query(f"SELECT kind, count(*) AS n, min(observed_us) AS earliest_us FROM (SELECT * FROM {KINDS} ORDER BY observed_us, kind, id OFFSET 1500) GROUP BY kind", FACTS, PERFORMANCE)
+def evict_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left without the 1,500 oldest rows of both kinds (the number is the feature)."""
+    left = bounded.without_oldest(_both_kinds(spark, sf_dir), 1500)
+    return left.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("observed_us").alias("earliest_us"))
+
+
+@query(f"SELECT min(observed_us) AS earliest_us FROM {KINDS}", FACTS, PERFORMANCE)
+def union_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.earliest(_both_kinds(spark, sf_dir).withColumnRenamed("observed_us", "time_us"), rollups.daily(usage_facts(spark, sf_dir)).select(F.col("bucket_us").alias("time_us")).where("time_us > 0 AND false"))
+
+
+LINES = """
+l AS (SELECT user_id::VARCHAR AS file, event_id AS ordinal, event_type AS channel, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 7) % 100 AS total FROM events),
+d AS (SELECT *, lag(total, 1, 0) OVER (PARTITION BY file ORDER BY ordinal) AS last FROM l),
+e AS (SELECT *, max(CASE WHEN total < last THEN ordinal END) OVER (PARTITION BY file) AS since FROM d)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative counters that grow and start anew, a file per user."""
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return e.select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("channel"), (n * 7 % 100).cast("bigint").alias("total"), (n * 9 % 130).cast("bigint").alias("input"))
+
+
+@query("SELECT file, ordinal, total, CASE WHEN ordinal = since THEN total ELSE total - last END AS delta FROM e WHERE (since IS NULL OR ordinal >= since) AND CASE WHEN ordinal = since THEN total ELSE total - last END > 0", FACTS, LINES)
+def counter_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counters.output_deltas(_lines(spark, sf_dir)).select("file", "ordinal", "total", "delta")
+
+
+@query("""SELECT file, message, ordinal, CASE WHEN i = 1 AND resets > 0 THEN total ELSE total - last END AS delta, greatest(0, input - coalesce(lag(input) OVER (PARTITION BY file, message ORDER BY ordinal), 0)) AS input_delta FROM (
+    SELECT *, max(resets) OVER (PARTITION BY file, message) AS newest, row_number() OVER (PARTITION BY file, message, resets ORDER BY ordinal) AS i FROM (
+    SELECT *, sum(CASE WHEN total < last THEN 1 ELSE 0 END) OVER (PARTITION BY file, message ORDER BY ordinal) AS resets FROM (
+    SELECT *, lag(total, 1, 0) OVER (PARTITION BY file, message ORDER BY ordinal) AS last FROM (
+    SELECT user_id::VARCHAR AS file, event_type AS message, event_id AS ordinal, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 7) % 100 AS total, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 9) % 130 AS input FROM events)) WHERE total <> last)) WHERE resets = newest""", "")
+def message_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir).withColumnRenamed("channel", "message")
+    return counters.message_part_deltas(lines, ["input"]).select("file", "message", "ordinal", "delta", "input_delta")
+
+
+@query("SELECT session_id, sum(output_tokens)::BIGINT AS output_tokens FROM f WHERE channel <> 'purchase' AND session_id NOT IN (SELECT session_id FROM f WHERE channel = 'purchase' AND output_tokens > 60) GROUP BY session_id")
+def session_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir)
+    own = counters.session_fallback(facts.where("channel <> 'purchase'"), facts.where("channel = 'purchase' AND output_tokens > 60"))
+    return own.groupBy("session_id").agg(F.sum("output_tokens").alias("output_tokens"))
+
+
+@query(None)
+def validated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token parts whose bases move on valid lines only: sequential, so without SQL."""
+    lines = _lines(spark, sf_dir).select("file", "ordinal", "input", (F.col("input") % 60).alias("cached"), F.col("total").alias("output"), (F.col("total") % 40).alias("reasoning"))
+    return counters.validated_part_deltas(lines)
+
+
+@query("SELECT agent, call_id, id, observed_us FROM f WHERE call_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY agent, call_id ORDER BY observed_us, id) = 1")
+def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir).where("call_id IS NOT NULL").select("agent", "call_id", "id", "observed_us")
+    return counters.first_wins(facts, ["agent", "call_id"], ["observed_us", "id"])
+
+
+@query("SELECT user_id::VARCHAR AS file, event_id AS ordinal, coalesce(last_value(CASE WHEN event_type = 'signup' THEN 'turn-' || event_id::VARCHAR END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 'unknown') AS turn_id FROM events", "")
+def context_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lines = e.select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("ordinal"), F.when(F.col("event_type") == "signup", F.concat(F.lit("turn-"), F.col("event_id").cast("string"))).alias("turn_id"))
+    return counters.carried(lines, ["turn_id"], defaults={"turn_id": "unknown"})
+
+
+@query("""SELECT CASE WHEN age < 60 THEN '[0,60)' WHEN age < 300 THEN '[60,300)' WHEN age < 3600 THEN '[300,3600)' WHEN age < 86400 THEN '[3600,86400)' ELSE '>=86400' END AS age_class, count(*) AS n FROM (SELECT ((SELECT now FROM clock) - observed_us) / 1000000.0::DOUBLE AS age FROM f) GROUP BY ALL""")
+def age_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir)
+    age = (F.lit(_now(facts)) - F.col("observed_us")) / 1e6
+    return facts.groupBy(health.age_class(age).alias("age_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+CODE = "CASE channel WHEN 'error' THEN 'SOURCE_FAILURE' WHEN 'click' THEN 'OVERLOADED' WHEN 'signup' THEN 'PARSER_VERSION_CHANGED' WHEN 'purchase' THEN 'SOMETHING_NEW' END"
+
+
+@query(f"""SELECT reason, CASE reason WHEN 'UNSUPPORTED_SCHEMA' THEN 'UPDATE_SOURCE' WHEN 'SOURCE_OVERLOADED' THEN 'UPDATE_SOURCE' WHEN 'SOURCE_FAILURE' THEN 'UPDATE_SOURCE' WHEN 'SOURCE_UNAVAILABLE' THEN 'UPDATE_SOURCE' END AS action, count(*) AS n FROM
+    (SELECT CASE code WHEN 'SOURCE_FAILURE' THEN 'SOURCE_FAILURE' WHEN 'OVERLOADED' THEN 'SOURCE_OVERLOADED' WHEN 'PARSER_VERSION_CHANGED' THEN 'UNSUPPORTED_SCHEMA' WHEN 'SOMETHING_NEW' THEN 'SOURCE_UNAVAILABLE' END AS reason FROM (SELECT {CODE} AS code FROM f)) GROUP BY ALL""")
+def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = health.reason_of(F.expr(CODE))
+    told = usage_facts(spark, sf_dir).select(reason.alias("reason")).withColumn("action", health.action_for(F.col("reason")))
+    return told.groupBy("reason", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+HEALTH = """
+hl AS (SELECT * FROM (VALUES (1, 'src-a', false, ['usage'], ['agent-a'], 'SOURCE_FAILURE', 'UPDATE_SOURCE'), (2, 'src-b', false, ['usage', 'performance'], CAST([] AS VARCHAR[]), 'SOURCE_OVERLOADED', 'UPDATE_SOURCE'),
+    (3, 'src-x', false, ['usage'], CAST([] AS VARCHAR[]), NULL, NULL), (4, 'src-c', true, ['usage'], ['agent-b'], NULL, NULL), (5, 'src-b', false, ['performance'], CAST([] AS VARCHAR[]), 'SOURCE_FAILURE', NULL)) AS t(ordinal, source_id, is_healthy, impacts, agents, reason_code, action))"""
+
+
+def _health(spark: SparkSession) -> DataFrame:
+    rows = [
+        (1, "src-a", False, ["usage"], ["agent-a"], "SOURCE_FAILURE", "UPDATE_SOURCE"), (2, "src-b", False, ["usage", "performance"], [], "SOURCE_OVERLOADED", "UPDATE_SOURCE"),
+        (3, "src-x", False, ["usage"], [], None, None), (4, "src-c", True, ["usage"], ["agent-b"], None, None), (5, "src-b", False, ["performance"], [], "SOURCE_FAILURE", None),
+    ]
+    return spark.createDataFrame(rows, "ordinal int, source_id string, is_healthy boolean, impacts array<string>, agents array<string>, reason_code string, action string")
+
+
+@query("""SELECT ordinal, hl.source_id, reason_code FROM hl WHERE list_contains(impacts, 'usage') AND CASE WHEN len(agents) > 0 THEN list_has_any(agents, ['agent-b']) ELSE source_id IN (SELECT source_id FROM f WHERE agent = 'agent-b' AND model_raw = 'm1') END""", FACTS, HEALTH)
+def health_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = filters.MetricFilter(frozenset({"agent-b"}), frozenset({"m1"}))
+    return health.relevant(_health(spark), usage_facts(spark, sf_dir), chosen).select("ordinal", "source_id", "reason_code")
+
+
+@query("SELECT ordinal, source_id FROM hl WHERE NOT is_healthy AND list_contains(impacts, 'usage') AND source_id NOT IN (SELECT source_id FROM f WHERE channel = 'click')", FACTS, HEALTH)
+def silent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.silent_sources(_health(spark), usage_facts(spark, sf_dir).where("channel = 'click'")).select("ordinal", "source_id")
+
+
+@query("SELECT reason_code, action FROM hl WHERE NOT is_healthy AND reason_code IS NOT NULL ORDER BY ordinal LIMIT 1", HEALTH)
+def first_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.first_degradation(_health(spark))
+
+
+@query("SELECT ordinal, source_id, reason_code FROM hl WHERE NOT (source_id = 'src-b' AND list_has_any(impacts, ['performance'])) UNION ALL SELECT 9, 'src-b', 'SOURCE_OVERLOADED'", HEALTH)
+def health_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _health(spark)
+    overload = spark.createDataFrame([(9, "src-b", False, ["performance"], [], "SOURCE_OVERLOADED", None)], own.schema)
+    return health.with_overload(own, overload).select("ordinal", "source_id", "reason_code")
+
+
+@query(f"""SELECT id, source_id FROM f WHERE channel = 'purchase' AND source_id <> 'src-a' UNION ALL
+    (SELECT id, source_id FROM f WHERE source_id = 'src-a' AND observed_us >= (SELECT max(observed_us) FROM f WHERE source_id = 'src-a') - {DAY} ORDER BY observed_us DESC, id DESC LIMIT 20)""")
+def retained_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 20 rows of a failed source beside the others' current rows."""
+    facts = usage_facts(spark, sf_dir)
+    sick = spark.createDataFrame([("src-a",), ("src-b",)], "source_id string")
+    return bounded.with_retained(facts.where("channel = 'purchase' AND source_id <> 'src-a'"), facts, sick, WINDOW_S, 20).select("id", "source_id")
+
+
+@query("SELECT model_raw, arg_min(model_display, (observed_us, id)) AS model_display FROM f GROUP BY model_raw")
+def model_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.options(usage_facts(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS kept FROM f WHERE observed_us > (SELECT min(observed_us) FROM f) + 10 * {DAY} AND NOT starts_with(id, 'ev-00000')")
+def reset_and_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir)
+    cutoff = (facts.agg(F.min("observed_us")).first()[0] or 0) + 10 * DAY
+    return facts.where(filters.after_cutoff(cutoff) & filters.without_prefix("ev-00000")).agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("""SELECT id, CASE WHEN output_tokens = floor(output_tokens) THEN output_tokens::VARCHAR END AS shown, CASE WHEN output_tokens < 60 THEN output_tokens::VARCHAR || 's' WHEN output_tokens < 3600 THEN (output_tokens // 60)::VARCHAR || 'm' ELSE (output_tokens // 3600)::VARCHAR || 'h' END AS age,
+    strftime(make_timestamp(observed_us), '%Y-%m-%dT%H:%M:%SZ') AS utc, CASE WHEN length(authority) <= 8 THEN authority ELSE substr(authority, 1, 7) || '...' END AS label, replace(replace(replace(lower(authority || '.Key Name'), '-', '_'), '.', '_'), ' ', '_') AS key FROM f""")
+def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("output_tokens")
+    return usage_facts(spark, sf_dir).select("id", scalars.number_text(n).alias("shown"), scalars.age_text(n).alias("age"), scalars.utc_text(F.col("observed_us")).alias("utc"), scalars.short_label(F.col("authority")).alias("label"), scalars.normal_key(F.concat("authority", F.lit(".Key Name"))).alias("key"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events", "")
+def strict_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", scalars.strict_int(F.try_parse_json("props"), "$.k").alias("k"))
+
+
+@query(None)
+def series_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour slots of the models; unsigned 64-bit products have no SQL form."""
+    return usage_facts(spark, sf_dir).select("model_raw").distinct().withColumn("slot", scalars.fnv_slot("model_raw", F.lit(8)))
+
+
+@query("""SELECT '{"by_quality":{' || (SELECT string_agg('"' || quality || '":' || n::VARCHAR, ',' ORDER BY quality) FROM (SELECT quality, count(*) AS n FROM f GROUP BY quality)) || '},"facts":' || (SELECT count(*) FROM f)::VARCHAR || ',"sources":{"healthy":1,"unhealthy":4}}' AS document""")
+def diagnostic_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.diagnostic_document(usage_facts(spark, sf_dir), _health(spark))
+
+
+@query(f"SELECT (SELECT sum(output_tokens) FROM sel AS f WHERE {IN_DAY})::BIGINT AS output_tokens, (SELECT sum(burn_total) FROM sel AS f WHERE {IN_DAY})::BIGINT AS burn_total, (SELECT {CALLS} FROM f WHERE {IN_DAY}) AS calls", FACTS, CHOSEN)
+def light_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of the composite; days of calls bound ranges, so one selection serves."""
+    facts = usage_facts(spark, sf_dir)
+    now = _now(facts)
+    chosen = authority.select_authoritative(facts).where(filters.in_closed_window(now, WINDOW_S))
+    out = chosen.agg(F.sum("output_tokens").alias("output_tokens"), F.sum("burn_total").alias("burn_total"))
+    return out.crossJoin(metrics.calls(facts.where(filters.in_closed_window(now, WINDOW_S)), WINDOW_S).select("calls"))
+
+
+@query(f"""SELECT count(*) AS facts, (SELECT count(*) FROM (SELECT 1 FROM f AS a WHERE NOT (tier = 'fallback' AND EXISTS (SELECT 1 FROM f AS b WHERE b.tier = 'enhanced' AND b.call_id = a.call_id AND b.agent = a.agent AND b.range_start_us = a.range_start_us))
+    AND range_start_us < ((SELECT now FROM clock) - 7 * {DAY}) // {DAY} * {DAY} GROUP BY range_start_us, {ROLLUP_KEYS})) AS rollups FROM f AS a WHERE NOT (tier = 'fallback' AND EXISTS (SELECT 1 FROM f AS b WHERE b.tier = 'enhanced' AND b.call_id = a.call_id AND b.agent = a.agent AND b.range_start_us = a.range_start_us))
+    AND observed_us >= (SELECT now FROM clock) - 7 * {DAY}""")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts and rollups left after the hard limit's steps, with room for what is protected."""
+    facts = authority.mark_superseded(usage_facts(spark, sf_dir))
+    known = rollups.daily(facts.where("false")).withColumn("coverage", F.lit("complete"))
+    left, rolled = rollups.retain(facts, known, _now(facts), rollups.RetentionPolicy(hard_rows=1, rollup_days=1 << 12), rows=1)
+    return left.agg(F.count(F.lit(1)).alias("facts")).crossJoin(rolled.agg(F.count(F.lit(1)).alias("rollups")))

@@ -1,0 +1,129 @@
+"""Observations from agents' JSONL logs: rollouts with cumulative counters, transcripts with
+message totals, and flat synthetic lines. Files are read as text lines with their place;
+lines are classified by columns over VARIANT, unknown ones become diagnostics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gaugeworks.functions.scalars import file_identity, iso_micros, strict_int
+from gaugeworks.operators.counters import carried, message_part_deltas, output_deltas, session_fallback, validated_part_deltas
+
+LONGEST_LINE = 512 * 1024
+SYNTHETIC = "schema_version string, observation_identity string, coding_agent string, model_raw string, model_display string, session_id string, turn_id string, observed_offset_seconds double, usage struct<output_tokens: bigint>"
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ordinal, value, json, too_long): the non-blank lines of every .jsonl file below
+    a path, in order. A file is read by one task each, as its lines need their places."""
+    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    each = text.select(file_identity(F.col("_metadata.file_path")).alias("file"), F.posexplode(F.split("value", "\n")).alias("ordinal", "value"))
+    kept = each.where("file IS NOT NULL AND trim(value) <> ''")
+    long = F.octet_length("value") >= LONGEST_LINE
+    return kept.select("file", F.col("ordinal").cast("bigint").alias("ordinal"), "value", F.when(~long, F.try_parse_json("value")).alias("json"), long.alias("too_long"))
+
+
+def _text(path: str):
+    return F.try_variant_get("json", path, "string")
+
+
+def rollout_lines(read: DataFrame) -> DataFrame:
+    """Rollout lines with their kind, time, carried context and counters."""
+    kind, inner = _text("$.type"), _text("$.payload.type")
+    turn = inner.isin("task_started", "turn_started", "task_complete", "turn_complete")
+    named = F.when(F.col("too_long"), "too_long").when(kind == "session_meta", "session").when(kind == "turn_context", "context").when((kind == "event_msg") & (inner == "token_count"), "count").when((kind == "event_msg") & turn, "turn").when(kind.isin("event_msg", "response_item", "compacted"), "ignored").otherwise("unknown")
+    usage = "$.payload.info.total_token_usage."
+    told = read.select(
+        "file", "ordinal", named.alias("kind"), iso_micros(_text("$.timestamp")).alias("observed_us"),
+        F.when(kind == "session_meta", F.coalesce(_text("$.payload.id"), _text("$.payload.session_id"))).alias("session_id"),
+        F.when(kind.isin("turn_context", "event_msg"), _text("$.payload.turn_id")).alias("turn_id"),
+        F.when(kind == "turn_context", _text("$.payload.model")).alias("model_raw"),
+        strict_int(F.col("json"), usage + "input_tokens").alias("input"), strict_int(F.col("json"), usage + "cached_input_tokens").alias("cached"),
+        strict_int(F.col("json"), usage + "output_tokens").alias("output"), strict_int(F.col("json"), usage + "reasoning_output_tokens").alias("reasoning"),
+    )
+    seen = carried(told, ["session_id", "turn_id", "model_raw"], defaults={"turn_id": "unknown", "model_raw": "unknown"})
+    return seen.withColumn("session_id", F.coalesce("session_id", "file"))
+
+
+def rollout_observations(spark: SparkSession, path: str) -> DataFrame:
+    """Output deltas of rollouts, with token parts where the counters make sense."""
+    told = rollout_lines(lines(spark, path))
+    counts = told.where("kind = 'count' AND output IS NOT NULL AND observed_us IS NOT NULL")
+    deltas = output_deltas(counts, total="output")
+    parts = validated_part_deltas(counts).drop("delta").withColumnRenamed("reasoning", "reasoning_delta")
+    both = deltas.join(parts, ["file", "ordinal"], "left")
+    total = F.col("input_uncached") + F.col("cache_read") + F.col("output_visible") + F.col("reasoning_delta")
+    return both.select(
+        F.concat_ws(":", F.lit("rollout"), "file", F.col("ordinal").cast("string")).alias("id"), F.lit("rollout").alias("source_id"), "session_id", "turn_id", "model_raw", "observed_us",
+        F.col("delta").alias("output_tokens"), "input_uncached", "cache_read", F.lit(None).cast("bigint").alias("cache_write"), "output_visible", F.col("reasoning_delta").alias("reasoning"), total.alias("burn_total"),
+    )
+
+
+def transcript_lines(read: DataFrame) -> DataFrame:
+    kind = _text("$.type")
+    valid = _text("$.sessionId").isNotNull() & iso_micros(_text("$.timestamp")).isNotNull()
+    named = F.when(F.col("too_long"), "too_long").when(kind == "user", "ignored").when(~valid, "unknown").when((kind == "assistant") & _text("$.uuid").isNotNull(), "message").when((kind == "system") & (_text("$.subtype") == "session_usage"), "session").otherwise("unknown")
+    usage = "$.message.usage."
+    number = lambda p: strict_int(F.col("json"), p)
+    return read.select(
+        "file", "ordinal", named.alias("kind"), iso_micros(_text("$.timestamp")).alias("observed_us"), _text("$.sessionId").alias("session_id"), _text("$.uuid").alias("message"),
+        F.coalesce(_text("$.message.model"), F.lit("unknown")).alias("model_raw"), F.when(kind == "system", number("$.usage.output_tokens")).otherwise(number(usage + "output_tokens")).alias("total"),
+        number(usage + "input_tokens").alias("input_uncached"), number(usage + "cache_creation_input_tokens").alias("cache_write"), number(usage + "cache_read_input_tokens").alias("cache_read"),
+    )
+
+
+def transcript_observations(spark: SparkSession, path: str) -> DataFrame:
+    """Message deltas, and session deltas of sessions without any message total."""
+    told = transcript_lines(lines(spark, path)).where("total IS NOT NULL")
+    parts = ["input_uncached", "cache_write", "cache_read"]
+    messages = message_part_deltas(told.where("kind = 'message'"), parts).where("delta > 0")
+    sessions = output_deltas(session_fallback(told.where("kind = 'session'"), told.where("kind = 'message'")), ("file", "session_id"))
+    null = F.lit(None).cast("bigint")
+    name = lambda key: F.concat_ws(":", F.lit("transcript"), "file", key, F.col("ordinal").cast("string")).alias("id")
+    whole = F.col("input_uncached_delta") + F.col("cache_write_delta") + F.col("cache_read_delta") + F.col("delta")
+    common = ["session_id", "model_raw", "observed_us", F.col("delta").alias("output_tokens")]
+    a = messages.select(name("message"), F.lit("transcript").alias("source_id"), *common, *[F.col(f"{p}_delta").alias(p) for p in parts], whole.alias("burn_total"))
+    b = sessions.withColumn("model_raw", F.lit("unknown")).select(name("session_id"), F.lit("transcript").alias("source_id"), *common, *[null.alias(p) for p in parts], null.alias("burn_total"))
+    return a.unionByName(b)
+
+
+def synthetic_observations(spark: SparkSession, path: str, now_us: int, schema_version: str, agent: str) -> DataFrame:
+    """Flat fixture lines; a line of another schema or agent is an error."""
+    read = spark.read.schema(SYNTHETIC).json(path)
+    wrong = ~(F.col("schema_version").eqNullSafe(schema_version) & F.col("coding_agent").eqNullSafe(agent))
+    checked = F.when(wrong, F.raise_error(F.lit("unsupported schema or agent"))).otherwise(F.col("observation_identity"))
+    return read.select(checked.alias("id"), F.col("coding_agent").alias("agent"), "model_raw", "model_display", "session_id", "turn_id", (F.lit(now_us) + F.col("observed_offset_seconds") * 1e6).cast("bigint").alias("observed_us"), F.col("usage.output_tokens").alias("output_tokens"))
+
+
+def diagnostics(told: DataFrame) -> DataFrame:
+    """(file, code, n) of the lines that gave no row."""
+    code = F.when(F.col("kind") == "too_long", "SOURCE_LINE_TOO_LONG").when(F.col("kind") == "unknown", "UNKNOWN_SCHEMA")
+    return told.withColumn("code", code).where("code IS NOT NULL").groupBy("file", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def discovered(spark: SparkSession, roots: list[str], newest: int | None = None) -> DataFrame:
+    """(file, path, modified, length) of the .jsonl files below the roots; where roots have
+    the same file the later root counts. With `newest` only that many, by time."""
+    out = None
+    for rank, root in enumerate(roots):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
+        own = found.select(file_identity(F.col("path")).alias("file"), "path", F.col("modificationTime").alias("modified"), "length", F.lit(rank).alias("rank")).where("file IS NOT NULL")
+        out = own if out is None else out.unionByName(own)
+    best = Window.partitionBy("file").orderBy(F.desc("rank"), "path")
+    one = out.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "rank")
+    return one if newest is None else one.orderBy(F.desc("modified"), "file", "path").limit(newest)
+
+
+def changed(found: DataFrame, cursors: DataFrame) -> DataFrame:
+    """`found` with action against stored cursors (file, length, modified, fingerprint),
+    given found has a fingerprint of the stored prefix: rebuild, append or same."""
+    c = cursors.select("file", *[F.col(x).alias(f"c_{x}") for x in ("length", "modified", "fingerprint")])
+    both = found.join(c, "file", "left")
+    rebuilt = F.col("c_length").isNull() | (F.col("length") < F.col("c_length")) | ((F.col("length") == F.col("c_length")) & (F.col("modified") != F.col("c_modified"))) | ~F.col("fingerprint").eqNullSafe(F.col("c_fingerprint"))
+    return both.withColumn("action", F.when(rebuilt, "rebuild").when(F.col("length") > F.col("c_length"), "append").otherwise("same")).drop("c_length", "c_modified", "c_fingerprint")
+
+
+def missing(found: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Files known by a cursor that are there no more."""
+    return cursors.join(found.select("file"), "file", "left_anti")
