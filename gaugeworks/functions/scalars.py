@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 _TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 #: The offset basis (as the display code has it) and prime of the 64-bit hash.
@@ -81,7 +82,7 @@ def prefix_fingerprint(content: Column, offset: Column) -> Column:
     return F.sha2(F.concat(F.substring(content, F.lit(1), F.least(block, offset).cast("int")), F.substring(content, start, F.least(block, offset).cast("int"))), 256)
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def fnv_slot(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """64-bit FNV-1a of a text modulo a number of slots. Wrapping 64-bit products have no
     built-in form, so this is a vectorised UDF; display columns alone use it."""

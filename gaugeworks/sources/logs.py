@@ -17,7 +17,7 @@ SYNTHETIC = "schema_version string, observation_identity string, coding_agent st
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, ordinal, value, json, too_long): the non-blank lines of every .jsonl file below
     a path, in order. A file is read by one task each, as its lines need their places."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     each = text.select(file_identity(F.col("_metadata.file_path")).alias("file"), F.posexplode(F.split("value", "\n")).alias("ordinal", "value"))
     kept = each.where("file IS NOT NULL AND trim(value) <> ''")
     long = F.octet_length("value") >= LONGEST_LINE

@@ -56,9 +56,11 @@ def spans(bodies: DataFrame) -> DataFrame:
     each = read.select("batch_id", "body", F.explode(F.flatten(F.flatten(F.transform("doc.resourceSpans", lambda r: F.transform(r["scopeSpans"], lambda s: s["spans"]))))).alias("s")).where(F.col("s.name") == SPAN)
     value = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
 
+    def having(key: str):
+        return lambda a: a["key"] == key
+
     def field(name: str) -> Column:
-        found = [F.get(F.filter("s.attributes", lambda a, k=k: a["key"] == k), F.lit(0))["value"] for k in ALIASES[name]]
-        return F.coalesce(*[value(v) for v in found])
+        return F.coalesce(*[value(F.get(F.filter("s.attributes", having(k)), F.lit(0))["value"]) for k in ALIASES[name]])
 
     number = lambda name: lenient_number(field(name))
     end = nanos_to_micros(F.col("s.endTimeUnixNano"))
