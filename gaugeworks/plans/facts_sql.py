@@ -22,7 +22,7 @@ p AS (SELECT user_id::VARCHAR || '-' || json_extract_string(props, '$.k') AS req
     (floor(value) * 100 + 50)::DOUBLE AS duration_ms, json_extract_string(props, '$.k')::DOUBLE AS ttft_ms, event_id % 97 AS output_total,
     event_type = 'error' AS is_retry, CASE WHEN event_type = 'purchase' THEN 'enhanced' ELSE 'fallback' END AS tier, 'request' AS granularity,
     CASE WHEN event_type = 'signup' THEN 'unavailable' ELSE 'measured' END AS quality,
-    CASE user_id % 3 WHEN 0 THEN 'src-a' WHEN 1 THEN 'src-b' ELSE 'src-c' END AS source_id FROM events)"""
+    CASE user_id % 3 WHEN 0 THEN 'src-a' WHEN 1 THEN 'src-b' ELSE 'src-c' END AS source_id, event_type AS channel FROM events)"""
 
 #: Fixed values of the derived windows, in microseconds.
 DAY, HOUR = 86_400_000_000, 3_600_000_000

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import scalars
-from gaugeworks.operators import authority, bounded, counters, filters, health, metrics, performance, rollups, trends
+from gaugeworks.operators import authority, bounded, canonical, counters, filters, health, metrics, performance, rollups, snapshots, trends
 from gaugeworks.plans.facts_sql import CHOSEN, DAY, FACTS, HOUR, PERFORMANCE
 from gaugeworks.schema import TOKEN_PARTS
 from gaugeworks.sources.events import performance_facts, usage_facts
@@ -175,8 +175,8 @@ def perf_retry_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return performance.exclusions(performance_facts(spark, sf_dir), ("model_raw",))
 
 
-@query("""SELECT agent, request_id, granularity, model_raw, observed_us, duration_ms, ttft_ms, output_total, is_retry, tier, quality, source_id FROM p
-    QUALIFY row_number() OVER (PARTITION BY agent, request_id, granularity ORDER BY tier <> 'enhanced', concat_ws('|', model_raw, observed_us::VARCHAR, printf('%.1f', duration_ms), printf('%.1f', ttft_ms), output_total::VARCHAR, is_retry::VARCHAR, tier, quality, source_id)) = 1""", PERFORMANCE)
+@query("""SELECT agent, request_id, granularity, model_raw, observed_us, duration_ms, ttft_ms, output_total, is_retry, tier, quality, source_id, channel FROM p
+    QUALIFY row_number() OVER (PARTITION BY agent, request_id, granularity ORDER BY tier <> 'enhanced', concat_ws('|', model_raw, observed_us::VARCHAR, printf('%.1f', duration_ms), printf('%.1f', ttft_ms), output_total::VARCHAR, is_retry::VARCHAR, tier, quality, source_id, channel)) = 1""", PERFORMANCE)
 def perf_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authority.coalesce_performance(performance_facts(spark, sf_dir))
 
@@ -519,3 +519,41 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = rollups.daily(facts.where("false")).withColumn("coverage", F.lit("complete"))
     left, rolled = rollups.retain(facts, known, _now(facts), rollups.RetentionPolicy(hard_rows=1, rollup_days=1 << 12), rows=1)
     return left.agg(F.count(F.lit(1)).alias("facts")).crossJoin(rolled.agg(F.count(F.lit(1)).alias("rollups")))
+
+
+PICKED = """
+q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY agent, request_id, granularity ORDER BY tier <> 'enhanced', concat_ws('|', model_raw, observed_us::VARCHAR, printf('%.1f', duration_ms), printf('%.1f', ttft_ms), output_total::VARCHAR, is_retry::VARCHAR, tier, quality, source_id, channel)) = 1),
+z AS (SELECT *, NOT is_retry AND quality <> 'unavailable' AS usual, output_total >= 2 AND duration_ms > ttft_ms AS valid FROM q WHERE observed_us BETWEEN (SELECT max(observed_us) FROM p) - 604800000000 AND (SELECT max(observed_us) FROM p))"""
+
+
+@query("""SELECT quantile_disc(ttft_ms, 0.5) FILTER (usual) AS ttft_p50, quantile_disc(duration_ms, 0.95) FILTER (usual) AS e2e_p95, quantile_disc((output_total - 1) / ((duration_ms - ttft_ms) / 1000.0::DOUBLE), 0.1) FILTER (usual AND valid) AS decode_p10,
+    count(*) FILTER (usual) AS samples, count(*) FILTER (is_retry) AS retries, count(*) FILTER (usual AND NOT valid) AS decode_invalid, 'partial' AS coverage, 'partial' AS decode_coverage FROM z""", PERFORMANCE, PICKED)
+def performance_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last seven days' requests, coalesced; some have unavailable quality."""
+    facts = performance_facts(spark, sf_dir)
+    r = snapshots.performance_snapshot(facts, _health(spark).where("false"), _now(facts), snapshots.RANGES["7d"])
+    return r.select(F.col("ttft.p50").alias("ttft_p50"), F.col("e2e.p95").alias("e2e_p95"), F.col("decode.p10").alias("decode_p10"), "samples", "retries", "decode_invalid", "coverage", "decode_coverage")
+
+
+@query("""SELECT id, schema_version, CASE schema_version WHEN 'codex-rollout-v1' THEN 'codexRollout' WHEN 'claude-code-transcript-v1' THEN 'claudeTranscript' ELSE 'unknown' END AS channel, 'measured' AS quality, 'fallback' AS tier,
+    CASE WHEN call_id <> '' THEN 'available' ELSE 'unavailable' END AS capability, burn_total, CASE schema_version WHEN 'codex-rollout-v1' THEN 'codex' WHEN 'claude-code-transcript-v1' THEN 'claude-code' ELSE 'unknown' END AS source_id FROM
+    (SELECT *, CASE channel WHEN 'view' THEN 'codex-rollout-v1' WHEN 'click' THEN 'claude-code-transcript-v1' ELSE channel END AS schema_version, input_uncached + cache_read + coalesce(cache_write, 0) + coalesce(output_visible, 0) + reasoning AS burn_total FROM f0)""")
+def canonical_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations as they come in: twice, and without source, total, tier and channel."""
+    version = F.when(F.col("channel") == "view", "codex-rollout-v1").when(F.col("channel") == "click", "claude-code-transcript-v1").otherwise(F.col("channel"))
+    seen = usage_facts(spark, sf_dir).withColumn("schema_version", version).withColumn("source_id", F.lit("")).withColumn("burn_total", F.lit(None).cast("bigint"))
+    raw = seen.select("id", "schema_version", "source_id", "call_id", "observed_us", *TOKEN_PARTS, "burn_total")
+    again = raw.withColumn("observed_us", F.col("observed_us") + 1).withColumn("call_id", F.lit("later"))
+    facts = canonical.backfilled(canonical.canonical(raw.unionByName(again), ["observed_us"]))
+    return facts.select("id", "schema_version", "channel", "quality", "tier", "capability", "burn_total", "source_id")
+
+
+@query("""SELECT series, CASE WHEN series = 'Other' THEN 'other' WHEN bool_or(quality = 'estimated') THEN 'estimated' WHEN bool_or(b.burn_total IS NULL) THEN 'partial' ELSE 'normal' END AS emphasis FROM b JOIN s USING (model_raw) GROUP BY series""", FACTS, BUCKETS, _ranked_sql("output_tokens"))
+def trend_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir)
+    now = _now(facts)
+    start, end, _ = trends.span(now, WIDTH_S, WINDOW_S)
+    rank = trends.ranked(trends.bucketed(facts, now, WIDTH_S, WINDOW_S)).select("model_raw", "series")
+    inside = facts.where(filters.in_half_open_window(start, end)).join(rank, "model_raw")
+    flags = inside.groupBy("series").agg(F.bool_or(F.col("quality") == "estimated").alias("estimated"), F.when(F.bool_or(F.col("burn_total").isNull()), "partial").otherwise("complete").alias("coverage"))
+    return flags.select("series", trends.emphasis().alias("emphasis"))

@@ -59,4 +59,5 @@ def performance_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("request").alias("granularity"),
         F.when(F.col("event_type") == "signup", "unavailable").otherwise("measured").alias("quality"),
         F.when(F.col("user_id") % 3 == 0, "src-a").when(F.col("user_id") % 3 == 1, "src-b").otherwise("src-c").alias("source_id"),
+        F.col("event_type").alias("channel"),
     )
