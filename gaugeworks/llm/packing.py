@@ -13,6 +13,8 @@ partition is left or a round no longer saves bins.
 
 from __future__ import annotations
 
+import base64
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,26 +32,46 @@ LENGTH, END = 1024, 2
 SLACK, ITEMS = 8, 50_000
 #: Distinct units that a worker remembers; then it starts anew.
 REMEMBER = 1_500_000
+_LINES = 500
 _ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]|<\|")
 
 
-def default_tokenizer() -> str:
-    """Where the public byte-level BPE vocabulary lies."""
+def default_tokenizer() -> tuple[str, str | None]:
+    """Where the public byte-level BPE vocabulary lies: the tokenizer's file and the same
+    vocabulary as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@functools.cache
+def encoder_of(path: str, ranks: str | None) -> UnitEncoder:
+    """This worker's encoder, which its tasks share."""
+    return UnitEncoder(path, ranks)
 
 
 class UnitEncoder:
-    """Ids of slices of texts; remembers the ids of units between slices."""
+    """Ids of slices of texts; remembers the ids of units between slices. With the ranks
+    of the same vocabulary, units are merged by them, which gives the same ids in a
+    quarter of the time."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merged = self.encode
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            by_rank = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+            self.merged = lambda texts: [by_rank.encode_ordinary(t) for t in texts]
+        self.line = self.merged(["\n"])[0]
         self.forget()
 
     def forget(self) -> None:
@@ -60,10 +82,20 @@ class UnitEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        ids = self.encode(texts)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))])
+        """Encodes units. Those without a line break are encoded many to a text, one a
+        line, as a line break is a token of its own beside them."""
+        plain = np.array(["\n" not in t for t in texts]) & (len(self.line) == 1)
+        lines = np.flatnonzero(plain)
+        texts_of = ["\n".join([texts[i] for i in lines[k : k + _LINES].tolist()]) for k in range(0, len(lines), _LINES)]
+        many = [np.array(x, np.uint32) for x in self.merged(texts_of)]
+        one = [np.array(x, np.uint32) for x in self.merged([texts[i] for i in np.flatnonzero(~plain).tolist()])]
+        ends = [np.append(np.flatnonzero(x == self.line[0]), len(x)) for x in many]
+        starts = [np.append(0, e[:-1] + 1) for e in ends]
+        shift = np.cumsum([len(self.ids), *map(len, many), *map(len, one)])
+        at = np.concatenate([np.empty(0, np.int64), *(s + d for s, d in zip(starts, shift, strict=False)), shift[len(many) : -1]])
+        size = np.concatenate([np.empty(0, np.int64), *(e - s for s, e in zip(starts, ends, strict=True)), [len(x) for x in one]]).astype(np.int64)
+        hashes = hashes[np.concatenate([lines, np.flatnonzero(~plain)])]
+        self.ids = np.concatenate([self.ids, *many, *one])
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")
         self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
@@ -111,14 +143,14 @@ class UnitEncoder:
         return out
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: tuple[str, str | None] | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and the end id. Only those
     of more than `length` are cut: all pieces but the first have that length. A null or
     empty text is the end id alone; rows with equal ids stay apart."""
-    path = tokenizer or default_tokenizer()
+    path, ranks = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(path)
+        encoder = encoder_of(path, ranks)
         for b in slices(batches, "text"):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for i, ids in enumerate(encoder.batch(b.column("text"))):
@@ -184,7 +216,7 @@ def _round(items: DataFrame, length: int, slack: int) -> DataFrame:
     return items.select("fill", "members").mapInArrow(run, _ITEM)
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: str | None = None, slack: int = SLACK, items: int = ITEMS) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: tuple[str, str | None] | None = None, slack: int = SLACK, items: int = ITEMS) -> DataFrame:
     """The pieces of `docs` with sequence_id and offset: pieces of a sequence lie without
     gaps from offset 0 and fill `length` places at most. Every row of `docs` has at least
     one piece; an empty table gives no rows; other columns are not read. A partition
