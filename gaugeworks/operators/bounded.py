@@ -24,7 +24,7 @@ def fair_budgets(counts: DataFrame, limit: int) -> DataFrame:
     rest = F.sum(1 - F.col("whole")).over(every)
     place = F.row_number().over(Window.partitionBy("whole").orderBy("source_id"))
     told = whole.select("source_id", "n", "whole", (F.lit(limit) - kept).alias("free"), rest.alias("rest"), place.alias("place"))
-    share = F.floor(F.col("free") / F.greatest("rest", F.lit(1))) + F.when(F.col("place") <= F.col("free") % F.greatest("rest", F.lit(1)), 1).otherwise(0)
+    share = ((F.col("free") - F.col("free") % F.greatest("rest", F.lit(1))) / F.greatest("rest", F.lit(1))).cast("bigint") + F.when(F.col("place") <= F.col("free") % F.greatest("rest", F.lit(1)), 1).otherwise(0)
     return told.select("source_id", "n", F.when(F.col("whole") == 1, F.col("n")).otherwise(share).cast("bigint").alias("budget"))
 
 

@@ -12,7 +12,7 @@ from gaugeworks.schema import DAY, ROLLUP_COHORT, TOKEN_PARTS
 
 
 def day_start(time: str = "observed_us") -> Column:
-    return (F.floor(F.col(time) / F.lit(DAY)) * DAY).cast("bigint")
+    return F.col(time) - F.pmod(F.col(time), F.lit(DAY))
 
 
 def daily(facts: DataFrame) -> DataFrame:

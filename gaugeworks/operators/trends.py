@@ -23,8 +23,7 @@ def span(now_us: int, width_s: int, window_s: int) -> tuple[int, int, int]:
 
 
 def bucket_start(width_s: int, time: str = "observed_us") -> Column:
-    width = width_s * SECOND
-    return (F.floor(F.col(time) / F.lit(width)) * width).cast("bigint")
+    return F.col(time) - F.pmod(F.col(time), F.lit(width_s * SECOND))
 
 
 def bucketed(facts: DataFrame, now_us: int, width_s: int, window_s: int, keys: tuple[str, ...] = ("model_raw",)) -> DataFrame:

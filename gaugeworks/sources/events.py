@@ -30,8 +30,8 @@ def usage_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind.isin("purchase", "click"), "auth-main").otherwise(F.concat(F.lit("auth-"), kind)).alias("authority"),
         F.when(kind == "purchase", "derived").when(kind == "signup", "estimated").when(kind == "error", "unavailable").otherwise("measured").alias("quality"),
         F.lit("call").alias("granularity"),
-        (F.floor(observed / DAY) * DAY).cast("bigint").alias("range_start_us"),
-        ((F.floor(observed / DAY) + 1) * DAY).cast("bigint").alias("range_end_us"),
+        (observed - F.pmod(observed, F.lit(DAY))).alias("range_start_us"),
+        (observed - F.pmod(observed, F.lit(DAY)) + DAY).alias("range_end_us"),
         (event % 50).alias("input_uncached"),
         (event % 11).alias("cache_read"),
         F.when(event % 5 != 0, event % 7).alias("cache_write"),
