@@ -34,7 +34,9 @@ GRID, ROUNDS = 8, 60
 #: Documents sampled for frequent words at most, and the share of tokens that makes one.
 SAMPLE_DOCS, FREQUENT = 20_000, 0.002
 END = np.uint64(0x3C6EF372FE94F82B)
-_SLICE = 16 << 20
+_SLICE = 8 << 20
+#: Tokens that are scored at once.
+_CHUNK = 1 << 18
 _NEVER = -(1 << 20)
 
 
@@ -197,7 +199,9 @@ class _Counts:
         self.deleted = np.concatenate([none, *(a[1] for _, a in told)])
         self.n, self.v, self.n_less, self.v_less = np.sum([a[2] for _, a in told], axis=0) if told else (0, 0, 0, 0)
         pair = shard.word.astype(np.int64) * max(len(shard.words), 1) + shard.before
-        _, self.pair = np.unique(pair, return_inverse=True)
+        own, at = np.unique(pair, return_inverse=True)
+        self.pair = at.astype(np.int32) if len(own) < 1 << 31 else at
+        del pair, own, at
         self.pair_train, self.pair_deleted = shard.counted(self.pair, int(self.pair.max()) + 1 if len(self.pair) else 0)
 
 
@@ -263,13 +267,17 @@ def _scored(n: int, table: np.ndarray):
     def run(pairs: Iterator) -> Iterator[tuple[int, bytes]]:
         c = _Counts(pairs, n)
         shard = c.shard
-        context, word, joint = c.train[shard.before], c.train[shard.word], c.pair_train[c.pair]
-        p2, p1 = _parts(joint, context, word, c.n)
-        w = table[bucket(context)]
-        score = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (c.v + 1))
-        base = np.log10((word + 0.1) / (c.n + 0.1 * (c.v + 1)))
         size = sum(shard.rows)
-        sums = [np.bincount(shard.row, x, size) for x in (np.ones(len(score)), word > 0, base, score)]
+        sums = [np.zeros(size) for _ in range(4)]
+        for k in range(0, len(shard.row), _CHUNK):
+            x = slice(k, k + _CHUNK)
+            row, context, word, joint = shard.row[x], c.train[shard.before[x]], c.train[shard.word[x]], c.pair_train[c.pair[x]]
+            p2, p1 = _parts(joint, context, word, c.n)
+            w = table[bucket(context)]
+            score = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (c.v + 1))
+            base = np.log10((word + 0.1) / (c.n + 0.1 * (c.v + 1)))
+            for total, value in zip(sums, (np.ones(len(row)), word > 0, base, score), strict=True):
+                np.add.at(total, row, value)
         first = 0
         for uid, rows in zip(shard.slices, shard.rows, strict=True):
             x = slice(first, first + rows)
