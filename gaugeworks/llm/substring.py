@@ -33,7 +33,9 @@ WINDOW, ANCHOR = 35, 12
 #: Documents sampled for frequent anchors, at most and as a share; occurrences in the
 #: whole table from which an anchor counts as frequent (16 in the sample at least).
 SAMPLE_DOCS, SAMPLE_SHARE, FREQUENT = 131_072, 1 / 16, 4_000
-_SLICE = 8 << 20
+_SLICE = 4 << 20
+#: Reference blocks for each shuffle partition of the session.
+_BLOCKS = 2
 _FACTORS = "doc_id long, text_key long, start int, stop int, source_id long, source_start int"
 _MASK48 = np.uint64((1 << 48) - 1)
 
@@ -133,7 +135,7 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     and a text of fewer words have none; null ids are kept as null; an empty table
     gives no rows; other columns are not read."""
     rows = _keyed(docs, id_col, text_col)
-    n = partitions(docs.sparkSession)
+    n = _BLOCKS * partitions(docs.sparkSession)
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, window, anchor))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,15 +193,15 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         join = lambda name: np.concatenate([h[name] for h in held])
         ids, keys, size = join("ids"), join("keys"), join("size").astype(np.int64)
         head = np.concatenate([h["doc"].astype(np.int64) + s for h, s in zip(held, shift[:-1], strict=True)])
-        place, anchors, low, high = join("pos").astype(np.int64), join("anchor"), join("low"), join("high")
+        place, anchors = join("pos").astype(np.int64), join("anchor")
+        whole = join("low") | join("high").astype(np.uint64) << np.uint64(32)
         held.clear()
-        anchors = np.repeat(anchors, size)
-        source = _sources(anchors, low, high)
-        del anchors, low, high
+        source = _sources(np.repeat(anchors, size), whole)
+        del anchors, whole
         copied = np.flatnonzero(source >= 0)
-        piece = np.repeat(np.arange(len(size)), size)
-        within = np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
-        doc_of, pos_of = lambda i: head[piece[i]], lambda i: place[piece[i]] + within[i]
+        ends = np.cumsum(size)
+        piece_of = lambda i: np.searchsorted(ends, i, side="right")
+        doc_of, pos_of = lambda i: head[piece_of(i)], lambda i: place[p := piece_of(i)] + i - (ends - size)[p]
         doc, pos, source = doc_of(copied), pos_of(copied), source[copied]
         first, _, stop = _factors(doc, pos, source, window)
         for i in range(0, len(first), 1 << 18):
