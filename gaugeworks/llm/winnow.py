@@ -9,6 +9,8 @@ both, and the places kept with the hashes show where.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,9 +72,10 @@ def hashes(packed_col: str) -> Column:
     return F.array_distinct(F.transform(packed_col, hash_of))
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str], rows: int = 1_000) -> DataFrame:
-    """`docs` with next_<column>: of the row that follows in descending order of id (nulls
-    last, equal ids in order of the columns), after the last one the first.
+def with_next(docs: DataFrame, id_col: str, columns: list[str], rows: int = 1_000, added: Callable[[DataFrame], DataFrame] = lambda df: df, carried: tuple[str, ...] = ()) -> DataFrame:
+    """`added(docs)` with next_<column> (also of the `carried` columns that it adds): of the
+    row that follows in descending order of id (nulls last, equal ids in order of the
+    columns), after the last one the first.
 
     Ids are cut into ranges of about `rows` rows by approximate quantiles, 10,000 ranges at
     most; a range also gets a copy of the row that follows its last one, and a window reads
@@ -82,16 +85,18 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], rows: int = 1_00
     cuts = sorted(set(found or []))
     above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col(id_col))) if cuts else F.lit(0)
     part = F.when(F.isnull(id_col), len(cuts) + 1).otherwise(above)
-    dealt = docs.withColumn("__part", part).withColumn("__copy", F.lit(False))
-    heads = sorted(dealt.groupBy("__part").agg(F.max(id_col)).collect())
+    heads = sorted(docs.groupBy(part.alias("__part")).agg(F.max(id_col)).collect())
+    dealt = added(docs).withColumn("__part", part).withColumn("__copy", F.lit(False))
     before = [(head[1], heads[i - 1][0]) for i, head in enumerate(heads)]
     head_ids = docs.sparkSession.createDataFrame(before, "__head long, __to int")
     tie = Window.partitionBy("__to").orderBy(*columns)
     copies = docs.join(F.broadcast(head_ids), F.col(id_col).eqNullSafe(F.col("__head"))).withColumn("__n", F.row_number().over(tie)).where("__n = 1")
-    both = dealt.unionByName(copies.select(*docs.columns, F.col("__to").alias("__part"), F.lit(True).alias("__copy")))
+    copies = added(copies.select(*docs.columns, F.col("__to").alias("__part"))).withColumn("__copy", F.lit(True))
+    both = dealt.unionByName(copies)
+    seen = [*columns, *carried]
     order = Window.partitionBy("__part").orderBy("__copy", F.col(id_col).desc_nulls_last(), *columns)
-    followed = both.withColumn("__next", F.lead(F.struct(*columns)).over(order)).where(~F.col("__copy"))
-    return followed.select(*docs.columns, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in columns])
+    followed = both.withColumn("__next", F.lead(F.struct(*seen)).over(order)).where(~F.col("__copy"))
+    return followed.drop("__part", "__copy").select("*", *[F.col(f"__next.{c}").alias(f"next_{c}") for c in seen]).drop("__next")
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
@@ -100,7 +105,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     document, and how alike they are. A null text is empty, an empty text has no
     fingerprints, and two texts without any are alike; a single row follows itself."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_fingerprints(narrow, {"fp": "text"}, k, window), "doc_id", ["text", "fp"])
+    rows = with_next(narrow, "doc_id", ["text"], added=lambda df: with_fingerprints(df, {"fp": "text"}, k, window), carried=("fp",))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = rows.withColumn("edited", F.concat(F.substring("text", 1, n - half), F.substring("next_text", F.lit(1), half)))
