@@ -82,9 +82,10 @@ class UnitEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Encodes units. Those without a line break are encoded many to a text, one a
-        line, as a line break is a token of its own beside them."""
-        plain = np.array(["\n" not in t for t in texts]) & (len(self.line) == 1)
+        """Encodes units. Those with a visible character at both ends (but for one space
+        before it) and no line break are encoded many to a text, one a line, as a line
+        break is a token of its own beside them; other blanks may merge with it."""
+        plain = np.array(["\n" not in t and t[-1] > " " and not t[-1].isspace() and not t.removeprefix(" ")[0].isspace() for t in texts], bool) & (len(self.line) == 1)
         lines = np.flatnonzero(plain)
         texts_of = ["\n".join([texts[i] for i in lines[k : k + _LINES].tolist()]) for k in range(0, len(lines), _LINES)]
         many = [np.array(x, np.uint32) for x in self.merged(texts_of)]

@@ -32,6 +32,12 @@ def test_units_give_the_ids_of_whole_texts(tokenizer, encoder, texts):
     assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_blanks_that_merge_with_line_breaks(tokenizer, encoder):
+    texts = ["a\xa0", "\xa0", "b", "\xa0\xa0c d\u3000 e", "f\x85 g\x85\n\n\x85", "\x1f h\x1f", " \xa0", "i", "\u2003\n\u2003", " ", "\x0b \x0b j"]
+    got = encoder.batch(pa.array(texts * 2))
+    assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts * 2]
+
+
 def test_pieces_and_sequences(docs, rows, tokenizer):
     got = packing.packed(docs, items=5).collect()
     want = []
