@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import packing, quality, secrets, simhash, substring
+from gaugeworks.llm import jaccard, packing, quality, secrets, substring
 from gaugeworks.llm.shared import materialize, reach_workers, text_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,10 +32,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays: that with the smallest id, of
-    rows that agree in id and text one."""
+    """Of each group of near copies (at least 0.8 of their five-word shingles in common) one
+    document stays: that with the smallest id, of rows that agree in id and text one."""
     reach_workers(spark)
-    rows = materialize(simhash.near_classes(docs.withColumn("__key", text_key()), keep=("__key",)).withColumnRenamed("doc_id", "__id"), "pipeline-groups")
+    rows = materialize(jaccard.near_classes(docs.withColumn("__key", text_key()), keep=("__key",)).withColumnRenamed("doc_id", "__id"), "pipeline-groups")
     first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__key").alias("k"))).alias("m")
     each = rows.groupBy("__id", "__key", "root").agg(F.count("*").alias("times"))
     marked = each.join(each.groupBy("root").agg(first), "root")
@@ -67,7 +67,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("substring dedup", repeated_passages),
     ("secret scans", secret_spans),
     ("best-fit packing", sequences),

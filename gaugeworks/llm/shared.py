@@ -8,13 +8,17 @@ import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python task handles at once (one longer text is taken alone).
 SLICE_BYTES = 4 << 20
+#: Places of a sieve.
+SIEVE_BITS = 1 << 25
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,3 +70,24 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 first, held = i, 0
             held += int(n)
         yield batch.slice(first)
+
+
+def sieve(values: DataFrame) -> Broadcast:
+    """A bitmap of fixed size over the one long column of `values`, sent to all tasks."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SIEVE_BITS, bool)
+        for b in batches:
+            bits[b.column(0).drop_null().to_numpy() % SIEVE_BITS] = True
+        yield pa.record_batch([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    bits = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for r in values.coalesce(8).mapInArrow(marked, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(r["bits"], np.uint8)
+    return values.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def sifted(bits: bytes, values: np.ndarray) -> np.ndarray:
+    """Which of the values may be in the sieve: all that are, and few others."""
+    at = values % SIEVE_BITS
+    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)

@@ -1,0 +1,65 @@
+import random
+import re
+
+import corpus_pipeline
+from gaugeworks.llm import jaccard
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text):
+    words = WORD.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def slow_roots(texts):
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def edited(rng, words, times):
+    out = list(words)
+    for at in rng.sample(range(len(out)), times):
+        out[at] = f"new{rng.randrange(1 << 30)}"
+    return " ".join(out)
+
+
+def corpus():
+    """Families of copies edited so that their similarities lie on both sides of 0.8."""
+    rng = random.Random(3)
+    texts = [None, "", " \n", "one", "One", "one two", "one two three four five"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 300))]
+        texts += [" ".join(base)] * 2 + [edited(rng, base, k) for k in (1, 1, 2, 3) if k < len(base)]
+        texts += [" ".join(base[: int(len(base) * s)]) for s in (0.95, 0.85, 0.7)] + [" ".join(["top", *base, "end"])]
+    return texts
+
+
+def test_classes_equal_brute_force(spark):
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).selectExpr("*", "1 AS node", "2 AS n", "3 AS bands", "4 AS text_hash")
+    got = {}
+    for r in jaccard.near_classes(docs).collect():
+        got.setdefault(r["root"], set()).add(r["doc_id"])
+    want = {}
+    for i, x in enumerate(slow_roots(texts)):
+        want.setdefault(x, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_the_stage_finds_what_lies_beyond_four_bits(spark, tmp_path):
+    texts = corpus()
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
+    label = slow_roots(texts)
+    assert kept == {label.index(x) for x in set(label)}
+
+
+def test_empty_table(empty):
+    assert jaccard.near_classes(empty).count() == 0
