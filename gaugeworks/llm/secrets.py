@@ -1,8 +1,10 @@
 """Secret scan with corpus-wide ownership frequency.
 
 A task finds the base spans (assigned values, access keys, hexadecimal runs) and, as
-further candidates, bare tokens that look like credentials. Every candidate value is
-hashed; per hash the corpus gives the number of distinct repositories and owners. A
+further candidates, bare tokens: whatever could stand in an assignment, whole and split at
+'=' and '.'. A first pass over the texts leaves a sieve of the values that stand in a base
+span or are random enough alone; only tokens that pass it are kept. Every candidate value is
+hashed, without '.' and '=' at its end; per hash the corpus gives the number of distinct repositories and owners. A
 value seen with more than `max_owners` owners is a widely copied example; one seen with
 few, and that either stands in a base span somewhere or is random enough by itself, is
 owner-specific and live-looking: every bare occurrence of it becomes a span too.
@@ -16,20 +18,22 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import materialize, slices, text_key
+from gaugeworks.llm.shared import materialize, sieve, sifted, slices, text_key
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-#: A bare candidate: a run of token characters holding a digit. It is random enough by
-#: itself from this many bits a character and characters, with upper and lower case.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
+#: A bare token: a run of what a value may hold. Between full stops it is random enough by
+#: itself from this many bits a character and characters, with both cases and a digit.
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+_DIGIT = re.compile(r"[0-9]")
 ENTROPY, ENTROPY_CHARS = 3.5, 24
 MAX_OWNERS = 3
 _CANDIDATES = "array<struct<hash:binary,kind:string,start:int,stop:int,alike:boolean>>"
@@ -44,31 +48,74 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def random_enough(value: str) -> bool:
-    if len(value) < ENTROPY_CHARS or value.lower() == value or value.upper() == value:
+    if len(value) < ENTROPY_CHARS or value.lower() == value or value.upper() == value or not _DIGIT.search(value):
         return False
     return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values()) >= ENTROPY
 
 
-def candidates(text: str) -> list[tuple[bytes, str, int, int, bool]]:
-    """(hash of the value, kind, start, stop, whether it is live-looking by itself)."""
-    found = [(value, kind, a, z, True) for kind, a, z, value in base_spans(text)]
-    found += [(m[0], "bare", m.start(), m.end(), random_enough(m[0])) for m in TOKEN.finditer(text)]
-    return [(hashlib.blake2b(v.encode(), digest_size=16).digest(), *rest) for v, *rest in found]
+def bare(token: str) -> Iterator[tuple[int, int]]:
+    """Places in a token of what may be a value of its own: between any two of its ends, '='
+    and '.' that are next to each other, next among their kind, or the token's ends."""
+    if "=" not in token and "." not in token:
+        yield 0, len(token)
+        return
+    cuts = {(0, len(token))}
+    for marks in ("=", ".", "=."):
+        at = 0
+        for i, c in enumerate(token + marks[0]):
+            if c in marks:
+                cuts.add((at, i))
+                at = i + 1
+    for a, z in sorted(cuts):
+        if len(token[a:z].rstrip(".=")) >= LEAST["assign"]:
+            yield a, z - (len(token[a:z]) - len(token[a:z].rstrip(".")))
+
+
+def value_hash(value: str) -> bytes:
+    return hashlib.blake2b(value.rstrip(".=").encode(), digest_size=16).digest()
+
+
+def _place(value: bytes) -> int:
+    return int.from_bytes(value[:4], "little")
+
+
+def candidates(text: str, known: bytes | None = None) -> list[tuple[bytes, str, int, int, bool]]:
+    """(hash of the value, kind, start, stop, whether it is live-looking by itself); of the
+    bare ones those that are, and those that are in the sieve `known`."""
+    found = [(value_hash(value), kind, a, z, True) for kind, a, z, value in base_spans(text)]
+    more = {}
+    for m in TOKEN.finditer(text):
+        for a, z in bare(m[0]):
+            value, start = m[0][a:z], m.start() + a
+            alike = "." not in value and random_enough(value)
+            if alike or known is not None:
+                more[value_hash(value), start] = ("bare", start, start + len(value), alike)
+    if known is not None and more:
+        near = sifted(known, np.array([_place(h) for h, _ in more], np.int64))
+        more = {k: v for (k, v), x in zip(more.items(), near, strict=True) if x or v[3]}
+    return found + [(h, *rest) for (h, _), rest in more.items()]
 
 
 def scan(docs: DataFrame, text_col: str = "text", repository: Column | None = None, owner: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """`keep` columns, repository, owner, row and candidates of every row, written out;
-    row tells rows apart for good, even where all their columns agree."""
+    row tells rows apart for good, even where all their columns agree. Bare candidates are
+    those whose value may be live."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "__text"):
+            found = {_place(c[0]) for t in b.column("__text") if t.is_valid for c in candidates(t.as_py())}
+            yield pa.record_batch([pa.array(sorted(found), pa.int64())], ["place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
-            found = [[dict(zip(("hash", "kind", "start", "stop", "alike"), c, strict=True)) for c in candidates(t.as_py())] if t.is_valid else [] for t in b.column("__text")]
+            found = [[dict(zip(("hash", "kind", "start", "stop", "alike"), c, strict=True)) for c in candidates(t.as_py(), known.value)] if t.is_valid else [] for t in b.column("__text")]
             kind = pa.list_(pa.struct([("hash", pa.binary()), ("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("alike", pa.bool_())]))
             names = [n for n in b.schema.names if n != "__text"]
             yield pa.record_batch([*[b.column(n) for n in names], pa.array(found, kind)], [*names, "candidates"])
 
     rows = docs.select(*keep, repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), F.col(text_col).cast("string").alias("__text"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    known = sieve(materialize(rows.select("__text").mapInArrow(places, "place long").distinct(), "secrets-places"))
     found = rows.mapInArrow(run, ", ".join([*kept, f"candidates {_CANDIDATES}"]))
     return materialize(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
 
@@ -89,7 +136,7 @@ def ownership(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
     """(doc_id, spans: sorted array of kind, start, stop, verdict) for every row of `docs`:
     all base spans, each with its value's verdict, and the bare occurrences of live
-    values as kind "owned" where no base span covers them. Places count code points. A
+    values as kind "owned" where no base span or longer such value covers them. Places count code points. A
     null or empty text has no spans. repository: by default the document's id, owner: by
     default its source."""
     repository = F.col(id_col) if repository is None else repository
@@ -101,8 +148,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repos
     order = F.element_at(F.create_map(*[F.lit(x) for k, v in {"assign": 0, "access": 1, "hex": 2, "bare": 3}.items() for x in (k, v)]), F.col("kind"))
     kind = F.when(F.col("kind") == "bare", "owned").otherwise(F.col("kind"))
     found = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", order.alias("order"), "stop", kind.alias("kind"), "verdict"))).alias("s"))
-    base = F.filter("s", lambda x: x["kind"] != "owned")
-    clear = F.filter("s", lambda x: (x["kind"] != "owned") | ~F.exists(base, lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"])))
+    meets = lambda x, y: (y["start"] < x["stop"]) & (x["start"] < y["stop"])
+    holds = lambda x, y: (y["start"] <= x["start"]) & (x["stop"] <= y["stop"]) & ((y["start"] < x["start"]) | (x["stop"] < y["stop"]))
+    clear = F.filter("s", lambda x: (x["kind"] != "owned") | ~F.exists("s", lambda y: F.when(y["kind"] == "owned", holds(x, y)).otherwise(meets(x, y))))
     found = found.select("row", clear.alias("spans"))
     return rows.select("row", F.col("__id").alias("doc_id")).join(found, "row", "left").select("doc_id", F.coalesce("spans", F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("order"), F.lit(0).alias("stop"), F.lit("").alias("kind"), F.lit("").alias("verdict"))), lambda x: F.lit(False))).alias("spans"))
 

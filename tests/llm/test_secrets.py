@@ -62,3 +62,17 @@ def test_redacted(spark, rows, empty):
     assert sum(COPIED in (t or "") for t in texts) == 6
     assert None in texts
     assert secrets.redacted(empty).count() == 0
+
+
+def test_values_assigned_somewhere_are_owned_wherever_they_stand_bare(spark):
+    values = ["abc123defg45", "onlylettershere", "eyJhbGci.eyJzdWIi.c2lnbmF0dXJl", "sk.live.x9y8z7w6", "bG9uZyBzZWNyZXQ9PQ=="]
+    texts = [f"password = {v}." if i % 2 else f"password = '{v}'" for i, v in enumerate(values)]
+    bare = [form.format(v) for v in values for form in ("use {} now", "it is {}.", "key={}", "a=b={}&c")]
+    texts += [*bare, "key=notassigned1", "words.that.are.only.words here"]
+    docs = spark.createDataFrame([(i, t, "en", "one", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: [t["kind"] for t in r["spans"]] for r in secrets.spans(docs).collect()}
+    assert [found[i] for i in range(len(values))] == [["assign"]] * len(values)
+    assert [found[i] for i in range(len(values), len(texts))] == [["owned"]] * len(bare) + [[], []]
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()}
+    for i, v in enumerate(v for v in values for _ in range(4)):
+        assert v not in out[len(values) + i]
