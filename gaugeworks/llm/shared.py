@@ -22,11 +22,14 @@ SIEVE_BITS = 1 << 25
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where
-    no session setting names one (local tests) a folder of this machine is used."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session
+    that runs on this machine alone (local tests) may do without that setting."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gaugeworks-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gaugeworks-"))
     return sc.getCheckpointDir()
 
 
@@ -46,6 +49,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where `df` has a column that is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session; shards are dealt to as many."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
