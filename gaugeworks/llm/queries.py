@@ -70,7 +70,8 @@ QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_fingerpr
 _GRID = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in quality.RULES.items() for c in cs)
 _RATES = {"symbols_per_word": ("n_symbols", "n_words"), "duplicate_line_share": ("n_dup_lines", "n_lines"), "repeated_word_share": ("n_repeat_words", "n_words"), "mean_word_length": ("word_chars", "n_words")}
 _RATE = " ".join(f"WHEN '{r}' THEN CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END" for r, (a, b) in _RATES.items())
-_P = quality.ALPHA / len(quality.RULES)
+_P = quality.ALPHA
+_ORDER = " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(quality.RULES))
 _QUALITY_SQL = f"""
     WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
          w AS (SELECT doc_id, lang, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
@@ -78,18 +79,27 @@ _QUALITY_SQL = f"""
          again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
          cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY doc_id),
          lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
-         f AS (SELECT w.doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         f AS (SELECT w.doc_id, lang, md5(text) AS copy, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
                       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_lines, coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words
                FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN cover USING (doc_id)),
          b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
          e AS (SELECT b.*, rule, cutoff, CASE rule {_RATE} END > cutoff AS over FROM b CROSS JOIN (VALUES {_GRID}) AS g(rule, cutoff)),
          l AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id),
+         u AS (SELECT lang, copy, rule, cutoff, min(quality) AS quality, bool_or(over) AS over, ('0x' || copy[1])::INT < {quality.CHOOSING} AS chooses
+               FROM e JOIN l USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL GROUP BY lang, copy, rule, cutoff),
          c AS (SELECT lang, rule, cutoff, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (over AND quality = 1) AS k1, count(*) FILTER (over AND quality = 0) AS k0
-               FROM e JOIN l USING (doc_id) WHERE NOT base_failed GROUP BY lang, rule, cutoff),
-         t AS (SELECT *, CASE WHEN k1 < good * {_P} THEN list_sum(list_transform(range(0, k1 + 1), lambda i: exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({_P}) + (good - i) * ln(1 - {_P})))) ELSE 1 END AS p,
-                      k0 / greatest(bad, 1) - {quality.COST} * k1 / greatest(good, 1) AS balance FROM c),
-         best AS (SELECT lang, rule, cutoff FROM t WHERE balance > 0 AND p <= {quality.DELTA} / (SELECT count(*) FROM c) QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY balance DESC, cutoff DESC) = 1),
-         r AS (SELECT doc_id, list(rule) AS rules FROM e JOIN best USING (lang, rule, cutoff) WHERE over GROUP BY doc_id)
+               FROM u WHERE chooses GROUP BY lang, rule, cutoff),
+         best AS (SELECT lang, rule, cutoff, k0 / greatest(bad, 1) - {quality.COST} * k1 / greatest(good, 1) AS balance FROM c
+                  WHERE balance > 0 QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY balance DESC, cutoff DESC) = 1),
+         picked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY balance DESC, CASE rule {_ORDER} END) AS place FROM best),
+         first AS (SELECT u.lang, copy, min(place) FILTER (over) AS first FROM u JOIN picked ON u.lang IS NOT DISTINCT FROM picked.lang AND u.rule = picked.rule AND u.cutoff = picked.cutoff
+                   WHERE NOT chooses AND quality = 1 GROUP BY u.lang, copy),
+         k AS (SELECT p.lang, place, (SELECT count(*) FROM first f WHERE f.lang IS NOT DISTINCT FROM p.lang) AS n,
+                      (SELECT count(*) FROM first f WHERE f.lang IS NOT DISTINCT FROM p.lang AND f.first <= p.place) AS k FROM picked p),
+         t AS (SELECT *, CASE WHEN k < n * {_P} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P}) + (n - i) * ln(1 - {_P})))) ELSE 1 END
+                      <= {quality.DELTA} / (SELECT count(DISTINCT coalesce(lang, '?')) FROM picked) AS passed FROM k),
+         held AS (SELECT lang, rule, cutoff FROM picked p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.lang IS NOT DISTINCT FROM p.lang AND t.place <= p.place AND NOT passed)),
+         r AS (SELECT doc_id, list(e.rule) AS rules FROM e JOIN held ON e.lang IS NOT DISTINCT FROM held.lang AND e.rule = held.rule AND e.cutoff = held.cutoff WHERE over GROUP BY doc_id)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules IS NULL AS kept,
            array_to_string(list_filter({list(quality.RULES)}, lambda x: list_contains(coalesce(rules, []), x)), ',') AS rejected_by
     FROM b LEFT JOIN r USING (doc_id)"""

@@ -206,9 +206,10 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     several = materialize(several, "substring-anchors")
     places = anchors.join(several, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size", "anchor", "common")).alias("places"))
     pieces = _cut(_beside(rows, places, "inner"), window)
-    own = pieces.groupBy("block", "content").agg(F.first("words").alias("words"), F.sum(F.size("at")).alias("times"), F.min(F.array_min("at")).alias("least"), F.max(F.array_max("at")).alias("most"))
+    told = pieces.select("block", "content", "words", F.size("at").alias("times"), F.array_min("at").alias("least"), F.array_max("at").alias("most"))
+    own = told.repartition(n, "block").groupBy("block", "content").agg(F.first("words").alias("words"), F.sum("times").alias("times"), F.min("least").alias("least"), F.max("most").alias("most"))
     sized = own.withColumn("size", F.when(F.col("words").isNull(), window).otherwise(F.size(F.split(F.col("words").cast("string"), " "))))
-    found = sized.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_block_factors(window, block_words), "block long, content binary, start int, stop int, source_id long, source_start int, other_id long, other_start int")
+    found = sized.sortWithinPartitions("block").mapInArrow(_block_factors(window, block_words), "block long, content binary, start int, stop int, source_id long, source_start int, other_id long, other_start int")
     held = pieces.select("block", "content", F.inline("at").alias("doc_id", "text_key", "place")).join(found, ["block", "content"])
     self = F.col("doc_id").eqNullSafe(F.col("source_id")) & (F.col("place") + F.col("start") == F.col("source_start"))
     source = lambda name: F.when(self, F.col(f"other_{name}")).otherwise(F.col(f"source_{name}")).alias(f"source_{name}")
