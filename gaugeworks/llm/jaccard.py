@@ -1,12 +1,5 @@
-"""Near copies by the share of word shingles that two texts have in common.
-
-The `BANDS` x `ROWS` least values of a text's shingles under that many orders are cut
-into bands; texts that agree in a band are candidates. A pair of Jaccard similarity s
-agrees in none with probability (1 - s ** ROWS) ** BANDS, 0.000026 at 0.8. Candidates are
-confirmed by the exact similarity of their shingle sets. Each bucket's members are first
-held against its least one; of what is then still apart every pair is held against each
-other, so a dense group of near copies costs about its size and not its square.
-"""
+"""Exact similarity of pairs of texts by the share of word shingles that they have in
+common: the check behind candidate pairs."""
 
 from __future__ import annotations
 
@@ -15,18 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.components import components
 from gaugeworks.llm.shared import materialize, sieve, sifted, slices, text_key
 from gaugeworks.llm.words import mix, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_ORDERS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * _STEP)
-_CHUNK = 1024
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -48,46 +37,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """A hash for each band of the least values."""
-    flip, times = _ORDERS[: BANDS * ROWS], _ORDERS[BANDS * ROWS :] | np.uint64(1)
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for i in range(0, len(shingles), _CHUNK):
-        least = np.minimum(least, ((shingles[i : i + _CHUNK, None] ^ flip) * times).min(axis=0))
-    h = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        h = mix(h * _STEP + column)
-    return h
-
-
-def _signed(values) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
-
-
-def sketches(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """(doc_id, `keep` columns, text_hash, node, n, bands): node stands for the text's words in
-    their order, n counts its distinct shingles."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, text_key(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("__text"))
-    names = ["doc_id", *keep, "text_hash"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "node long, n int, bands array<long>"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
-            nodes, sizes, found = [], [], []
-            for node, own in shingle_sets(b.column("__text")):
-                nodes.append(node)
-                sizes.append(len(own))
-                found.append(bands(own) if len(own) else np.empty(0, np.uint64))
-            ends = np.cumsum([0, *map(len, found)])
-            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate(found)))
-            yield pa.record_batch([*[b.column(c) for c in names], _signed(nodes), pa.array(sizes, pa.int32()), held], [*names, "node", "n", "bands"])
-
-    return rows.mapInArrow(run, schema)
-
-
 def _texts(docs: DataFrame, text_col: str, rows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """(node, text) of the nodes in `pairs`. Texts pass a sieve in their own tasks,
-    so that few others are shuffled."""
+    """(node, text) of the nodes in `pairs`. Texts pass a sieve in their own tasks, so that
+    few others are shuffled; of equal texts a task sends one."""
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     of_node = materialize(rows.groupBy("node").agg(F.min("text_hash").alias("text_hash")).join(wanted, "node"), name)
 
@@ -98,7 +50,8 @@ def _texts(docs: DataFrame, text_col: str, rows: DataFrame, pairs: DataFrame, na
             yield b.filter(pa.array(sifted(shared.value, b.column("text_hash").to_numpy())))
 
     own = docs.select(text_key(text_col).alias("text_hash"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return own.mapInArrow(passing, "text_hash long, text string").join(of_node, "text_hash").dropDuplicates(["node"]).select("node", "text")
+    once = own.mapInArrow(passing, "text_hash long, text string").groupBy("text_hash").agg(F.first("text").alias("text"))
+    return once.join(of_node, "text_hash").select("node", "text")
 
 
 def confirmed(docs: DataFrame, text_col: str, rows: DataFrame, pairs: DataFrame, name: str, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -114,32 +67,3 @@ def confirmed(docs: DataFrame, text_col: str, rows: DataFrame, pairs: DataFrame,
                 yield x.select(["u", "v"]).filter(pa.array([similarity(p, q) >= least for (_, p), (_, q) in sets], pa.bool_()))
 
     return materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), name)
-
-
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, `keep` columns, root) for every row of `docs`: root names the component of
-    links between texts whose shingle sets are at least SIMILARITY similar. Texts of the
-    same words in the same order are linked, word-less ones among themselves; an empty table
-    gives no rows; other columns are not read."""
-    rows = materialize(sketches(docs, id_col, text_col, keep), "near")
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    within = Window.partitionBy("bucket")
-    members = nodes.select(F.explode("bands").alias("bucket"), "node", "n").withColumns({"lead": F.min(F.struct("node", "n")).over(within), "most": F.max("node").over(within)})
-    members = materialize(members.where("lead.node < most").select("bucket", "node", "n", "lead"), "near-buckets")
-    alike = lambda a, b: F.least(a, b) / F.greatest(a, b) >= SIMILARITY
-    first = members.where((F.col("node") != F.col("lead.node")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("node").alias("u"), F.col("lead.node").alias("v")).distinct()
-    edges = confirmed(docs, text_col, rows, first, "near-first")
-    label = materialize(components(edges, "near-classes"), "near-nodes")
-
-    told = materialize(members.join(label, "node", "left").select("bucket", "node", "n", F.col("lead.node").alias("lead"), F.coalesce("component", "node").alias("label")), "near-told")
-    apart = told.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels"))
-    apart = told.join(apart.where("labels > 1").select("bucket", F.col("m.label").alias("main")), "bucket")
-    few, all_ = apart.where("label <> main").alias("x"), apart.alias("y")
-    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    fresh = (F.col("x.node") != F.col("x.lead")) & (F.col("y.node") != F.col("y.lead"))
-    second = few.join(all_, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.label") != F.col("y.label")) & once & fresh & alike(F.col("x.n"), F.col("y.n")))
-    second = second.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
-    more = confirmed(docs, text_col, rows, second, "near-second")
-    if more.head(1):
-        label = materialize(components(edges.unionByName(more), "near-classes"), "near-nodes")
-    return rows.join(label, "node", "left").select("doc_id", *keep, F.coalesce("component", "node").alias("root"))

@@ -142,7 +142,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repos
     repository = F.col(id_col) if repository is None else repository
     owner = F.col("source") if owner is None else owner
     rows = scan(docs.withColumn("__id", F.col(id_col)), text_col, repository, owner, ("__id",))
-    verdicts = ownership(rows, max_owners).select("hash", "verdict")
+    verdicts = materialize(ownership(rows, max_owners).select("hash", "verdict"), "secrets-verdicts")
     each = rows.where(F.size("candidates") > 0).select("row", F.inline("candidates"))
     told = each.join(verdicts, "hash").where("kind <> 'bare' OR verdict = 'live'")
     order = F.element_at(F.create_map(*[F.lit(x) for k, v in {"assign": 0, "access": 1, "hex": 2, "bare": 3}.items() for x in (k, v)]), F.col("kind"))

@@ -7,6 +7,15 @@ in which the two prefixes differ and drops a pair once the sum exceeds the budge
 Pairs whose nodes lie in one class already are dropped too, so a dense group of near
 copies costs about its size and not its square; a class, not a pair list, is what
 comes out. Buckets above `bucket_rows` are split again by the bits that are left.
+
+`near_copies` is the same join for a fixed similarity of texts. One fingerprint of word
+shingles cannot tell 0.8 from less (at a Jaccard similarity of 0.8 some 10 of 64 bits
+differ), so each text has `PRINTS` fingerprints of its distinct words, which an edit
+changes less; a pair within the budget in any of them is a candidate, and the exact
+similarity of the two shingle sets decides. First the pairs by which the trie walk over
+the first fingerprint grew its classes are held against each other; then the walk over
+all of them is done with the classes found so far, and gives every candidate pair that
+lies in two of them.
 """
 
 from __future__ import annotations
@@ -20,7 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.components import components
-from gaugeworks.llm.shared import materialize, partitions, slices
+from gaugeworks.llm.jaccard import SHINGLE as SHINGLE_WORDS
+from gaugeworks.llm.jaccard import SIMILARITY, confirmed
+from gaugeworks.llm.shared import materialize, partitions, slices, text_key
+from gaugeworks.llm.words import mix, words_of
 
 BITS = 64
 SEED = 42
@@ -28,7 +40,9 @@ SHINGLE = 4
 BUDGET = 4
 #: Rows of a bucket above which it is split by further bits.
 BUCKET_ROWS = 4_000_000
-_CHUNK, _LEAF = 32_768, 32
+#: Fingerprints of a text's words in near_copies.
+PRINTS = 16
+_CHUNK, _LEAF, _PAIRS = 32_768, 32, 1 << 21
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -87,12 +101,40 @@ def _mask_first(fps: np.ndarray, mask: int) -> np.ndarray:
     return out
 
 
+def _products(a: np.ndarray, az: np.ndarray, b: np.ndarray, bz: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of each a..az with its b..bz, about _PAIRS at a time."""
+    rows = np.maximum(1, _PAIRS // np.maximum(1, bz - b))
+    parts = -(-(az - a) // rows)
+    of = np.repeat(np.arange(len(a)), parts)
+    low = a[of] + (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * rows[of]
+    high = np.minimum(low + rows[of], az[of])
+    area = (high - low) * (bz - b)[of]
+    cut = np.searchsorted(np.cumsum(area) // _PAIRS, np.arange(int(area.sum()) // _PAIRS + 2))
+    for first, last in zip(cut[:-1], cut[1:], strict=True):
+        x = slice(first, last)
+        if first < last:
+            at = np.repeat(np.arange(first, last), area[x])
+            step = np.arange(len(at)) - np.repeat(np.cumsum(area[x]) - area[x], area[x])
+            wide = (bz - b)[of[at]]
+            yield low[at] + step // wide, b[of[at]] + step % wide
+
+
 def trie_classes(values: np.ndarray, top: int, budget: int) -> np.ndarray:
-    """For each of the sorted distinct `values`, the index of the first value of its
-    class: values that agree in their `top` first bits are linked where at most
-    `budget` bits differ, and classes are what links connect."""
+    """For each of the sorted `values`, the index of the first value of its class: values
+    that agree in their `top` first bits are linked where at most `budget` bits differ, and
+    classes are what links connect."""
+    label = np.arange(len(values))
+    for _ in trie_pairs(values, top, budget, label):
+        pass
+    return label
+
+
+def trie_pairs(values: np.ndarray, top: int, budget: int, label: np.ndarray, merging: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of the sorted `values` that agree in their `top` first bits, differ in
+    `budget` bits at most and have two labels. With `merging` the label of a pair is made
+    one, the lesser, as soon as it is met, so that the pairs given connect the classes;
+    without, labels stay and every such pair is given."""
     n = len(values)
-    label = np.arange(n)
 
     def merge(i: np.ndarray, j: np.ndarray) -> bool:
         changed = False
@@ -115,12 +157,14 @@ def trie_classes(values: np.ndarray, top: int, budget: int) -> np.ndarray:
     heads = values >> np.uint64(BITS - top)
     edge = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])) if n else np.empty(0, np.int64)
     lo, hi = edge, np.concatenate([edge[1:], [n]])[: len(edge)].astype(np.int64)
-    near = np.flatnonzero((np.bitwise_count(values[1:] ^ values[:-1]) <= budget) & (heads[1:] == heads[:-1])) if n else edge
-    merge(near, near + 1)
+    if merging and n:
+        near = np.flatnonzero((np.bitwise_count(values[1:] ^ values[:-1]) <= budget) & (heads[1:] == heads[:-1]))
+        merge(near, near + 1)
+        yield near, near + 1
     several = hi - lo > 1
     lo, hi = lo[several], hi[several]
     if not len(lo):
-        return label
+        return
     seen = changes()
     stack = [(top, lo[i : i + _CHUNK], hi[i : i + _CHUNK], lo[i : i + _CHUNK], hi[i : i + _CHUNK], np.zeros(len(lo[i : i + _CHUNK]), np.int8)) for i in range(0, len(lo), _CHUNK)]
     while stack:
@@ -130,14 +174,12 @@ def trie_classes(values: np.ndarray, top: int, budget: int) -> np.ndarray:
         area = (az - a) * (bz - b)
         small = (area <= _LEAF) | (depth == BITS)
         if small.any():
-            count = area[small]
-            at = np.repeat(np.arange(len(count)), count)
-            step = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-            wide = (bz - b)[small][at]
-            i, j = a[small][at] + step // wide, b[small][at] + step % wide
-            hit = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
-            if hit.any() and merge(i[hit], j[hit]):
-                seen = changes()
+            for i, j in _products(*(x[small] for x in (a, az, b, bz))):
+                hit = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget) & (label[i] != label[j])
+                if hit.any():
+                    yield i[hit], j[hit]
+                    if merging and merge(i[hit], j[hit]):
+                        seen = changes()
         a, az, b, bz, diff = (x[~small] for x in (a, az, b, bz, diff))
         if not len(a):
             continue
@@ -151,64 +193,147 @@ def trie_classes(values: np.ndarray, top: int, budget: int) -> np.ndarray:
         live &= (children[0] != children[2]) | (children[1] - children[0] > 1)
         children = [x[live] for x in children]
         stack += [(depth + 1, *(x[i : i + _CHUNK] for x in children)) for i in range(0, len(children[0]), _CHUNK)]
-    return label
 
 
-def links(fps: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (u, v) between the distinct values of `fp` whose closure joins exactly the
-    fingerprints that chains of at most `budget` differing bits connect: within each
-    bucket every member of a class points to its first one."""
-    spark, n = fps.sparkSession, partitions(fps.sparkSession)
+def buckets(fps: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of `fps` (kind int, fp long, any others) once for every bucket they are in,
+    with the bucket's mask, dealt out so that a bucket lies in one partition. Any two of one
+    kind within `budget` bits share a bucket."""
+    spark, n, kept = fps.sparkSession, partitions(fps.sparkSession), fps.columns
     signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
-    masks = block_masks(budget)
-    rows = fps.select("fp", F.explode(F.array(*[F.lit(signed(m)).cast("long") for m in masks])).alias("mask"))
+    masks, key = block_masks(budget), ["kind", "mask", "bits"]
+    rows = fps.select(*kept, F.explode(F.array(*[F.lit(signed(m)).cast("long") for m in masks])).alias("mask"))
     ready = []
     while True:
         rows = rows.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
-        large = rows.groupBy("mask", "bits").count().where(F.col("count") > bucket_rows).select("mask", "bits")
+        large = rows.groupBy(*key).count().where(F.col("count") > bucket_rows).select(*key)
         finer = {m: block_masks(budget, m) for m in masks if bin(m).count("1") < BITS - budget}
         if not finer or not large.head(1):
             ready.append(rows)
             break
         large = materialize(large, "simhash-large")
-        ready.append(rows.join(large, ["mask", "bits"], "left_anti"))
+        ready.append(rows.join(large, key, "left_anti").select(*kept, "mask", "bits"))
         into = F.create_map(*[x for m, k in finer.items() for x in (F.lit(signed(m)).cast("long"), F.array(*[F.lit(signed(y)).cast("long") for y in k]))])
-        rows = materialize(rows.join(large, ["mask", "bits"], "left_semi").select("fp", F.explode(into[F.col("mask")]).alias("mask")), "simhash-finer")
+        rows = materialize(rows.join(large, key, "left_semi").select(*kept, F.explode(into[F.col("mask")]).alias("mask")), "simhash-finer")
         masks = sorted({x for k in finer.values() for x in k})
     for more in ready[1:]:
         ready[0] = ready[0].unionByName(more)
+    return ready[0].repartition(n, *key).select(*kept, "mask")
+
+
+def _per_mask(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, int]]:
+    """Of each kind and mask in a partition: its rows by fingerprint with the mask's bits on
+    top, those numbers, and how many bits the mask has."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    kind, mask = table.column("kind").to_numpy(), table.column("mask").to_numpy()
+    order = np.lexsort((mask, kind))
+    kind, mask = kind[order], mask[order]
+    new = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]) | (mask[1:] != mask[:-1])))
+    for a, z in zip(new, np.append(new[1:], len(order)), strict=True):
+        own = table.take(pa.array(order[a:z]))
+        bits = int(mask[a]) & (1 << BITS) - 1
+        moved = _mask_first(own.column("fp").to_numpy().view(np.uint64), bits)
+        sort = np.argsort(moved, kind="stable")
+        yield own.take(pa.array(sort)), moved[sort], bits.bit_count()
+
+
+def links(fps: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Edges (u, v) between the distinct values of `fp` whose closure joins exactly the
+    fingerprints that chains of at most `budget` differing bits connect: within each
+    bucket every member of a class points to its first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        fp, mask = table.column("fp").to_numpy().view(np.uint64), table.column("mask").to_numpy()
-        for m in np.unique(mask):
-            own, bits = np.unique(fp[mask == m]), int(m) & (1 << BITS) - 1
-            moved = _mask_first(own, bits)
-            order = np.argsort(moved)
-            first = trie_classes(moved[order], bits.bit_count(), budget)
-            u, v = own[order], own[order][first]
-            keep = u != v
-            yield pa.record_batch([pa.array(u[keep].view(np.int64)), pa.array(v[keep].view(np.int64))], ["u", "v"])
-
-    return ready[0].repartition(n, "mask", "bits").select("fp", "mask").mapInArrow(run, "u long, v long")
+        for own, moved, top in _per_mask(batches):
+            fp = own.column("fp").to_numpy()
+            first = trie_classes(moved, top, budget)
+            keep = fp != fp[first]
+            yield pa.record_batch([pa.array(fp[keep]), pa.array(fp[first][keep])], ["u", "v"])
+
+    return buckets(fps.select(F.lit(0).alias("kind"), "fp"), budget, bucket_rows).mapInArrow(run, "u long, v long")
+
+
+def candidates(fps: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS, merging: bool = True) -> DataFrame:
+    """Pairs (u, v), u > v, of the nodes in `fps` (kind, fp, node, label) within `budget` bits
+    in some kind: with `merging` so many of them as connect the nodes of a bucket that such
+    pairs connect, else all that have two labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, moved, top in _per_mask(batches):
+            node = own.column("node").to_numpy()
+            label = np.arange(len(node)) if merging else own.column("label").to_numpy()
+            for i, j in trie_pairs(moved, top, budget, label, merging):
+                yield pa.record_batch([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], ["u", "v"])
+
+    return buckets(fps, budget, bucket_rows).mapInArrow(run, "u long, v long").distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, `keep` columns, fp, component_id, root) for every row of `docs`:
     component_id is the smallest id (nulls apart) of the documents that links of at most
-    `budget` bits reach, the row itself included; root names the component. Rows that share an id and a text have equal results; an empty table
-    gives no rows; other columns are not read."""
+    `budget` bits reach, the row itself included; root names the component. Rows that share
+    an id and a text have equal results; an empty table gives no rows; other columns are not
+    read. Aggregates are written out before they are joined, so both sides of a join come
+    from plain shuffles and AQE can split a hot key."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle, keep), "simhash")
     least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     joined = materialize(components(links(least, budget), "simhash-classes"), "simhash-nodes")
     roots = least.join(joined, least.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    of_root = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_root = materialize(roots.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-roots")
     return rows.join(roots.join(of_root, "root").select("fp", "component_id", "root"), "fp").select("doc_id", *keep, "fp", "component_id", "root")
 
 
 def hex_fingerprint(fp: str = "fp"):
     """16 lowercase hex digits of a signed 64-bit column."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def word_prints(words: np.ndarray, prints: int = PRINTS) -> np.ndarray:
+    """A fingerprint of the distinct hashes for each of `prints` seeds; 0 without any."""
+    own = np.unique(words)
+    counts = np.zeros((prints, BITS), np.int64)
+    for i in range(0, len(own), 1024):
+        h = mix(own[i : i + 1024] ^ mix(np.arange(1, prints + 1, dtype=np.uint64))[:, None])
+        counts += np.unpackbits(h.view(np.uint8).reshape(prints, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * counts > len(own), axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...], prints: int = PRINTS) -> DataFrame:
+    """(doc_id, `keep` columns, text_hash, node, fps): node stands for the text's words, in
+    lower case (ASCII) and in their order."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, text_key(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("__text"))
+    names = ["doc_id", *keep, "text_hash"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "node long, fps array<long>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "__text"):
+            w = words_of(b.column("__text"), lower=True)
+            own = [w.hashes[a:z] for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64)
+            found = np.concatenate([word_prints(x, prints) for x in own])
+            held = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * prints, pa.int32()), pa.array(found.view(np.int64)))
+            yield pa.record_batch([*[b.column(c) for c in names], pa.array(nodes.view(np.int64)), held], [*names, "node", "fps"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, least: float = SIMILARITY, budget: int = BUDGET, prints: int = PRINTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, `keep` columns, root) for every row of `docs`: root names the component of
+    links between texts whose sets of `shingle` words are at least `least` similar (Jaccard).
+    Links are confirmed exactly; a pair is missed only where no fingerprint of its words is
+    within the budget. Texts of the same words in the same order are linked, word-less ones
+    (also null) among themselves; rows that repeat have equal results; an empty table gives no
+    rows; other columns are not read."""
+    rows = materialize(sketches(docs, id_col, text_col, keep, prints), "near")
+    nodes = materialize(rows.groupBy("node").agg(F.first("fps").alias("fps")), "near-nodes")
+    first = nodes.select(F.lit(0).alias("kind"), F.col("fps")[0].alias("fp"), "node")
+    tried = materialize(candidates(first, budget), "near-pairs")
+    edges = confirmed(docs, text_col, rows, tried, "near-first", shingle, least)
+    label = materialize(components(edges, "near-classes"), "near-labels")
+    told = nodes.join(label, "node", "left").select(F.posexplode("fps").alias("kind", "fp"), "node", F.coalesce("component", "node").alias("label"))
+    more = confirmed(docs, text_col, rows, candidates(told, budget, merging=False).join(tried, ["u", "v"], "left_anti"), "near-second", shingle, least)
+    if more.head(1):
+        label = materialize(components(edges.unionByName(more), "near-classes"), "near-labels")
+    return rows.join(label, "node", "left").select("doc_id", *keep, F.coalesce("component", "node").alias("root"))

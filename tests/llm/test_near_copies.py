@@ -2,7 +2,7 @@ import random
 import re
 
 import corpus_pipeline
-from gaugeworks.llm import jaccard
+from gaugeworks.llm import simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -37,15 +37,15 @@ def corpus():
     for _ in range(12):
         base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 300))]
         texts += [" ".join(base)] * 2 + [edited(rng, base, k) for k in (1, 1, 2, 3) if k < len(base)]
-        texts += [" ".join(base[: int(len(base) * s)]) for s in (0.95, 0.85, 0.7)] + [" ".join(["top", *base, "end"])]
+        texts += [" ".join(base[: int(len(base) * s)]) for s in (0.97, 0.93, 0.7)] + [" ".join(["top", *base, "end"])]
     return texts
 
 
 def test_classes_equal_brute_force(spark):
     texts = corpus()
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).selectExpr("*", "1 AS node", "2 AS n", "3 AS bands", "4 AS text_hash")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).selectExpr("*", "1 AS node", "2 AS n", "3 AS fps", "4 AS text_hash", "5 AS kind", "6 AS label")
     got = {}
-    for r in jaccard.near_classes(docs).collect():
+    for r in simhash.near_copies(docs).collect():
         got.setdefault(r["root"], set()).add(r["doc_id"])
     want = {}
     for i, x in enumerate(slow_roots(texts)):
@@ -62,4 +62,4 @@ def test_the_stage_finds_what_lies_beyond_four_bits(spark, tmp_path):
 
 
 def test_empty_table(empty):
-    assert jaccard.near_classes(empty).count() == 0
+    assert simhash.near_copies(empty).count() == 0
