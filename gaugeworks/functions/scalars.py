@@ -28,12 +28,36 @@ def strict_int(variant: Column, path: str) -> Column:
     return F.when(~F.schema_of_variant(value).isin("STRING", "BOOLEAN", "VOID") & (number == whole.cast("double")), whole)
 
 
+def variant_kind(value: Column) -> Column:
+    """The type name of a VARIANT."""
+    return F.schema_of_variant(value)
+
+
+def variant_text(value: Column) -> Column:
+    """The text of a VARIANT that is one, else null."""
+    return F.when(variant_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def variant_number(value: Column) -> Column:
+    """A number, or the number that a text writes out."""
+    text = variant_text(value)
+    return F.when(text.isNull(), F.try_variant_get(value, "$", "double")).when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+
+
+def variant_integer(value: Column) -> Column:
+    """A whole number, or the digits of one in a text."""
+    text = variant_text(value)
+    number = F.try_variant_get(value, "$", "double")
+    return F.when(text.isNull(), F.when(number == F.floor(number), F.try_variant_get(value, "$", "bigint"))).when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
+
+
 def lenient_number(text: Column) -> Column:
     return text.try_cast("double")
 
 
 def nanos_to_micros(text: Column) -> Column:
-    return F.floor(text.try_cast("bigint") / 1000).cast("bigint")
+    """Whole microseconds, by whole division: a double has too few digits."""
+    return F.call_function("div", text.try_cast("bigint"), F.lit(1000).cast("bigint"))
 
 
 def number_text(x: Column) -> Column:
@@ -69,9 +93,10 @@ def short_label(text: Column) -> Column:
 
 
 def file_identity(path: Column) -> Column:
-    """The id in rollout-<stamp>-<id>.jsonl, else the name of a .jsonl file; null for others."""
-    name = F.regexp_extract(path, r"([^/]*)\.jsonl$", 1)
-    rollout = F.regexp_extract(name, r"^rollout-.{19}-([^_]+)", 1)
+    """The id in rollout-<stamp>-<id>.jsonl, else the name of a .jsonl file; null for others.
+    A folder of that name with part files in it, as Spark lands a log, counts as the file."""
+    name = F.regexp_extract(path, r"([^/=]*)\.jsonl(?:/part-[^/]*)?$", 1)
+    rollout = F.regexp_extract(name, r"^rollout-.{20}([^_]+)", 1)
     return F.when(name == "", None).when(rollout != "", rollout).when(~name.startswith("rollout-"), name)
 
 

@@ -1,18 +1,19 @@
 """Request spans from OTLP/JSON bodies: flattened, checked, and taken or refused batch by
-batch. Bodies come as rows (batch_id, body), however they were landed."""
+batch. Bodies come as rows (batch_id, body, received_us), however they were landed; they
+are read as VARIANT, so types and the shape of attributes count as they were sent."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.scalars import bounded_identity, lenient_number, nanos_to_micros, normal_key
+from gaugeworks.functions.scalars import bounded_identity, nanos_to_micros, normal_key, variant_integer, variant_kind, variant_number, variant_text
 
 SPAN = "claude_code.llm_request"
 MOST_SPANS, MOST_BYTES = 32, 1 << 20
 #: Aliases of each field in order of preference.
 ALIASES = {
-    "model": ["model", "gen_ai.request.model", "gen_ai.response.model"],
+    "model": ["gen_ai.request.model", "model", "gen_ai.response.model"],
     "duration_ms": ["duration_ms"],
     "ttft_ms": ["ttft_ms"],
     "output": ["output_tokens", "gen_ai.usage.output_tokens"],
@@ -37,61 +38,89 @@ IGNORED = [
     "user.id", "user.email", "terminal.type", "user.groups", "identity.source", "workflow.run_id", "workflow.name",
 ]
 ALLOWED = [k for keys in ALIASES.values() for k in keys] + IGNORED
-_VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
-_SCHEMA = f"struct<resourceSpans:array<struct<scopeSpans:array<struct<spans:array<struct<name:string,startTimeUnixNano:string,endTimeUnixNano:string,attributes:array<struct<key:string,value:{_VALUE}>>>>>>>>>"
+_MAP = "map<string,variant>"
 
 
-def sensitive(body: Column) -> Column:
-    """Whether any "key" anywhere in a body has a sensitive name."""
-    keys = F.regexp_extract_all(body, F.lit(r'"key"\s*:\s*"([^"]*)"'), F.lit(1))
+def sensitive(doc: Column) -> Column:
+    """Whether any "key" at any depth of a parsed body has a sensitive name. The body is
+    written anew from its VARIANT, which leaves no escaped letters and no blanks."""
+    keys = F.regexp_extract_all(F.to_json(doc), F.lit(r'(?<!\\)"key":"((?:[^"\\]|\\.)*)"'), F.lit(1))
     parts = "|".join(sorted({p.replace(".", "_").replace(" ", "_") for p in SENSITIVE}))
-    bad = lambda k: normal_key(k).rlike(parts) | normal_key(k).rlike("^(code|auth)$|^auth_|_auth$")
-    return F.exists(keys, bad)
-
-
-def spans(bodies: DataFrame) -> DataFrame:
-    """The target spans of every body, one row each, with their fields as texts and numbers.
-    A batch without any has no rows."""
-    read = bodies.withColumn("doc", F.from_json("body", _SCHEMA))
-    each = read.select("batch_id", "body", F.explode(F.flatten(F.flatten(F.transform("doc.resourceSpans", lambda r: F.transform(r["scopeSpans"], lambda s: s["spans"]))))).alias("s")).where(F.col("s.name") == SPAN)
-    value = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
-
-    def having(key: str):
-        return lambda a: a["key"] == key
-
-    def field(name: str) -> Column:
-        return F.coalesce(*[value(F.get(F.filter("s.attributes", having(k)), F.lit(0))["value"]) for k in ALIASES[name]])
-
-    number = lambda name: lenient_number(field(name))
-    end = nanos_to_micros(F.col("s.endTimeUnixNano"))
-    return each.select(
-        "batch_id", sensitive(F.col("body")).alias("sensitive"), field("request_id").alias("request_id"), field("model").alias("model_raw"), end.alias("observed_us"),
-        number("duration_ms").alias("duration_ms"), number("ttft_ms").alias("ttft_ms"), number("output").cast("bigint").alias("output_total"),
-        F.coalesce(number("attempt").cast("bigint"), F.lit(1)).alias("attempt"), (F.size(F.array_distinct("s.attributes.key")) < F.size("s.attributes")).alias("repeated_key"),
-        F.forall("s.attributes", lambda a: a["key"].isin(*ALLOWED)).alias("allowed"),
+    return F.exists(keys, lambda k: normal_key(k).rlike(parts) | normal_key(k).rlike("^(code|auth)$|^auth_|_auth$"))
+
+
+def _objects(value: Column, path: str) -> Column:
+    """The objects of the array at a path; null if it is no array of objects."""
+    found = F.try_variant_get(value, path, "array<variant>")
+    return F.when(F.forall(found, lambda x: variant_kind(x).startswith("OBJECT")), found)
+
+
+def _each(df: DataFrame, found: Column, place: str, name: str) -> DataFrame:
+    """A row for each element with its place; one row with nulls where there is none."""
+    return df.select("*", F.posexplode_outer(found).alias(place, name))
+
+
+def _judged(bodies: DataFrame) -> DataFrame:
+    """(batch_id, place, code, fields...): of each body what its spans come to, in their order;
+    code is null for a span that makes a request and for a body without target spans."""
+    if "received_us" not in bodies.columns:
+        bodies = bodies.withColumn("received_us", F.lit(None).cast("bigint"))
+    read = bodies.select("batch_id", "received_us", (F.octet_length("body") > MOST_BYTES).alias("large"), F.try_parse_json("body").alias("doc"))
+    read = read.withColumn("resources", F.when(variant_kind(F.col("doc")).startswith("OBJECT"), _objects(F.col("doc"), "$.resourceSpans")))
+    whole = F.when(F.col("large"), "REJECTED_BATCH_SIZE").when(F.col("resources").isNull(), "INVALID_OTLP_JSON").when(sensitive(F.col("doc")), "REJECTED_CONTENT_FIELD")
+    told = read.select("batch_id", "received_us", whole.alias("whole"), F.when(whole.isNull(), F.col("resources")).alias("resources"))
+
+    rows = _each(told, F.col("resources"), "i", "resource").withColumn("scopes", _objects(F.col("resource"), "$.scopeSpans"))
+    rows = _each(rows, F.col("scopes"), "j", "scope").withColumn("spans", _objects(F.col("scope"), "$.spans"))
+    rows = _each(rows, F.col("spans"), "k", "span")
+    trace = (F.col("i").isNotNull() & F.col("scopes").isNull()) | (F.col("j").isNotNull() & F.col("spans").isNull())
+    target = F.coalesce(variant_text(F.try_variant_get("span", "$.name", "variant")) == SPAN, F.lit(False))
+    place = F.struct(*[F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in "ijk"])
+    rows = rows.where(F.col("whole").isNotNull() | trace | target).select("batch_id", "received_us", "whole", place.alias("place"), trace.alias("trace"), target.alias("target"), "span", _objects(F.col("span"), "$.attributes").alias("attributes"))
+    nth = F.sum(F.col("target").cast("int")).over(Window.partitionBy("batch_id").orderBy("place"))
+    rows = rows.withColumn("nth", nth)
+
+    entry = lambda a: F.try_variant_get(a, "$", _MAP)
+    key = lambda a: F.try_variant_get(a, "$.key", "variant")
+    listed = F.forall("attributes", lambda a: (F.size(entry(a)) == 2) & (variant_kind(key(a)) == "STRING") & F.map_contains_key(entry(a), "value") & variant_text(key(a)).isin(*ALLOWED))
+    pairs = F.transform("attributes", lambda a: F.struct(variant_text(key(a)).alias("key"), F.try_variant_get(a, "$.value", _MAP).alias("value")))
+    rows = rows.withColumn("listed", listed).withColumn("pairs", F.when(F.col("listed"), pairs))
+    single = F.forall("pairs", lambda p: F.coalesce(F.size(p["value"]) == 1, F.lit(False))) & (F.size(F.array_distinct("pairs.key")) == F.size("pairs"))
+
+    def having(name: str) -> Column:
+        held = F.get(F.filter("pairs", lambda p: p["key"] == name), F.lit(0))["value"]
+        return F.get(F.map_values(held), F.lit(0))
+
+    def text(field: str) -> Column:
+        return F.coalesce(*[variant_text(having(k)) for k in ALIASES[field]])
+
+    fields = rows.select(
+        "batch_id", "place", "whole", "trace", "target", "nth", "attributes", "listed", F.coalesce(single, F.lit(False)).alias("single"),
+        text("request_id").alias("request_id"), text("model").alias("model_raw"), variant_number(having("duration_ms")).alias("duration_ms"), variant_number(having("ttft_ms")).alias("ttft_ms"),
+        variant_integer(F.coalesce(*[having(k) for k in ALIASES["output"]])).alias("output_total"), variant_integer(having("attempt")).alias("attempt"),
+        F.coalesce(nanos_to_micros(F.try_variant_get("span", "$.endTimeUnixNano", "string")), F.col("received_us")).alias("observed_us"),
     )
-
-
-def valid() -> Column:
-    """Whether a span's fields make a request."""
-    ok = F.col("request_id").isNotNull() & bounded_identity(F.col("request_id")) & F.col("model_raw").isNotNull() & bounded_identity(F.col("model_raw"))
-    ok = ok & (F.col("duration_ms") > 0) & F.col("ttft_ms").between(0, F.col("duration_ms")) & (F.coalesce("output_total", F.lit(0)) >= 0) & (F.col("attempt") >= 1)
-    return F.coalesce(ok & F.col("observed_us").isNotNull() & ~F.col("repeated_key"), F.lit(False))
+    made = (F.col("request_id") != "") & (F.col("model_raw") != "") & (F.col("duration_ms") > 0) & F.col("ttft_ms").between(F.lit(0), F.col("duration_ms")) & (F.col("output_total") >= 0) & (F.col("attempt") >= 1)
+    code = (
+        F.when(F.col("whole").isNotNull(), F.col("whole")).when(F.col("trace"), "UNSUPPORTED_REQUEST_TRACE").when(F.col("nth") > MOST_SPANS, "REJECTED_BATCH_SIZE")
+        .when(F.col("attributes").isNull(), "INVALID_REQUEST_FIELDS").when(~F.coalesce("listed", F.lit(False)), "REJECTED_UNALLOWLISTED_FIELD")
+        .when(~F.col("single") | ~F.coalesce(made, F.lit(False)), "INVALID_REQUEST_FIELDS").when(~(bounded_identity(F.col("request_id")) & bounded_identity(F.col("model_raw"))), "REJECTED_FIELD_VALUE")
+    )
+    return fields.withColumn("code", code)
 
 
 def decoded(bodies: DataFrame) -> DataFrame:
-    """Performance facts of the batches whose every span is valid. A batch is small (its body
-    is bounded), so its verdict is one aggregate joined back."""
-    told = spans(bodies.where(F.octet_length("body") <= MOST_BYTES)).withColumn("ok", valid())
-    verdict = told.groupBy("batch_id").agg((F.bool_and("ok") & F.bool_and("allowed") & ~F.bool_or("sensitive") & (F.count(F.lit(1)) <= MOST_SPANS)).alias("taken")).where("taken").select("batch_id")
-    return told.join(verdict, "batch_id", "left_semi").select("batch_id", "request_id", "model_raw", "observed_us", (F.col("observed_us") - (F.col("duration_ms") * 1000).cast("bigint")).alias("range_start_us"), "duration_ms", "ttft_ms", "output_total", (F.col("attempt") > 1).alias("is_retry"))
+    """Performance facts of the batches whose every target span makes a request; one that
+    doesn't refuses its batch. A span without an end took place when it was received. Bodies
+    are bounded, so the verdict is a window over one batch's few spans."""
+    told = _judged(bodies).withColumn("refused", F.max(F.col("code").isNotNull()).over(Window.partitionBy("batch_id")))
+    kept = told.where(~F.col("refused") & F.col("target"))
+    start = F.col("observed_us") - F.round(F.col("duration_ms") * 1000).cast("bigint")
+    return kept.select("batch_id", "request_id", "model_raw", "observed_us", start.alias("range_start_us"), "duration_ms", "ttft_ms", "output_total", (F.col("attempt") > 1).alias("is_retry"))
 
 
 def rejections(bodies: DataFrame) -> DataFrame:
-    """(batch_id, code) of the batches that are refused, the first reason of each."""
-    size = F.octet_length("body") > MOST_BYTES
-    broken = F.try_parse_json("body").isNull()
-    told = spans(bodies).withColumn("ok", valid()).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("ok"), F.bool_and("allowed").alias("allowed"))
-    both = bodies.join(told, "batch_id", "left")
-    code = F.when(size, "REJECTED_BATCH_SIZE").when(broken, "INVALID_OTLP_JSON").when(sensitive(F.col("body")), "REJECTED_CONTENT_FIELD").when(F.col("n").isNull(), "UNSUPPORTED_REQUEST_TRACE").when(F.col("n") > MOST_SPANS, "REJECTED_BATCH_SIZE").when(~F.col("allowed"), "REJECTED_UNALLOWLISTED_FIELD").when(~F.col("ok"), "INVALID_REQUEST_FIELDS")
-    return both.select("batch_id", code.alias("code")).where("code IS NOT NULL")
+    """(batch_id, code) of the batches that are refused: the first reason in the order in which
+    a body is read. A body without target spans is taken and gives no fact."""
+    first = _judged(bodies).where("code IS NOT NULL").groupBy("batch_id").agg(F.min(F.struct("place", "code")).alias("f"))
+    return first.select("batch_id", F.col("f.code").alias("code"))

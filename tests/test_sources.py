@@ -83,19 +83,62 @@ GOOD = dict(model="m", duration_ms=500, ttft_ms=100, output_tokens=11, request_i
 
 
 def test_spans(spark):
+    aliased = {"gen_ai.request.model": "m2", "model": "other", "duration_ms": "500", "ttft_ms": 0, "client_request_id": "q", "gen_ai.usage.output_tokens": "7", "attempt": 1}
+    aliased = {k.replace(".", "__"): v for k, v in aliased.items()}
+    less = lambda *keys: {k: v for k, v in GOOD.items() if k not in keys}
+    raw = json.loads(_body(_span(**GOOD)))
+    odd = lambda change: json.dumps(change(json.loads(json.dumps(raw))) or raw)
+
+    def attribute(extra):
+        def change(x):
+            x["resourceSpans"][0]["scopeSpans"][0]["spans"][0]["attributes"].append(extra)
+            return x
+
+        return odd(change)
+
+    late = json.loads(_body(_span(**GOOD)))
+    del late["resourceSpans"][0]["scopeSpans"][0]["spans"][0]["endTimeUnixNano"]
+    nanos = json.loads(_body(_span(**GOOD)))
+    nanos["resourceSpans"][0]["scopeSpans"][0]["spans"][0]["endTimeUnixNano"] = "1771200001000000999"
+    deep = json.loads(_body(_span("other")))
+    deep["resourceSpans"][0]["resource"] = {"attributes": [{"key": "user_prXmpt", "value": {"stringValue": "x"}}]}
     bodies = {
         "good": _body(_span(**GOOD), _span("other")),
-        "aliases": _body(_span(**{"gen_ai__request__model": "m2", "duration_ms": "500", "ttft_ms": 0, "client_request_id": "q"})),
+        "aliases": _body(_span(**aliased)),
+        "late": json.dumps(late),
+        "nanos": json.dumps(nanos),
+        "none": _body(_span("other")),
+        "empty": json.dumps({"resourceSpans": []}),
+        "said": _body(_span(**GOOD | {"request_id": '"key":"prompt"'})),
         "invalid": _body(_span(**GOOD), _span(**GOOD | {"ttft_ms": 600})),
+        "no attempt": _body(_span(**less("attempt"))),
+        "no output": _body(_span(**less("output_tokens"))),
+        "no id": _body(_span(**GOOD | {"request_id": ""})),
+        "twice": attribute({"key": "model", "value": {"stringValue": "again"}}),
+        "two values": attribute({"key": "speed", "value": {"stringValue": "a", "intValue": "1"}}),
+        "half": _body(_span(**GOOD | {"output_tokens": "1.5"})),
+        "long": _body(_span(**GOOD | {"request_id": "r" * 257})),
         "secret": _body(_span(**GOOD | {"user_prompt": "hello"})),
+        "escaped": json.dumps(deep).replace("prXmpt", "pr\\u006fmpt"),
         "unlisted": _body(_span(**GOOD | {"colour": "red"})),
-        "none": _body(_span("other")),
+        "third entry": attribute({"key": "speed", "value": {"stringValue": "a"}, "more": 1}),
+        "no resources": json.dumps({"other": []}),
+        "no scopes": json.dumps({"resourceSpans": [{}]}),
         "broken": "{",
         "many": _body(*[_span(**GOOD | {"request_id": f"r{i}"}) for i in range(33)]),
+        "large": _body(_span(**GOOD)) + " " * (1 << 20),
     }
-    df = spark.createDataFrame(list(bodies.items()), "batch_id string, body string")
-    got = sorted(spans.decoded(df).collect(), key=lambda r: r["batch_id"])
-    assert [(r["batch_id"], r["request_id"], r["model_raw"], r["is_retry"]) for r in got] == [("aliases", "q", "m2", False), ("good", "r", "m", True)]
-    assert (got[1]["observed_us"], got[1]["range_start_us"], got[1]["output_total"]) == (2 * SECOND, 1_500_000, 11)
+    df = spark.createDataFrame([(k, v, 77) for k, v in bodies.items()], "batch_id string, body string, received_us bigint")
+    got = {r["batch_id"]: r for r in spans.decoded(df).collect()}
+    assert sorted(got) == ["aliases", "good", "late", "nanos", "said"]
+    assert (got["aliases"]["request_id"], got["aliases"]["model_raw"], got["aliases"]["output_total"], got["aliases"]["is_retry"]) == ("q", "m2", 7, False)
+    good = got["good"]
+    assert (good["observed_us"], good["range_start_us"], good["output_total"], good["is_retry"]) == (2 * SECOND, 1_500_000, 11, True)
+    assert got["late"]["observed_us"] == 77
+    assert got["nanos"]["observed_us"] == 1771200001000000
     codes = {r["batch_id"]: r["code"] for r in spans.rejections(df).collect()}
-    assert codes == {"invalid": "INVALID_REQUEST_FIELDS", "secret": "REJECTED_CONTENT_FIELD", "unlisted": "REJECTED_UNALLOWLISTED_FIELD", "none": "UNSUPPORTED_REQUEST_TRACE", "broken": "INVALID_OTLP_JSON", "many": "REJECTED_BATCH_SIZE"}
+    fields = dict.fromkeys(["invalid", "no attempt", "no output", "no id", "twice", "two values", "half"], "INVALID_REQUEST_FIELDS")
+    assert codes == fields | {
+        "long": "REJECTED_FIELD_VALUE", "secret": "REJECTED_CONTENT_FIELD", "escaped": "REJECTED_CONTENT_FIELD", "unlisted": "REJECTED_UNALLOWLISTED_FIELD", "third entry": "REJECTED_UNALLOWLISTED_FIELD",
+        "no resources": "INVALID_OTLP_JSON", "broken": "INVALID_OTLP_JSON", "no scopes": "UNSUPPORTED_REQUEST_TRACE", "many": "REJECTED_BATCH_SIZE", "large": "REJECTED_BATCH_SIZE",
+    }
