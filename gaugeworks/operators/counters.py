@@ -23,23 +23,23 @@ def output_deltas(lines: DataFrame, keys: tuple[str, ...] = ("file",), order: st
 
 
 def message_part_deltas(lines: DataFrame, parts: list[str], keys: tuple[str, ...] = ("file", "message"), order: str = "ordinal", total: str = "total") -> DataFrame:
-    """Deltas of an output total and of its token parts, message by message: a part's base
-    is its value at the last changed line that had all parts, 0 after a reset, and its
-    delta is never negative; a line that lacks a part has null deltas."""
+    """Deltas of an output total (delta) and of its token parts and itself as one of them
+    (<part>_delta, output_delta), message by message: a part's base is its value at the last
+    changed line that had all parts, 0 on a line that starts anew, and its delta is never
+    negative; a line that lacks a part has null deltas and moves no base."""
     own = Window.partitionBy(*keys).orderBy(order)
     complete = F.lit(True)
     for p in parts:
         complete = complete & F.col(p).isNotNull()
     changed = lines.withColumn("__last", F.lag(total, 1, 0).over(own)).where(F.col(total) != F.col("__last"))
-    reset = changed.withColumn("__reset", F.sum(F.when(F.col(total) < F.col("__last"), 1).otherwise(0)).over(own))
-    whole = Window.partitionBy(*keys)
-    kept = reset.withColumn("__newest", F.max("__reset").over(whole)).where("__reset = __newest")
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    base = F.last(F.when(complete, F.struct(*parts)), ignorenulls=True).over(before)
-    first = F.row_number().over(own) == 1
-    based = kept.withColumn("__base", base).withColumn("delta", F.when(first & (F.col("__reset") > 0), F.col(total)).otherwise(F.col(total) - F.col("__last")))
-    deltas = [F.when(complete, F.greatest(F.lit(0), F.col(p) - F.coalesce(F.col(f"__base.{p}"), F.lit(0)))).alias(f"{p}_delta") for p in parts]
-    return based.select(*lines.columns, "delta", *deltas)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    anew = F.col(total) < F.col("__last")
+    base = F.last(F.when(complete, F.struct(*parts, F.col(total).alias("output"))), ignorenulls=True).over(before)
+    told = changed.withColumn("__base", F.when(~anew, base)).withColumn("__reset", F.sum(F.when(anew, 1).otherwise(0)).over(own))
+    kept = told.withColumn("__newest", F.max("__reset").over(Window.partitionBy(*keys))).where("__reset = __newest")
+    delta = F.when(anew, F.col(total)).otherwise(F.col(total) - F.col("__last")).alias("delta")
+    grown = lambda now, name: F.when(complete, F.greatest(F.lit(0), F.col(now) - F.coalesce(F.col(f"__base.{name}"), F.lit(0)))).alias(f"{name}_delta")
+    return kept.select(*lines.columns, delta, *[grown(p, p) for p in parts], grown(total, "output"))
 
 
 def validated_part_deltas(lines: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def validated_part_deltas(lines: DataFrame) -> DataFrame:
     four counters whose bases move only on lines that grow the output and make sense
     (cached within input, reasoning within output, nothing shrinks, parts within their
     wholes); other growing lines have null parts. A drop of the output gives up what came before it
-    in the file. Each step needs the last valid line, so
+    in the file and is measured from 0. Each step needs the last valid line, so
     a file's lines go through one task in order, batch by batch with a few numbers kept."""
     counters, parts = ["input", "cached", "output", "reasoning"], ["input_uncached", "cache_read", "output_visible", "reasoning"]
 
@@ -62,12 +62,13 @@ def validated_part_deltas(lines: DataFrame) -> DataFrame:
                 total = known[2]
                 if total is None or total == mark:
                     continue
+                since = base
                 if total < mark:
-                    mark, base, epoch = 0, (0, 0, 0, 0), epoch + 1
+                    mark, since, epoch = 0, (0, 0, 0, 0), epoch + 1
                 delta, mark = total - mark, total
                 own: tuple = (None,) * 4
-                if None not in known:
-                    d = [x - y for x, y in zip(known, base, strict=True)]
+                if delta and None not in known:
+                    d = [x - y for x, y in zip(known, since, strict=True)]
                     if known[1] <= known[0] and known[3] <= known[2] and min(d) >= 0 and d[1] <= d[0] and d[3] <= d[2]:
                         own, base = (d[0] - d[1], d[1], d[2] - d[3], d[3]), tuple(known)
                 out.append((file, epoch, ordinal, delta, *own))

@@ -11,26 +11,11 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import scalars
 from gaugeworks.operators import authority, bounded, canonical, counters, filters, health, metrics, performance, rollups, snapshots, trends
 from gaugeworks.plans.facts_sql import CHOSEN, DAY, FACTS, HOUR, PERFORMANCE
+from gaugeworks.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from gaugeworks.schema import TOKEN_PARTS
 from gaugeworks.sources.events import performance_facts, usage_facts
 
 WINDOW_S, WIDTH_S, LIMIT = 86_400, 3_600, 3_000
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None, *ctes: str):
-    """Registers a query with its SQL, which may use the CTEs given (facts by default)."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = f"WITH {', '.join(ctes or (FACTS,))} {sql}" if ctes != ("",) else sql
-        return f
-
-    return register
-
-
 def _now(facts: DataFrame) -> int:
     return facts.agg(F.max("observed_us")).first()[0] or 0
 

@@ -7,84 +7,110 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.scalars import file_identity, iso_micros, strict_int
+from gaugeworks.functions.scalars import file_identity, iso_micros, strict_int, variant_text
 from gaugeworks.operators.counters import carried, message_part_deltas, output_deltas, session_fallback, validated_part_deltas
 
 LONGEST_LINE = 512 * 1024
 SYNTHETIC = "schema_version string, observation_identity string, coding_agent string, model_raw string, model_display string, session_id string, turn_id string, observed_offset_seconds double, usage struct<output_tokens: bigint>"
+#: How observations of each kind of log are named, and line types and events
+#: without usage in them.
+ROLLOUT_ID, ROLLOUT_SOURCE = "codex-rollout", "codex"
+TRANSCRIPT_ID, TRANSCRIPT_SOURCE = "claude-transcript", "claude-code"
+KNOWN_TYPES = ["session_meta", "turn_context", "event_msg", "response_item", "compacted", "world_state", "inter_agent_communication", "inter_agent_communication_metadata"]
+IGNORED_EVENTS = [
+    "user_message", "agent_message", "agent_reasoning", "agent_reasoning_raw_content", "thread_settings_applied",
+    "thread_goal_updated", "thread_rolled_back", "turn_aborted", "warning", "error",
+]
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, value, json, too_long): the non-blank lines of every .jsonl file below
-    a path, in order. A file is read by one task each, as its lines need their places."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    each = text.select(file_identity(F.col("_metadata.file_path")).alias("file"), F.posexplode(F.split("value", "\n")).alias("ordinal", "value"))
-    kept = each.where("file IS NOT NULL AND trim(value) <> ''")
+    """(file, ordinal, end, value, json, too_long): the non-blank lines, ended by a line feed,
+    of every .jsonl file below a path, with their number and the offset behind them. Files are
+    split and read line by line; a line's place is its block's place in the file and its
+    number in the task that reads the block."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.jsonl,part-*}").option("lineSep", "\n").text(path)
+    file = file_identity(F.col("_metadata.file_path"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    read = text.select(file.alias("file"), F.col("_metadata.file_size").alias("size"), place.alias("place"), "value").where("file IS NOT NULL")
+    own = Window.partitionBy("file").orderBy("place")
+    end = F.sum(F.octet_length("value") + 1).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    each = read.select("file", (F.row_number().over(own) - 1).cast("bigint").alias("ordinal"), end.alias("end"), "size", "value")
     long = F.octet_length("value") >= LONGEST_LINE
-    return kept.select("file", F.col("ordinal").cast("bigint").alias("ordinal"), "value", F.when(~long, F.try_parse_json("value")).alias("json"), long.alias("too_long"))
+    kept = each.where("end <= size AND trim(value) <> ''")
+    return kept.select("file", "ordinal", "end", "value", F.when(~long, F.try_parse_json("value")).alias("json"), long.alias("too_long"))
 
 
 def _text(path: str):
-    return F.try_variant_get("json", path, "string")
+    return variant_text(F.try_variant_get("json", path, "variant"))
 
 
 def rollout_lines(read: DataFrame) -> DataFrame:
     """Rollout lines with their kind, time, carried context and counters."""
-    kind, inner = _text("$.type"), _text("$.payload.type")
+    kind, inner, time = _text("$.type"), _text("$.payload.type"), iso_micros(_text("$.timestamp"))
+    number = lambda p: strict_int(F.col("json"), p)
+    usage, session = "$.payload.info.total_token_usage.", F.coalesce(_text("$.payload.id"), _text("$.payload.session_id"))
+    last = number("$.payload.info.last_token_usage.output_tokens")
+    counted = time.isNotNull() & (number(usage + "output_tokens") >= 0) & (F.coalesce(last, F.lit(0)) >= 0)
     turn = inner.isin("task_started", "turn_started", "task_complete", "turn_complete")
-    named = F.when(F.col("too_long"), "too_long").when(kind == "session_meta", "session").when(kind == "turn_context", "context").when((kind == "event_msg") & (inner == "token_count"), "count").when((kind == "event_msg") & turn, "turn").when(kind.isin("event_msg", "response_item", "compacted"), "ignored").otherwise("unknown")
-    usage = "$.payload.info.total_token_usage."
+    event = F.when(inner == "token_count", F.when(counted, "count").otherwise("unknown")).when(turn, F.when(_text("$.payload.turn_id").isNotNull(), "turn").otherwise("ignored")).when(inner.isin(*IGNORED_EVENTS), "ignored").otherwise("unknown")
+    named = (
+        F.when(F.col("too_long"), "too_long").when(kind == "session_meta", F.when(session != "", "session").otherwise("unknown")).when(kind == "turn_context", "context")
+        .when(kind == "event_msg", event).when(kind.isin(*KNOWN_TYPES), "ignored").otherwise("unknown")
+    )
     told = read.select(
-        "file", "ordinal", named.alias("kind"), iso_micros(_text("$.timestamp")).alias("observed_us"),
-        F.when(kind == "session_meta", F.coalesce(_text("$.payload.id"), _text("$.payload.session_id"))).alias("session_id"),
-        F.when(kind.isin("turn_context", "event_msg"), _text("$.payload.turn_id")).alias("turn_id"),
-        F.when(kind == "turn_context", _text("$.payload.model")).alias("model_raw"),
-        strict_int(F.col("json"), usage + "input_tokens").alias("input"), strict_int(F.col("json"), usage + "cached_input_tokens").alias("cached"),
-        strict_int(F.col("json"), usage + "output_tokens").alias("output"), strict_int(F.col("json"), usage + "reasoning_output_tokens").alias("reasoning"),
+        "file", "ordinal", F.coalesce(number("$.ordinal"), F.lit(-1)).alias("own"), named.alias("kind"), time.alias("observed_us"), session.alias("session_id"), _text("$.payload.turn_id").alias("turn_id"), _text("$.payload.model").alias("model_raw"),
+        number(usage + "input_tokens").alias("input"), number(usage + "cached_input_tokens").alias("cached"), number(usage + "output_tokens").alias("output"), number(usage + "reasoning_output_tokens").alias("reasoning"),
     )
-    seen = carried(told, ["session_id", "turn_id", "model_raw"], defaults={"turn_id": "unknown", "model_raw": "unknown"})
-    return seen.withColumn("session_id", F.coalesce("session_id", "file"))
+    only = lambda c, *kinds: F.when(F.col("kind").isin(*kinds), F.col(c))
+    told = told.withColumns({"session_id": only("session_id", "session"), "turn_id": only("turn_id", "context", "turn"), "model_raw": only("model_raw", "context")})
+    seen = carried(told, ["session_id", "turn_id", "model_raw"], defaults={"model_raw": "unknown"})
+    return seen.withColumns({"session_id": F.coalesce("session_id", "file"), "turn_id": F.coalesce("turn_id", "file")})
 
 
 def rollout_observations(spark: SparkSession, path: str) -> DataFrame:
-    """Output deltas of rollouts, with token parts where the counters make sense."""
-    told = rollout_lines(lines(spark, path))
-    counts = told.where("kind = 'count' AND output IS NOT NULL AND observed_us IS NOT NULL")
-    deltas = output_deltas(counts, total="output")
-    parts = validated_part_deltas(counts).drop("delta").withColumnRenamed("reasoning", "reasoning_delta")
-    both = deltas.join(parts, ["file", "ordinal"], "left")
+    """Output deltas of rollouts, with token parts where the counters make sense. How much is
+    written to the cache is not told."""
+    counts = rollout_lines(lines(spark, path)).where("kind = 'count'")
+    parts = validated_part_deltas(counts).withColumnRenamed("reasoning", "reasoning_delta")
+    both = parts.join(counts.drop("input", "cached", "output", "reasoning"), ["file", "ordinal"])
     total = F.col("input_uncached") + F.col("cache_read") + F.col("output_visible") + F.col("reasoning_delta")
+    number = F.when(F.col("own") >= 0, F.col("own")).otherwise(F.col("ordinal"))
     return both.select(
-        F.concat_ws(":", F.lit("rollout"), "file", F.col("ordinal").cast("string")).alias("id"), F.lit("rollout").alias("source_id"), "session_id", "turn_id", "model_raw", "observed_us",
+        F.concat_ws(":", F.lit(ROLLOUT_ID), "file", number.cast("string")).alias("id"), F.lit(ROLLOUT_SOURCE).alias("source_id"), "session_id", "turn_id", "model_raw", "observed_us",
         F.col("delta").alias("output_tokens"), "input_uncached", "cache_read", F.lit(None).cast("bigint").alias("cache_write"), "output_visible", F.col("reasoning_delta").alias("reasoning"), total.alias("burn_total"),
     )
 
 
 def transcript_lines(read: DataFrame) -> DataFrame:
-    kind = _text("$.type")
-    valid = _text("$.sessionId").isNotNull() & iso_micros(_text("$.timestamp")).isNotNull()
-    named = F.when(F.col("too_long"), "too_long").when(kind == "user", "ignored").when(~valid, "unknown").when((kind == "assistant") & _text("$.uuid").isNotNull(), "message").when((kind == "system") & (_text("$.subtype") == "session_usage"), "session").otherwise("unknown")
-    usage = "$.message.usage."
+    """Transcript lines with their kind, time, message and totals."""
+    kind, session, time = _text("$.type"), _text("$.sessionId"), iso_micros(_text("$.timestamp"))
     number = lambda p: strict_int(F.col("json"), p)
+    usage, model, uuid = "$.message.usage.", _text("$.message.model"), _text("$.uuid")
+    message = (uuid != "") & (_text("$.message.role") == "assistant") & (model != "") & (number(usage + "output_tokens") >= 0)
+    whole = (_text("$.subtype") == "session_usage") & (number("$.usage.output_tokens") >= 0)
+    named = (
+        F.when(F.col("too_long"), "too_long").when(kind == "user", "ignored").when(~F.coalesce((session != "") & time.isNotNull(), F.lit(False)), "unknown")
+        .when((kind == "assistant") & message, "message").when((kind == "system") & whole, "session").otherwise("unknown")
+    )
     return read.select(
-        "file", "ordinal", named.alias("kind"), iso_micros(_text("$.timestamp")).alias("observed_us"), _text("$.sessionId").alias("session_id"), _text("$.uuid").alias("message"),
-        F.coalesce(_text("$.message.model"), F.lit("unknown")).alias("model_raw"), F.when(kind == "system", number("$.usage.output_tokens")).otherwise(number(usage + "output_tokens")).alias("total"),
+        "file", "ordinal", "end", named.alias("kind"), time.alias("observed_us"), session.alias("session_id"), uuid.alias("message"), model.alias("model_raw"),
+        F.when(kind == "system", number("$.usage.output_tokens")).otherwise(number(usage + "output_tokens")).alias("total"),
         number(usage + "input_tokens").alias("input_uncached"), number(usage + "cache_creation_input_tokens").alias("cache_write"), number(usage + "cache_read_input_tokens").alias("cache_read"),
     )
 
 
 def transcript_observations(spark: SparkSession, path: str) -> DataFrame:
     """Message deltas, and session deltas of sessions without any message total."""
-    told = transcript_lines(lines(spark, path)).where("total IS NOT NULL")
+    told = transcript_lines(lines(spark, path))
     parts = ["input_uncached", "cache_write", "cache_read"]
     messages = message_part_deltas(told.where("kind = 'message'"), parts).where("delta > 0")
     sessions = output_deltas(session_fallback(told.where("kind = 'session'"), told.where("kind = 'message'")), ("file", "session_id"))
     null = F.lit(None).cast("bigint")
-    name = lambda key: F.concat_ws(":", F.lit("transcript"), "file", key, F.col("ordinal").cast("string")).alias("id")
-    whole = F.col("input_uncached_delta") + F.col("cache_write_delta") + F.col("cache_read_delta") + F.col("delta")
-    common = ["session_id", "model_raw", "observed_us", F.col("delta").alias("output_tokens")]
-    a = messages.select(name("message"), F.lit("transcript").alias("source_id"), *common, *[F.col(f"{p}_delta").alias(p) for p in parts], whole.alias("burn_total"))
-    b = sessions.withColumn("model_raw", F.lit("unknown")).select(name("session_id"), F.lit("transcript").alias("source_id"), *common, *[null.alias(p) for p in parts], null.alias("burn_total"))
+    name = F.concat_ws(":", F.lit(TRANSCRIPT_ID), "file", F.col("end").cast("string")).alias("id")
+    whole = F.col("input_uncached_delta") + F.col("cache_write_delta") + F.col("cache_read_delta") + F.col("output_delta")
+    source, common = F.lit(TRANSCRIPT_SOURCE).alias("source_id"), ["model_raw", "observed_us", F.col("delta").alias("output_tokens")]
+    a = messages.select(name, source, "session_id", F.col("message").alias("turn_id"), *common, *[F.col(f"{p}_delta").alias(p) for p in parts], whole.alias("burn_total"))
+    b = sessions.withColumn("model_raw", F.lit("unknown")).select(name, source, "session_id", F.col("session_id").alias("turn_id"), *common, *[null.alias(p) for p in parts], null.alias("burn_total"))
     return a.unionByName(b)
 
 
@@ -107,7 +133,7 @@ def discovered(spark: SparkSession, roots: list[str], newest: int | None = None)
     the same file the later root counts. With `newest` only that many, by time."""
     out = None
     for rank, root in enumerate(roots):
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.jsonl,part-*}").load(root)
         own = found.select(file_identity(F.col("path")).alias("file"), "path", F.col("modificationTime").alias("modified"), "length", F.lit(rank).alias("rank")).where("file IS NOT NULL")
         out = own if out is None else out.unionByName(own)
     best = Window.partitionBy("file").orderBy(F.desc("rank"), "path")

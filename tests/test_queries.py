@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gaugeworks.plans import queries
+from gaugeworks.plans import catalog as queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")

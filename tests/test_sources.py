@@ -21,26 +21,29 @@ def test_rollout(spark, tmp_path):
     lines = [
         _line(type="session_meta", timestamp=t(0), payload={"id": "sess"}), _line(type="turn_context", timestamp=t(1), payload={"turn_id": "t1", "model": "m-1"}),
         _line(type="event_msg", timestamp=t(2), payload=_usage(5000, 3000, 1800, 400)), "", _line(type="event_msg", timestamp=t(3), payload=_usage(5000, 3000, 1800, 400)),
-        _line(type="mystery"), _line(type="event_msg", timestamp=t(4), payload=_usage(5000, 6000, 2000, 400)), "not json",
+        _line(type="mystery"), _line(type="event_msg", timestamp=t(4), ordinal=70, payload=_usage(5000, 6000, 2000, 400)), "not json",
+        _line(type="event_msg", timestamp=t(5), payload={"type": "user_message"}), _line(type="event_msg", timestamp=t(5), payload={"type": "other"}), _line(type="session_meta", payload={"id": ""}),
+        _line(type="event_msg", timestamp="never", payload=_usage(1, 1, 9000, 1)), _line(type="event_msg", timestamp=t(6), payload={"type": "turn_started"}), _line(type="world_state"),
     ]
-    (tmp_path / "rollout-2026-04-15T12-00-00-0190.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "rollout-2026-04-15T12-00-00-0190.jsonl").write_text("\n".join(lines) + "\n" + _line(type="event_msg", timestamp=t(7), payload=_usage(9000, 0, 9000, 0)))
     got = sorted(logs.rollout_observations(spark, str(tmp_path)).collect(), key=lambda r: r["observed_us"])
     assert [(r["session_id"], r["turn_id"], r["model_raw"], r["output_tokens"]) for r in got] == [("sess", "t1", "m-1", 1800), ("sess", "t1", "m-1", 200)]
     assert (got[0]["input_uncached"], got[0]["cache_read"], got[0]["cache_write"], got[0]["output_visible"], got[0]["reasoning"], got[0]["burn_total"]) == (2000, 3000, None, 1400, 400, 6800)
     assert got[1]["burn_total"] is None
+    assert [r["id"] for r in got] == ["codex-rollout:0190:2", "codex-rollout:0190:70"]
     codes = logs.diagnostics(logs.rollout_lines(logs.lines(spark, str(tmp_path)))).collect()
-    assert [(r["file"], r["code"], r["n"]) for r in codes] == [("0190", "UNKNOWN_SCHEMA", 2)]
+    assert [(r["file"], r["code"], r["n"]) for r in codes] == [("0190", "UNKNOWN_SCHEMA", 5)]
 
 
 def test_transcript(spark, tmp_path):
     def message(session, uuid, out, **more):
         usage = {"input_tokens": 2000, "cache_creation_input_tokens": 800, "cache_read_input_tokens": 3000, "output_tokens": out} | more
-        return _line(type="assistant", uuid=uuid, sessionId=session, timestamp="2026-04-15T12:00:00Z", message={"model": "m-2", "usage": usage})
+        return _line(type="assistant", uuid=uuid, sessionId=session, timestamp="2026-04-15T12:00:00Z", message={"role": "assistant", "model": "m-2", "usage": usage})
 
     def total(session, out):
         return _line(type="system", subtype="session_usage", sessionId=session, timestamp="2026-04-15T12:00:09Z", usage={"output_tokens": out})
 
-    (tmp_path / "a.jsonl").write_text("\n".join([_line(type="user"), message("s1", "u1", 1800), message("s1", "u1", 1900, input_tokens=2010), total("s1", 99_999), total("s2", 50), total("s2", 70)]))
+    (tmp_path / "a.jsonl").write_text("\n".join([_line(type="user"), message("s1", "u1", 1800), message("s1", "u1", 1900, input_tokens=2010), total("s1", 99_999), total("s2", 50), total("s2", 70)]) + "\n")
     got = logs.transcript_observations(spark, str(tmp_path)).collect()
     assert sorted((r["session_id"], r["output_tokens"], r["burn_total"]) for r in got if r["burn_total"]) == [("s1", 100, 110), ("s1", 1800, 7600)]
     assert sorted((r["session_id"], r["output_tokens"]) for r in got if r["burn_total"] is None) == [("s2", 20), ("s2", 50)]
