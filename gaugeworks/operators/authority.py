@@ -20,21 +20,25 @@ def _rank() -> Column:
 
 
 def cohorts(facts: DataFrame) -> DataFrame:
-    """One row per cohort of facts with a call id: the top tier's rank, its number of
-    authorities and its representative (least id). Partial aggregates go into the shuffle,
-    so a cohort's size doesn't matter: least id and authority bounds are kept per tier."""
+    """One row per cohort of facts with a call id: its representative's columns (least id of
+    the top tier) and whether that tier has several authorities. One greatest-tier, least-id
+    struct and the bounds of authority are combined before the shuffle, so a cohort's size
+    doesn't matter."""
     known = facts.where("call_id IS NOT NULL AND call_id <> ''")
-    per_tier = known.groupBy(*COHORT, _rank().alias("rank")).agg(F.min("id").alias("id"), F.min("authority").alias("low"), F.max("authority").alias("high"), F.count("*").alias("n"))
-    top = F.max(F.struct("rank", "id", "low", "high"))
-    return per_tier.groupBy(*COHORT).agg(top.alias("top"), F.sum("n").alias("facts")).select(*COHORT, F.col("top.rank").alias("rank"), F.col("top.id").alias("id"), (F.col("top.low") != F.col("top.high")).alias("conflict"), "facts")
+    rest = [c for c in facts.columns if c not in COHORT and c != "id"]
+    best = F.min(F.struct("id", *rest)).alias("best")
+    per_tier = known.groupBy(*COHORT, _rank().alias("rank")).agg(best, F.min("authority").alias("low"), F.max("authority").alias("high"), F.count("*").alias("n"))
+    top = F.max(F.struct("rank", "best", "low", "high")).alias("top")
+    told = per_tier.groupBy(*COHORT).agg(top, F.sum("n").alias("cohort_facts"))
+    return told.select(*COHORT, *[F.col(f"top.best.{c}").alias(c) for c in ["id", *rest]], (F.col("top.low") != F.col("top.high")).alias("conflict"), "cohort_facts")
 
 
 def select_authoritative(facts: DataFrame) -> DataFrame:
     """The facts that count: those without a call id, and the representative of each cohort
-    whose top tier has one authority. A conflicting cohort is dropped."""
-    chosen = cohorts(facts).where("NOT conflict").select("id")
+    whose top tier has one authority. A conflicting cohort is dropped. Representatives come
+    out of the aggregate whole, so nothing is joined back."""
     alone = facts.where("call_id IS NULL OR call_id = ''")
-    return alone.unionByName(facts.where("call_id <> ''").join(chosen, "id", "left_semi"))
+    return alone.unionByName(cohorts(facts).where("NOT coalesce(conflict, false)").select(*facts.columns))
 
 
 def mark_superseded(facts: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.schema import DAY, SECOND
+
 
 def source_counts(facts: DataFrame) -> DataFrame:
     return facts.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
@@ -50,14 +52,28 @@ def truncated_sources(facts: DataFrame, limit: int) -> DataFrame:
     return lost.join(seen, "source_id")
 
 
-def oldest(facts: DataFrame, n: int, by: tuple[str, ...] = ("observed_us", "kind", "id")) -> DataFrame:
-    """The `n` oldest rows, as a top-n and not a sort of all."""
-    return facts.orderBy(*by).limit(n)
+def without_first(rows: DataFrame, n: int, time: str = "observed_us", ties: tuple[str, ...] = ("id",)) -> DataFrame:
+    """`rows` without the `n` oldest (ties by further columns). The time up to which all go is
+    found by counts of days, then of the seconds of one day; only the rows of one second are
+    ranked, so `n` rows never meet in one task."""
+    if n <= 0:
+        return rows
+    inside, left, low = rows, n, None
+    for width in (DAY, SECOND):
+        start = F.col(time) - F.pmod(F.col(time), F.lit(width))
+        counts = inside.groupBy(start.alias("start")).agg(F.count(F.lit(1)).alias("n"))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("start")))
+        edge = upto.where(F.col("upto") > left).orderBy("start").first()
+        if edge is None:
+            return rows.limit(0)
+        low, left = edge["start"], left - (edge["upto"] - edge["n"])
+        inside = inside.where(F.col(time).between(low, low + width - 1))
+    ranked = inside.withColumn("__n", F.row_number().over(Window.orderBy(time, *ties)))
+    return rows.where(F.col(time) >= low + SECOND).unionByName(ranked.where(F.col("__n") > left).drop("__n"))
 
 
 def without_oldest(facts: DataFrame, n: int, by: tuple[str, ...] = ("observed_us", "kind", "id")) -> DataFrame:
-    gone = oldest(facts, n, by).select("kind", "id")
-    return facts.join(gone, ["kind", "id"], "left_anti")
+    return without_first(facts, n, by[0], by[1:])
 
 
 def with_retained(current: DataFrame, facts: DataFrame, unhealthy: DataFrame, seconds: int, cap: int = 128) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.filters import MetricFilter
@@ -75,6 +75,48 @@ def relevant(health: DataFrame, facts: DataFrame, chosen: MetricFilter, impact:
     return told.where(test).select(*health.columns)
 
 
+def affecting(health: DataFrame, facts: DataFrame) -> DataFrame:
+    """Unhealthy rows whose source owns one of the facts; without any fact, all of them."""
+    sick = health.where("NOT is_healthy")
+    owners = facts.where("source_id <> 'unknown'").select("source_id").distinct().withColumn("owns", F.lit(True))
+    some = facts.limit(1).agg((F.count("*") > 0).alias("some"))
+    return sick.join(owners, "source_id", "left").crossJoin(some).where("NOT some OR owns").select(*health.columns)
+
+
+def numbered_sources(health: DataFrame) -> DataFrame:
+    """(ordinal, health, reason_codes): sources without their names, numbered from 1 in order of
+    health and reasons. One row a source."""
+    each = health.groupBy("source_id").agg(F.when(F.bool_and("is_healthy"), "healthy").otherwise("unhealthy").alias("health"), F.sort_array(F.collect_set("reason_code")).alias("reason_codes"))
+    order = Window.orderBy("health", F.array_join("reason_codes", "\0"))
+    return each.select(F.row_number().over(order).cast("bigint").alias("ordinal"), "health", "reason_codes")
+
+
+def version_changes(states: DataFrame, versions: DataFrame) -> DataFrame:
+    """(source_id, code, rebuild): sources whose stored parser version (source_id,
+    parser_version) isn't the current one; all they have is to be read anew."""
+    now = versions.select("source_id", F.col("parser_version").alias("current"))
+    return states.join(now, "source_id").where(~F.col("parser_version").eqNullSafe(F.col("current"))).select("source_id", F.lit("PARSER_VERSION_CHANGED").alias("code"), F.lit(True).alias("rebuild"))
+
+
+#: How qualities, states and coverages are shown.
+LABELS = {
+    "measured": "Measured",
+    "derived": "Derived",
+    "estimated": "Estimated",
+    "unavailable": "Unavailable",
+    "zero": "Zero",
+    "stale": "Stale",
+    "absent": "No data",
+    "complete": "Complete",
+    "partial": "Partial",
+}
+
+
+def label(value: Column) -> Column:
+    """The shown text of a quality, state or coverage."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), value)
+
+
 def first_degradation(health: DataFrame) -> DataFrame:
     """The first unhealthy row in order that has a reason, with its action."""
     sick = health.where("NOT is_healthy AND reason_code IS NOT NULL")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.bounded import without_first
 from gaugeworks.operators.metrics import all_or_null_sum, combined_quality
 from gaugeworks.schema import DAY, ROLLUP_COHORT, TOKEN_PARTS
 
@@ -71,19 +74,45 @@ class RetentionPolicy:
         return "warning" if size >= self.warn_bytes or rows >= self.warn_rows else "normal"
 
     def batch(self, size: int, rows: int) -> int:
-        """Rows to evict at once: a fixed number when bytes are the limit, else the excess."""
-        return 10_000 if size >= self.hard_bytes else min(100_000, max(0, rows - self.hard_rows))
+        """Rows that one transaction of a row store would evict: for information only."""
+        return 10_000 if rows < self.hard_rows else min(100_000, max(1, rows - self.hard_rows + 1))
+
+    def excess(self, size: int, rows: int) -> int:
+        """Rows to evict until both limits hold; bytes are taken to be spread evenly."""
+        by_rows = rows - self.hard_rows + 1
+        by_bytes = math.ceil(rows * (size - self.hard_bytes + 1) / size) if size >= self.hard_bytes else 0
+        return max(0, by_rows, by_bytes)
 
 
 def retain(facts: DataFrame, rollups: DataFrame, now_us: int, policy: RetentionPolicy, rows: int, size: int = 0) -> tuple[DataFrame, DataFrame]:
-    """What is left after the steps of the hard limit: superseded facts go, days before the
-    protected ones are rolled up, rollups past their age go, then the oldest unprotected
-    facts until the excess is gone. Below the limit nothing changes."""
+    """What is left after the steps of the hard limit, each taken only while it is exceeded:
+    superseded facts go, days past the rollup age are rolled up, the oldest rollups go,
+    and then the oldest facts before the protected days, as many as there is excess."""
     if policy.level(size, rows) != "hardLimit":
         return facts, rollups
-    protected = now_us - policy.protected_days * DAY
-    rollups, facts = compact(facts.where("superseded_by IS NULL"), rollups, protected)
-    rollups = rollups.where(F.col("bucket_us") >= now_us - policy.rollup_days * DAY)
-    excess = policy.batch(size, facts.count())
-    gone = facts.where(F.col("observed_us") < protected).orderBy("observed_us", "id").limit(excess).select("id")
-    return facts.join(gone, "id", "left_anti"), rollups
+    facts = facts.where("superseded_by IS NULL")
+    count, per_row = facts.count() + rollups.count(), size / max(rows, 1)
+    over = lambda n: policy.level(int(n * per_row), n) == "hardLimit"
+    if over(count):
+        rollups, facts = compact(facts, rollups, now_us - policy.rollup_days * DAY)
+        raw, rolled = facts.count(), rollups.count()
+        excess = policy.excess(int((raw + rolled) * per_row), raw + rolled) if over(raw + rolled) else 0
+        rollups = without_first(rollups, min(excess, rolled), "bucket_us", (*ROLLUP_COHORT,))
+        protected = now_us - policy.protected_days * DAY
+        old = without_first(facts.where(F.col("observed_us") < protected), max(0, excess - rolled), "observed_us", ("id",))
+        facts = old.unionByName(facts.where(F.col("observed_us") >= protected))
+    return facts, rollups
+
+
+def capacity(usage: DataFrame, performance: DataFrame, rollups: DataFrame, protected_us: int) -> DataFrame:
+    """One row: all rows, the facts from the protected time on, and what lies before it,
+    rollups included."""
+    kinds = [usage.select("observed_us", F.lit(True).alias("raw")), performance.select("observed_us", F.lit(True).alias("raw")), rollups.select(F.col("bucket_us").alias("observed_us"), F.lit(False).alias("raw"))]
+    recent = F.col("raw") & (F.col("observed_us") >= protected_us)
+    return reduce(DataFrame.unionByName, kinds).agg(F.count(F.lit(1)).alias("rows"), F.count_if(recent).alias("protected"), F.count_if(~recent).alias("unprotected"))
+
+
+def pruning_boundary(known: DataFrame, pruned: DataFrame) -> DataFrame:
+    """(pruned_before_us): the latest time before which anything was ever pruned, from what is
+    known and the times (time_us) pruned now; it never moves back, and is null if nothing was."""
+    return known.select(F.col("pruned_before_us").alias("t")).unionByName(pruned.select(F.col("time_us").alias("t"))).agg(F.max("t").alias("pruned_before_us"))

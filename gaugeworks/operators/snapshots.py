@@ -9,7 +9,7 @@ from gaugeworks.operators.authority import coalesce_performance
 from gaugeworks.operators.filters import MetricFilter, in_closed_window, with_newest
 from gaugeworks.operators.health import relevant
 from gaugeworks.operators.metrics import combined_authority, combined_quality, mixed_quality
-from gaugeworks.operators.performance import decode_valid, nearest_rank
+from gaugeworks.operators.performance import decode_valid, nearest_ranks
 
 #: Seconds of the ranges that latencies are shown for.
 RANGES = {"15m": 900, "1h": 3_600, "24h": 86_400, "7d": 604_800}
@@ -42,13 +42,14 @@ def performance_snapshot(facts: DataFrame, health: DataFrame, now_us: int, secon
     )
     normal = rows.where(usual)
     tps = F.when(decode_valid(), (F.col("output_total") - 1) / ((F.col("duration_ms") - F.col("ttft_ms")) / 1000.0))
-    figures = normal.withColumn("tps", tps).agg(
-        F.struct(nearest_rank(0.5, "ttft_ms").alias("p50"), nearest_rank(0.95, "ttft_ms").alias("p95")).alias("ttft"),
-        F.struct(nearest_rank(0.5, "duration_ms").alias("p50"), nearest_rank(0.95, "duration_ms").alias("p95")).alias("e2e"),
-        F.struct(nearest_rank(0.5, "tps").alias("p50"), nearest_rank(0.95, "tps").alias("p95"), nearest_rank(0.1, "tps").alias("p10")).alias("decode"),
+    figures = normal.agg(
         combined_quality().alias("quality"), combined_authority("channel" if "authority" not in rows.columns else "authority").alias("authority"), mixed_quality().alias("mixed"), F.max("observed_us").alias("updated_us"),
     )
+    one, low = {"p50": 0.5, "p95": 0.95}, {"p50": 0.5, "p95": 0.95, "p10": 0.1}
     both = counts.crossJoin(figures).crossJoin(sick)
+    for name, column, wanted in (("ttft", "ttft_ms", one), ("e2e", "duration_ms", one), ("decode", "tps", low)):
+        found = nearest_ranks(normal.withColumn("tps", tps), column, wanted)
+        both = both.join(F.broadcast(found.select(F.struct(*wanted).alias(name))), F.lit(True), "left")
     partial = F.col("sick") | F.col("mixed") | F.col("unavailable")
     return both.select(
         "ttft", "e2e", "decode", "samples", "retries", (F.col("samples") - F.col("decoded")).alias("decode_invalid"), F.col("samples").between(1, 4).alias("low_sample"), "quality", "authority", "updated_us",

@@ -71,7 +71,7 @@ def trend(facts: DataFrame, now_us: int, width_s: int, window_s: int, value: str
     the amount per `per_s` seconds."""
     buckets = bucketed(facts.where(F.col(value).isNotNull()), now_us, width_s, window_s)
     rank = ranked(buckets, value)
-    merged = buckets.join(F.broadcast(rank.select("model_raw", "series")), "model_raw").groupBy("series", "bucket_us").agg(F.sum(value).alias("amount"), F.sum("facts").alias("facts"))
+    merged = buckets.join(rank.select("model_raw", "series"), "model_raw").groupBy("series", "bucket_us").agg(F.sum(value).alias("amount"), F.sum("facts").alias("facts"))
     names = rank.groupBy("series").agg(F.min("series_rank").alias("series_rank"))
     full = grid(names, now_us, width_s, window_s).join(merged, ["series", "bucket_us"], "left")
     return full.withColumn("rate", F.col("amount").cast("double") / float(width_s) * per_s)

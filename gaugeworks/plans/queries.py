@@ -83,7 +83,7 @@ def authority_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT t.agent, t.call_id, t.range_start_us, t.id, conflict, n AS facts FROM t JOIN (SELECT agent, call_id, range_start_us, count(*) AS n FROM k GROUP BY ALL) AS c USING (agent, call_id, range_start_us)", FACTS, CHOSEN)
 def authority_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return authority.cohorts(usage_facts(spark, sf_dir)).select("agent", "call_id", "range_start_us", "id", "conflict", "facts")
+    return authority.cohorts(usage_facts(spark, sf_dir)).select("agent", "call_id", "range_start_us", "id", "conflict", F.col("cohort_facts").alias("facts"))
 
 
 @query("""SELECT a.id, (SELECT min(b.id) FROM f AS b WHERE b.tier = 'enhanced' AND a.tier = 'fallback' AND b.call_id = a.call_id AND b.agent = a.agent
@@ -324,9 +324,41 @@ def evict_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("observed_us").alias("earliest_us"))
 
 
-@query(f"SELECT min(observed_us) AS earliest_us FROM {KINDS}", FACTS, PERFORMANCE)
+@query(f"SELECT min(t) AS earliest_us FROM (SELECT observed_us AS t FROM {KINDS} UNION ALL SELECT min(range_start_us) FROM f)", FACTS, PERFORMANCE)
 def union_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.earliest(_both_kinds(spark, sf_dir).withColumnRenamed("observed_us", "time_us"), rollups.daily(usage_facts(spark, sf_dir)).select(F.col("bucket_us").alias("time_us")).where("time_us > 0 AND false"))
+    """The earliest of facts of both kinds and of daily rollups."""
+    rolled = rollups.daily(usage_facts(spark, sf_dir)).select(F.col("bucket_us").alias("time_us"))
+    return rollups.earliest(_both_kinds(spark, sf_dir).withColumnRenamed("observed_us", "time_us"), rolled)
+
+
+@query(f"""SELECT (SELECT count(*) FROM f) + (SELECT count(*) FROM p) + (SELECT count(*) FROM r) AS rows, (SELECT count(*) FROM f WHERE observed_us >= cut) + (SELECT count(*) FROM p WHERE observed_us >= cut) AS protected,
+    (SELECT count(*) FROM f WHERE observed_us < cut) + (SELECT count(*) FROM p WHERE observed_us < cut) + (SELECT count(*) FROM r) AS unprotected FROM (SELECT now - 7 * {DAY} AS cut FROM clock)""", FACTS, PERFORMANCE, "r AS (SELECT DISTINCT range_start_us, agent, model_raw, session_id, source_id, authority, tier, granularity FROM f)")
+def capacity_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = usage_facts(spark, sf_dir)
+    return rollups.capacity(facts, performance_facts(spark, sf_dir), rollups.daily(facts), _now(facts) - 7 * DAY)
+
+
+@query("SELECT greatest((SELECT min(observed_us) FROM f), max(observed_us)) AS pruned_before_us FROM f WHERE channel = 'signup'")
+def pruning_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known: the first fact's time; pruned now: the times of sign-ups."""
+    facts = usage_facts(spark, sf_dir)
+    return rollups.pruning_boundary(facts.agg(F.min("observed_us").alias("pruned_before_us")), facts.where("channel = 'signup'").select(F.col("observed_us").alias("time_us")))
+
+
+@query("SELECT session_id, 'PARSER_VERSION_CHANGED' AS code, true AS rebuild FROM (SELECT DISTINCT session_id FROM f) WHERE session_id::BIGINT % 3 <> 1")
+def parser_version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are sessions here; a third has a former version, a third none."""
+    own = usage_facts(spark, sf_dir).select(F.col("session_id").alias("source_id")).distinct()
+    third = F.col("source_id").cast("bigint") % 3
+    stored = own.withColumn("parser_version", F.when(third == 0, "1.1.0").when(third == 1, "1.2.0"))
+    return health.version_changes(stored, own.withColumn("parser_version", F.lit("1.2.0"))).withColumnRenamed("source_id", "session_id")
+
+
+@query("SELECT id, CASE quality WHEN 'measured' THEN 'Measured' WHEN 'derived' THEN 'Derived' WHEN 'estimated' THEN 'Estimated' ELSE 'Unavailable' END AS quality, CASE WHEN output_tokens = 0 THEN 'Zero' END AS state, CASE WHEN burn_total IS NULL THEN 'Partial' ELSE 'Complete' END AS coverage FROM f")
+def shown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("output_tokens") == 0, "zero")
+    coverage = F.when(F.col("burn_total").isNull(), "partial").otherwise("complete")
+    return usage_facts(spark, sf_dir).select("id", health.label(F.col("quality")).alias("quality"), health.label(state).alias("state"), health.label(coverage).alias("coverage"))
 
 
 LINES = """
@@ -366,9 +398,21 @@ def session_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("session_id").agg(F.sum("output_tokens").alias("output_tokens"))
 
 
-@query(None)
+_STATES = """
+x AS (SELECT user_id::VARCHAR AS file, event_id AS ordinal, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+y AS (SELECT file, ordinal, i, i * 9 % 130 AS a, i * 9 % 130 % 60 AS b, i * 7 % 100 AS c, i * 7 % 100 % 40 AS d FROM x),
+z AS (SELECT file, 0::BIGINT AS i, 0::BIGINT AS ordinal, 0::BIGINT AS mark, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, 0::BIGINT AS d, 0::BIGINT AS epoch, 0::BIGINT AS delta, NULL::BIGINT AS pa, NULL::BIGINT AS pb, NULL::BIGINT AS pc, NULL::BIGINT AS pd FROM y WHERE i = 1
+    UNION ALL SELECT file, i, ordinal, now_c, CASE WHEN ok THEN now_a ELSE a END, CASE WHEN ok THEN now_b ELSE b END, CASE WHEN ok THEN now_c ELSE c END, CASE WHEN ok THEN now_d ELSE d END, epoch, delta,
+        CASE WHEN ok THEN da - db END, CASE WHEN ok THEN db END, CASE WHEN ok THEN dc - dd END, CASE WHEN ok THEN dd END FROM (
+        SELECT *, delta <> 0 AND now_b <= now_a AND now_d <= now_c AND least(da, db, dc, dd) >= 0 AND db <= da AND dd <= dc AS ok FROM (
+            SELECT z.file, y.i, y.ordinal, y.a AS now_a, y.b AS now_b, y.c AS now_c, y.d AS now_d, z.a, z.b, z.c, z.d, z.epoch + CASE WHEN y.c < z.mark THEN 1 ELSE 0 END AS epoch, y.c - CASE WHEN y.c < z.mark THEN 0 ELSE z.mark END AS delta,
+                y.a - CASE WHEN y.c < z.mark THEN 0 ELSE z.a END AS da, y.b - CASE WHEN y.c < z.mark THEN 0 ELSE z.b END AS db, y.c - CASE WHEN y.c < z.mark THEN 0 ELSE z.c END AS dc, y.d - CASE WHEN y.c < z.mark THEN 0 ELSE z.d END AS dd
+            FROM z JOIN y ON y.file = z.file AND y.i = z.i + 1)))"""
+
+
+@query(f"""WITH RECURSIVE {_STATES} SELECT file, ordinal, delta, pa AS input_uncached, pb AS cache_read, pc AS output_visible, pd AS reasoning FROM (SELECT *, max(epoch) OVER (PARTITION BY file) AS newest FROM z) WHERE epoch = newest AND delta > 0""", "")
 def validated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token parts whose bases move on valid lines only: sequential, so without SQL."""
+    """Token parts whose bases move on valid lines only."""
     lines = _lines(spark, sf_dir).select("file", "ordinal", "input", (F.col("input") % 60).alias("cached"), F.col("total").alias("output"), (F.col("total") % 40).alias("reasoning"))
     return counters.validated_part_deltas(lines)
 
@@ -428,6 +472,27 @@ def silent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.silent_sources(_health(spark), usage_facts(spark, sf_dir).where("channel = 'click'")).select("ordinal", "source_id")
 
 
+@query("SELECT ordinal, source_id FROM hl WHERE NOT is_healthy AND source_id IN (SELECT source_id FROM f WHERE channel = 'click')", FACTS, HEALTH)
+def affecting_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.affecting(_health(spark), usage_facts(spark, sf_dir).where("channel = 'click'")).select("ordinal", "source_id")
+
+
+@query("""SELECT row_number() OVER (ORDER BY health, array_to_string(reason_codes, chr(0))) AS ordinal, * FROM (SELECT CASE WHEN bool_and(is_healthy) THEN 'healthy' ELSE 'unhealthy' END AS health,
+    coalesce(list_sort(list(DISTINCT reason_code) FILTER (reason_code IS NOT NULL)), []) AS reason_codes FROM hl GROUP BY source_id)""", HEALTH)
+def numbered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.numbered_sources(_health(spark))
+
+
+@query("""SELECT model_raw, CASE WHEN count(burn_total) = 0 THEN CASE WHEN owned THEN 'stale' ELSE 'unavailable' END WHEN owned THEN 'stale' END AS state FROM
+    (SELECT model_raw, burn_total, bool_or(source_id IN (SELECT source_id FROM hl WHERE NOT is_healthy)) OVER (PARTITION BY model_raw) AS owned FROM f) GROUP BY model_raw, owned""", FACTS, HEALTH)
+def chart_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of the burn chart of each model."""
+    facts = usage_facts(spark, sf_dir)
+    sick = _health(spark).where("NOT is_healthy").select("source_id").distinct().withColumn("sick", F.lit(True))
+    each = facts.join(sick, "source_id", "left").groupBy("model_raw").agg(F.count("burn_total").alias("capable"), F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("sick"), F.lit(False)).alias("owned"))
+    return each.select("model_raw", health.chart_state(F.col("capable"), F.col("owned"), F.lit(True), F.col("n")).alias("state"))
+
+
 @query("SELECT reason_code, action FROM hl WHERE NOT is_healthy AND reason_code IS NOT NULL ORDER BY ordinal LIMIT 1", HEALTH)
 def first_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.first_degradation(_health(spark))
@@ -474,9 +539,9 @@ def strict_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", scalars.strict_int(F.try_parse_json("props"), "$.k").alias("k"))
 
 
-@query(None)
+@query(f"""SELECT model_raw, (list_reduce(list_prepend({scalars.FNV_BASIS}::HUGEINT, list_transform(string_split(model_raw, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (xor(h, b) * {scalars.FNV_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT) % 8)::BIGINT AS slot FROM (SELECT DISTINCT model_raw FROM f)""")
 def series_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colour slots of the models; unsigned 64-bit products have no SQL form."""
+    """Colour slots of the models."""
     return usage_facts(spark, sf_dir).select("model_raw").distinct().withColumn("slot", scalars.fnv_slot("model_raw", F.lit(8)))
 
 
@@ -495,14 +560,22 @@ def light_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.crossJoin(metrics.calls(facts.where(filters.in_closed_window(now, WINDOW_S)), WINDOW_S).select("calls"))
 
 
-@query(f"""SELECT count(*) AS facts, (SELECT count(*) FROM (SELECT 1 FROM f AS a WHERE NOT (tier = 'fallback' AND EXISTS (SELECT 1 FROM f AS b WHERE b.tier = 'enhanced' AND b.call_id = a.call_id AND b.agent = a.agent AND b.range_start_us = a.range_start_us))
-    AND range_start_us < ((SELECT now FROM clock) - 7 * {DAY}) // {DAY} * {DAY} GROUP BY range_start_us, {ROLLUP_KEYS})) AS rollups FROM f AS a WHERE NOT (tier = 'fallback' AND EXISTS (SELECT 1 FROM f AS b WHERE b.tier = 'enhanced' AND b.call_id = a.call_id AND b.agent = a.agent AND b.range_start_us = a.range_start_us))
-    AND observed_us >= (SELECT now FROM clock) - 7 * {DAY}""")
+_KEPT = "s AS (SELECT * FROM f AS a WHERE NOT (tier = 'fallback' AND EXISTS (SELECT 1 FROM f AS b WHERE b.tier = 'enhanced' AND b.call_id = a.call_id AND b.agent = a.agent AND b.range_start_us = a.range_start_us)))"
+_ROLLED = f"""
+n AS (SELECT (SELECT now FROM clock) AS now, (SELECT count(*) FROM f) AS was),
+d AS (SELECT range_start_us, {ROLLUP_KEYS} FROM s, n WHERE range_start_us < (now - 20 * {DAY}) // {DAY} * {DAY} GROUP BY range_start_us, {ROLLUP_KEYS}),
+raw AS (SELECT s.*, (SELECT count(*) FROM d) AS rolled FROM s, n WHERE range_start_us >= (now - 20 * {DAY}) // {DAY} * {DAY}),
+e AS (SELECT greatest(0, (SELECT count(*) FROM raw) + (SELECT count(*) FROM d) - was // 2 + 1) AS excess FROM n)"""
+
+
+@query(f"""SELECT (SELECT count(*) FROM (SELECT observed_us, row_number() OVER (ORDER BY observed_us, id) AS i FROM raw), n, e WHERE observed_us >= now - 2 * {DAY} OR i > greatest(0, excess - (SELECT count(*) FROM d))) AS facts,
+    (SELECT count(*) FROM d) - least((SELECT count(*) FROM d), (SELECT excess FROM e)) AS rollups""", FACTS, _KEPT, _ROLLED)
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts and rollups left after the hard limit's steps, with room for what is protected."""
+    """Facts and rollups left under a limit of half the rows, with two days protected."""
     facts = authority.mark_superseded(usage_facts(spark, sf_dir))
     known = rollups.daily(facts.where("false")).withColumn("coverage", F.lit("complete"))
-    left, rolled = rollups.retain(facts, known, _now(facts), rollups.RetentionPolicy(hard_rows=1, rollup_days=1 << 12), rows=1)
+    n = facts.count()
+    left, rolled = rollups.retain(facts, known, _now(facts), rollups.RetentionPolicy(hard_rows=n // 2, rollup_days=20, protected_days=2), rows=n)
     return left.agg(F.count(F.lit(1)).alias("facts")).crossJoin(rolled.agg(F.count(F.lit(1)).alias("rollups")))
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.authority import coalesce_performance
@@ -24,6 +24,13 @@ def _existing(path: str, like: DataFrame) -> DataFrame:
     return like.limit(0)
 
 
+def _remove_days(spark: SparkSession, path: str, days: list[int]) -> None:
+    """Drops day partitions that have no row any more (a dynamic overwrite leaves them)."""
+    for day in days:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/day={day}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def last_wins(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both; of equal keys the new one."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
@@ -34,20 +41,26 @@ def prefer_performance(old: DataFrame, new: DataFrame) -> DataFrame:
     return coalesce_performance(old.unionByName(new)).select(*new.columns)
 
 
-def day_table(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], time: str = "observed_us") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges a batch into the day partitions it touches."""
+def day_table(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], time: str = "observed_us") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges a batch into the day partitions it touches: its own
+    days, and those where rows of its keys stand, so that a row that moves to another day
+    leaves no copy behind. To find those only keys and days of the table are read."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("day", day_start(time))
-        days = rows.select("day").distinct()
-        old = _existing(path, rows).join(F.broadcast(days), "day", "left_semi")
+        there = _existing(path, rows)
+        moved = there.select(*keys, "day").join(rows.select(*keys).distinct(), keys, "left_semi").select("day")
+        days = rows.select("day").unionByName(moved).distinct()
+        old = there.join(F.broadcast(days), "day", "left_semi")
         merged = merge(old, rows)
         # the files read are replaced below, so the merged days are held outside them first
         held = f"{path.rstrip('/')}__batch"
         merged.write.mode("overwrite").partitionBy("day").parquet(held)
         again = spark.read.schema(rows.schema).parquet(held)
+        emptied = [r["day"] for r in days.join(again.select("day").distinct(), "day", "left_anti").collect()]
         again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        _remove_days(spark, path, emptied)
 
     return write
 
@@ -59,11 +72,11 @@ def upsert_facts(path: str) -> Callable[[DataFrame, int], None]:
         best = Window.partitionBy("id").orderBy(F.desc("observed_us"))
         return last_wins(old, new.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n"), ["id"])
 
-    return day_table(path, merge)
+    return day_table(path, merge, ["id"])
 
 
 def upsert_performance(path: str) -> Callable[[DataFrame, int], None]:
-    return day_table(path, prefer_performance)
+    return day_table(path, prefer_performance, ["agent", "request_id", "granularity"])
 
 
 def windowed(facts: DataFrame, width_s: int, late_s: int) -> DataFrame:

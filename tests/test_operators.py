@@ -74,7 +74,7 @@ def test_nearest_rank(spark, values, p):
     from decimal import Decimal
     from math import ceil
 
-    got = spark.createDataFrame([(float(v),) for v in values], "v double").agg(performance.nearest_rank(p, "v").alias("q")).first()["q"]
+    got = performance.nearest_ranks(spark.createDataFrame([(float(v),) for v in values], "v double"), "v", {"q": p}).first()["q"]
     assert got == sorted(values)[max(0, ceil(Decimal(str(p)) * len(values)) - 1)]
 
 
@@ -178,7 +178,8 @@ def test_rollups_and_late_facts(spark):
 def test_policy():
     p = rollups.RetentionPolicy()
     assert [p.level(b, r) for b, r in ((0, 0), (800 << 20, 0), (0, 2_000_000))] == ["normal", "warning", "hardLimit"]
-    assert (p.batch(1 << 30, 0), p.batch(0, 2_000_010), p.batch(0, 9_000_000)) == (10_000, 10, 100_000)
+    assert (p.batch(1 << 30, 0), p.batch(0, 2_000_010), p.batch(0, 9_000_000)) == (10_000, 11, 100_000)
+    assert (p.excess(0, 2_000_010), p.excess(0, 5), p.excess(2 << 30, 100)) == (11, 0, 51)
 
 
 def test_segments_table_and_points(spark):
