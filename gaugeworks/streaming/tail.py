@@ -13,6 +13,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 PREFIX = 4096
+#: Bytes that a task reads at once.
+BLOCK = 4 << 20
 
 
 class FileRange(InputPartition):
@@ -26,7 +28,7 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.root, self.most = options["path"], int(options.get("maxbytesperfile", 0)) or None
+        self.root = options["path"]
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
@@ -64,14 +66,18 @@ class TailReader(DataSourceStreamReader):
         store, _ = _open(self.root)
         with store.open_input_file(partition.path) as f:
             f.seek(partition.start)
-            at = partition.start
-            for line in f.read(partition.stop - partition.start).split(b"\n")[:-1]:
-                if line.strip():
-                    try:
-                        yield partition.path, at, line.decode()
-                    except UnicodeDecodeError:
-                        yield partition.path, at, None
-                at += len(line) + 1
+            at, left, held = partition.start, partition.stop - partition.start, b""
+            while left:
+                block = f.read(min(BLOCK, left))
+                left -= len(block)
+                *lines, held = (held + block).split(b"\n")
+                for line in lines:
+                    if line.strip():
+                        try:
+                            yield partition.path, at, line.decode()
+                        except UnicodeDecodeError:
+                            yield partition.path, at, None
+                    at += len(line) + 1
 
 
 class TailSource(DataSource):

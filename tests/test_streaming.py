@@ -38,6 +38,9 @@ def test_upserts_survive_replay(spark, tmp_path):
         write(spark.createDataFrame(rows, schema), i)
     got = spark.read.parquet(path).select("id", "output_tokens")
     assert sorted(map(tuple, got.collect())) == [("a", 11), ("b", 20), ("c", 6)]
+    for _ in range(2):
+        write(spark.createDataFrame([("c", 3, 7)], schema), 3)
+    assert sorted(map(tuple, spark.read.parquet(path).select("id", "output_tokens").collect())) == [("a", 11), ("b", 20), ("c", 7)]
 
 
 def test_performance_preference_in_a_stream(spark, tmp_path):
