@@ -56,6 +56,12 @@ def _identity(shard: int) -> int:
     return shard
 
 
+def _home(uid: int, n: int) -> int:
+    """The task that adds up the scores of a slice: by a mixed hash of its number, so that the
+    first slices of many partitions don't meet in one."""
+    return int(mix(np.array([uid], np.uint64))[0] % np.uint64(n))
+
+
 def _dealt(docs: DataFrame, n: int) -> RDD:
     """(shard, message): ("docs", slice, ids, folds) once a slice, and for each shard
     ("tokens", slice, folds, words, tokens a word, contexts, context and row a token)."""
@@ -90,7 +96,7 @@ def _dealt(docs: DataFrame, n: int) -> RDD:
             order = np.lexsort((word, shard))
             shard, word, before, doc = shard[order], word[order], before[order], doc[order]
             cut = np.searchsorted(shard, np.arange(n + 1))
-            to, out = [uid % n], [_packed(uid, 0, b.column("doc_id").is_valid().to_numpy(zero_copy_only=False), b.column("doc_id").fill_null(0).to_numpy(), folds)]
+            to, out = [_home(uid, n)], [_packed(uid, 0, b.column("doc_id").is_valid().to_numpy(zero_copy_only=False), b.column("doc_id").fill_null(0).to_numpy(), folds)]
             for s in np.flatnonzero(np.diff(cut)):
                 x = slice(cut[s], cut[s + 1])
                 own, times = np.unique(word[x], return_counts=True)
@@ -283,9 +289,9 @@ def _scored(n: int, table: np.ndarray):
             x = slice(first, first + rows)
             first += rows
             some = np.flatnonzero(sums[0][x])
-            yield uid % n, _packed(uid, 4, some.astype(np.uint32), *(s[x][some].astype(kind) for s, kind in zip(sums, (np.uint32, np.uint32, np.float64, np.float64), strict=True)))
+            yield _home(uid, n), _packed(uid, 4, some.astype(np.uint32), *(s[x][some].astype(kind) for s, kind in zip(sums, (np.uint32, np.uint32, np.float64, np.float64), strict=True)))
         for uid, arrays in shard.docs:
-            yield uid % n, _packed(uid, 5, *arrays, np.array([c.n], np.int64))
+            yield _home(uid, n), _packed(uid, 5, *arrays, np.array([c.n], np.int64))
 
     return run
 

@@ -30,8 +30,8 @@ from gaugeworks.llm.words import hash_spans, words_of
 LENGTH, END = 1024, 2
 #: Free places up to which a bin counts as nearly full; items of a partition in a round.
 SLACK, ITEMS = 8, 50_000
-#: Distinct units that a worker remembers; then it starts anew.
-REMEMBER = 1_500_000
+#: Bytes of units and their ids that a worker remembers; then it starts anew.
+REMEMBER = 96 << 20
 _LINES = 500
 _ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]|<\|")
 
@@ -122,7 +122,7 @@ class UnitEncoder:
         starts, ends = starts[order], ends[order]
         hashes = hash_spans(data, starts, ends)
         own, first, unit = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBER:
+        if sum(x.nbytes for x in (self.known, self.at, self.size, self.ids)) > REMEMBER:
             self.forget()
         place = np.searchsorted(self.known, own)
         new = np.ones(len(own), bool)
@@ -221,14 +221,16 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """The pieces of `docs` with sequence_id and offset: pieces of a sequence lie without
     gaps from offset 0 and fill `length` places at most. Every row of `docs` has at least
     one piece; an empty table gives no rows; other columns are not read. A partition
-    holds `items` items of a round or so, each of `length` members at most."""
+    holds `items` items of a round or so, the first included, each of `length` members at
+    most."""
     cut = materialize(pieces(docs, id_col, text_col, length, tokenizer), "pieces")
     whole = cut.where(F.col("length") == length).withColumns({"sequence_id": 2 * F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     left = cut.where(F.col("length") < length).select(F.col("length").cast("int").alias("fill"), F.array(member).alias("members"))
-    done, before, parts = [], None, None
+    done, before = [], None
+    parts = max(1, -(-left.count() // items))
     while True:
-        bins = materialize(_round(left if parts is None else left.repartition(parts), length, slack), "bins")
+        bins = materialize(_round(left.repartition(parts), length, slack), "bins")
         under = bins.where(~F.col("closed"))
         n = under.count()
         if parts == 1 or n == 0 or (before is not None and n > 0.98 * before):

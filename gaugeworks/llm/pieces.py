@@ -14,6 +14,7 @@ library does, gives other ids for many words; decoding is the same.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.shared import slices
 
 MARK = "▁"
-#: Words that a worker remembers; then it starts anew.
-REMEMBER = 500_000
+#: Bytes of words and their ids that a worker remembers, by estimate; then it starts anew.
+REMEMBER = 256 << 20
 #: How much worse than the worst piece a character without one is.
 UNKNOWN_PENALTY = 10.0
 
@@ -39,6 +40,12 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@functools.cache
+def pieces_of(path: str) -> Pieces:
+    """This worker's model and what it remembers, which its tasks share."""
+    return Pieces(path)
+
+
 class Pieces:
     """A model's pieces, and the segmentations found so far."""
 
@@ -60,6 +67,7 @@ class Pieces:
         alone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in self.score))
         self.words = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.known: dict[str, list[int]] = {}
+        self.held = 0
 
     def learn(self, words: Iterable[str]) -> None:
         """Segments the words in sorted order, each from where it leaves the one before."""
@@ -89,12 +97,14 @@ class Pieces:
                 ids += [piece] if piece >= 0 else [self.byte[b] for b in reversed(word[start:end].encode())]
                 end = start
             self.known[word] = ids[::-1]
+            self.held += 200 + 4 * len(word) + 36 * len(ids)
             last = word
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > REMEMBER:
+        if self.held > REMEMBER:
             self.known.clear()
+            self.held = 0
         self.learn({w for words in split for w in words if w not in self.known})
         known = self.known
         return [[i for w in words for i in known[w]] for words in split]
@@ -113,7 +123,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     kinds = {"n_tokens": pa.int64(), "ids_crc32": pa.int64(), "round_trip": pa.bool_()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = pieces_of(path)
         for b in slices(batches, "text"):
             texts = [(t or "").replace(MARK, " ") for t in b.column("text").to_pylist()]
             ids = pieces.encode(texts)
@@ -125,11 +135,12 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
 
 def decoded(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
-    """(doc_id, text) from arrays of ids; null arrays give null texts."""
+    """(doc_id, text) from arrays of ids; null arrays give null texts. Rows that repeat stay
+    apart, an empty table gives no rows, other columns are not read."""
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = pieces_of(path)
         for b in batches:
             texts = [None if x is None else pieces.decode(x) for x in b.column("ids").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -4,14 +4,15 @@ A task finds the base spans (assigned values, access keys, hexadecimal runs) and
 further candidates, bare tokens: whatever could stand in an assignment, whole and split at
 '=' and '.'. A first pass over the texts leaves a sieve of the values that stand in a base
 span or are random enough alone; only tokens that pass it are kept. Every candidate value is
-hashed, without '.' and '=' at its end; per hash the corpus gives the number of distinct repositories and owners. A
-value seen with more than `max_owners` owners is a widely copied example; one seen with
-few, and that either stands in a base span somewhere or is random enough by itself, is
+hashed, without '.' and '=' at its end; per hash the corpus gives the number of distinct
+repositories and owners. A value seen with more than `max_owners` owners, or in more than
+`max_repositories` repositories, is a widely copied example; one seen with few, and that either stands in a base span somewhere or is random enough by itself, is
 owner-specific and live-looking: every bare occurrence of it becomes a span too.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -23,19 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import materialize, sieve, sifted, slices, text_key
+from gaugeworks.llm.shared import fresh, materialize, sieve, sifted, slices, text_key
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: A bare token: a run of what a value may hold. Between full stops it is random enough by
 #: itself from this many bits a character and characters, with both cases and a digit.
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 _DIGIT = re.compile(r"[0-9]")
 ENTROPY, ENTROPY_CHARS = 3.5, 24
-MAX_OWNERS = 3
+MAX_OWNERS, MAX_REPOSITORIES = 3, 8
 _CANDIDATES = "array<struct<hash:binary,kind:string,start:int,stop:int,alike:boolean>>"
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 
@@ -120,7 +120,7 @@ def scan(docs: DataFrame, text_col: str = "text", repository: Column | None = No
     return materialize(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
 
 
-def ownership(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def ownership(scanned: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(hash, repositories, owners, occurrences, verdict: example or live or other). A null
     repository or owner counts as one of its own. Distinct pairs are combined before they
     meet, so a widely copied value costs its distinct owners and not its occurrences."""
@@ -129,30 +129,54 @@ def ownership(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     pairs = each.groupBy("hash", known("repository").alias("r"), known("owner").alias("o")).agg(F.count("*").alias("n"), F.bool_or("alike").alias("alike"))
     repositories = pairs.groupBy("hash", "r").agg(F.sum("n").alias("n"), F.bool_or("alike").alias("alike")).groupBy("hash").agg(F.count("*").alias("repositories"), F.sum("n").alias("occurrences"), F.bool_or("alike").alias("alike"))
     owners = pairs.groupBy("hash", "o").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("owners"))
-    verdict = F.when(F.col("owners") > max_owners, "example").when(F.col("alike"), "live").otherwise("other")
+    verdict = F.when((F.col("owners") > max_owners) | (F.col("repositories") > max_repositories), "example").when(F.col("alike"), "live").otherwise("other")
     return repositories.join(owners, "hash").select("hash", "repositories", "owners", "occurrences", verdict.alias("verdict"))
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def cleared(found: list[dict]) -> list[dict]:
+    """Spans in order of start, without the owned ones that meet a base span or lie within
+    another owned one: one pass over the sorted ends of each kind."""
+    base = sorted((x["start"], x["stop"]) for x in found if x["kind"] != "owned")
+    starts, upto, most = [a for a, _ in base], [], 0
+    for _, stop in base:
+        most = max(most, stop)
+        upto.append(most)
+    held, most = set(), -1
+    for start, stop in sorted({(x["start"], x["stop"]) for x in found if x["kind"] == "owned"}, key=lambda x: (x[0], -x[1])):
+        before = bisect.bisect_left(starts, stop)
+        if stop <= most or (before and upto[before - 1] > start):
+            held.add((start, stop))
+        most = max(most, stop)
+    return [x for x in found if x["kind"] != "owned" or (x["start"], x["stop"]) not in held]
+
+
+_SPAN = "struct<start:int,order:int,stop:int,kind:string,verdict:string>"
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(doc_id, spans: sorted array of kind, start, stop, verdict) for every row of `docs`:
     all base spans, each with its value's verdict, and the bare occurrences of live
-    values as kind "owned" where no base span or longer such value covers them. Places count code points. A
-    null or empty text has no spans. repository: by default the document's id, owner: by
-    default its source."""
-    repository = F.col(id_col) if repository is None else repository
+    values as kind "owned" where no base span or longer such value covers them. Places count
+    code points. A null or empty text has no spans; rows that repeat have equal ones; an empty
+    table gives no rows; of other columns only those of repository and owner are read. owner:
+    by default a document's source, repository: the part of a source in one language."""
     owner = F.col("source") if owner is None else owner
-    rows = scan(docs.withColumn("__id", F.col(id_col)), text_col, repository, owner, ("__id",))
-    verdicts = materialize(ownership(rows, max_owners).select("hash", "verdict"), "secrets-verdicts")
+    repository = F.concat_ws("/", "source", "lang") if repository is None else repository
+    (own,) = fresh(docs, "own_id")
+    rows = scan(docs.withColumn(own, F.col(id_col)), text_col, repository, owner, (own,))
+    verdicts = materialize(ownership(rows, max_owners, max_repositories).select("hash", "verdict"), "secrets-verdicts")
     each = rows.where(F.size("candidates") > 0).select("row", F.inline("candidates"))
     told = each.join(verdicts, "hash").where("kind <> 'bare' OR verdict = 'live'")
     order = F.element_at(F.create_map(*[F.lit(x) for k, v in {"assign": 0, "access": 1, "hex": 2, "bare": 3}.items() for x in (k, v)]), F.col("kind"))
     kind = F.when(F.col("kind") == "bare", "owned").otherwise(F.col("kind"))
-    found = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", order.alias("order"), "stop", kind.alias("kind"), "verdict"))).alias("s"))
-    meets = lambda x, y: (y["start"] < x["stop"]) & (x["start"] < y["stop"])
-    holds = lambda x, y: (y["start"] <= x["start"]) & (x["stop"] <= y["stop"]) & ((y["start"] < x["start"]) | (x["stop"] < y["stop"]))
-    clear = F.filter("s", lambda x: (x["kind"] != "owned") | ~F.exists("s", lambda y: F.when(y["kind"] == "owned", holds(x, y)).otherwise(meets(x, y))))
-    found = found.select("row", clear.alias("spans"))
-    return rows.select("row", F.col("__id").alias("doc_id")).join(found, "row", "left").select("doc_id", F.coalesce("spans", F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("order"), F.lit(0).alias("stop"), F.lit("").alias("kind"), F.lit("").alias("verdict"))), lambda x: F.lit(False))).alias("spans"))
+    found = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", order.cast("int").alias("order"), "stop", kind.alias("kind"), "verdict"))).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column("row"), pa.array([cleared(x) for x in b.column("spans").to_pylist()], b.column("spans").type)], ["row", "spans"])
+
+    found = found.mapInArrow(run, f"row long, spans array<{_SPAN}>")
+    return rows.select("row", F.col(own).alias("doc_id")).join(found, "row", "left").select("doc_id", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")).alias("spans"))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<secret>", **settings) -> DataFrame:
@@ -160,22 +184,23 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     spans and other columns stay as they are. Found by id and text: rows that share both
     have equal spans."""
     columns = docs.columns
-    keyed = docs.withColumn("__key", F.struct(F.col(id_col).cast("string").alias("i"), text_key(text_col).alias("t")))
-    found = spans(keyed, "__key", text_col, repository=F.col(id_col), **settings).where(F.size("spans") > 0)
-    found = found.groupBy(F.col("doc_id.i").alias("__i"), F.col("doc_id.t").alias("__t")).agg(F.first("spans").alias("__spans"))
+    key, of_id, of_text, held = fresh(docs, "own_key", "of_id", "of_text", "spans")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).cast("string").alias("i"), text_key(text_col).alias("t")))
+    found = spans(keyed, key, text_col, **settings).where(F.size("spans") > 0)
+    found = found.groupBy(F.col("doc_id.i").alias(of_id), F.col("doc_id.t").alias(of_text)).agg(F.first("spans").alias(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
             texts = b.column(text_col).to_pylist()
-            for i, held in enumerate(b.column("__spans").to_pylist()):
-                if held:
+            for i, own in enumerate(b.column(held).to_pylist()):
+                if own:
                     out, at = [], 0
-                    for s in held:
+                    for s in own:
                         if s["start"] >= at:
                             out += [texts[i][at : s["start"]], mark]
                         at = max(at, s["stop"])
                     texts[i] = "".join(out) + texts[i][at:]
             yield pa.record_batch([pa.array(texts, b.schema.field(c).type) if c == text_col else b.column(c) for c in columns], columns)
 
-    same = F.col(id_col).cast("string").eqNullSafe(F.col("__i")) & (text_key(text_col) == F.col("__t"))
-    return docs.join(found, same, "left").select(*columns, "__spans").mapInArrow(run, docs.schema)
+    same = F.col(id_col).cast("string").eqNullSafe(F.col(of_id)) & (text_key(text_col) == F.col(of_text))
+    return docs.join(found, same, "left").select(*columns, held).mapInArrow(run, docs.schema)

@@ -1,6 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's words give hashes of every run of `k` words; of every `window` consecutive
+A text falls into units: its words, and the characters of words of more than LONG_WORD
+characters (scripts without blanks, encoded data), so that every text has runs to share.
+Each unit is hashed once; the hash of a run of `k` units combines theirs. Of every `window` consecutive
 hashes the least is chosen, of equal ones the rightmost. Hash and place are packed in
 one number whose order is (hash, later place first), so a window's choice is a plain
 minimum. Any run of window + k - 1 words that two texts share yields a fingerprint in
@@ -9,25 +11,36 @@ both, and the places kept with the hashes show where.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.quality import words
+from gaugeworks.llm.shared import fresh
 
 K, WINDOW = 5, 8
+#: Characters up to which a word is one unit.
+LONG_WORD = 20
 #: Bits of a place and of a hash in the packed number.
 PLACE, HASH = 31, 32
 _LAST = (1 << PLACE) - 1
 
 
-def packed_hashes(words_col: str, k: int) -> Column:
-    """The packed number of every run of k words; a text of fewer words has one run."""
-    n = F.size(words_col)
+def units(text: Column) -> Column:
+    """Words, long ones as their characters."""
+    own = words(text)
+    single = F.transform(own, lambda w: F.when(F.length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w)))
+    return F.when(F.exists(own, lambda w: F.length(w) > LONG_WORD), F.flatten(single)).otherwise(own)
+
+
+def packed_hashes(unit_hashes: str, k: int) -> Column:
+    """The packed number of every run of k units; a text of fewer units has one run."""
+    n = F.size(unit_hashes)
     at = F.when(n >= 1, F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    hashed = lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(words_col, i, k)), 64 - HASH)
-    return F.transform(at, lambda i: F.shiftleft(hashed(i), PLACE).bitwiseOR(F.lit(_LAST) - i + 1))
+    run = lambda i: F.xxhash64(*[F.get(unit_hashes, i + (j - 1)) for j in range(k)])
+    return F.transform(at, lambda i: F.shiftleft(F.shiftrightunsigned(run(i), 64 - HASH), PLACE).bitwiseOR(F.lit(_LAST) - i + 1))
 
 
 def choose(packed_col: str, window: int) -> Column:
@@ -43,7 +56,7 @@ def hash_of(packed: Column) -> Column:
 
 
 def place_of(packed: Column) -> Column:
-    """The first word of the run, counted from 0."""
+    """The first unit of the run, counted from 0."""
     return F.lit(_LAST) - packed.bitwiseAND(F.lit(_LAST))
 
 
@@ -51,9 +64,10 @@ def with_fingerprints(df: DataFrame, texts: dict[str, str], k: int = K, window:
     """`df` with a column of packed numbers for each text column (result name -> text).
     A null text counts as empty and has none."""
     kept = df.columns
-    split = df.select("*", *[words(F.coalesce(F.col(t), F.lit(""))).alias(f"__w_{out}") for out, t in texts.items()])
-    hashed = split.select(*kept, *[packed_hashes(f"__w_{out}", k).alias(f"__h_{out}") for out in texts])
-    return hashed.select(*kept, *[choose(f"__h_{out}", window).alias(out) for out in texts])
+    names = {out: fresh(df, f"h_{out}")[0] for out in texts}
+    hashed = df.select("*", *[F.transform(units(F.coalesce(F.col(t), F.lit(""))), lambda u: F.xxhash64(u)).alias(names[out]) for out, t in texts.items()])
+    packed = hashed.select(*kept, *[packed_hashes(names[out], k).alias(names[out]) for out in texts])
+    return packed.select(*kept, *[choose(names[out], window).alias(out) for out in texts])
 
 
 def written(packed_col: str) -> Column:
@@ -72,6 +86,18 @@ def hashes(packed_col: str) -> Column:
     return F.array_distinct(F.transform(packed_col, hash_of))
 
 
+def _above(cuts: list, value: Column) -> Column:
+    """How many of the sorted cuts are no less than a value, looked up in two steps: first
+    among every so manieth, then among those that follow it."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(cuts)))
+    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    below = F.size(F.filter(F.array(*[F.lit(p[-1]) for p in parts]), lambda c: c < value))
+    own = F.get(F.array(*[F.array(*map(F.lit, p)) for p in parts]), below)
+    return F.lit(len(cuts)) - F.least(below * step, F.lit(len(cuts))) - F.coalesce(F.size(F.filter(own, lambda c: c < value)), F.lit(0))
+
+
 def with_next(docs: DataFrame, id_col: str, columns: list[str], rows: int = 1_000, added: Callable[[DataFrame], DataFrame] = lambda df: df, carried: tuple[str, ...] = ()) -> DataFrame:
     """`added(docs)` with next_<column> (also of the `carried` columns that it adds): of the
     row that follows in descending order of id (nulls last, equal ids in order of the
@@ -83,7 +109,7 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], rows: int = 1_00
     parts = max(1, min(10_000, docs.count() // rows))
     found = docs.select(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
     cuts = sorted(set(found or []))
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col(id_col))) if cuts else F.lit(0)
+    above = _above(cuts, F.col(id_col))
     part = F.when(F.isnull(id_col), len(cuts) + 1).otherwise(above)
     heads = sorted(docs.groupBy(part.alias("__part")).agg(F.max(id_col)).collect())
     dealt = added(docs).withColumn("__part", part).withColumn("__copy", F.lit(False))
@@ -103,7 +129,9 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     """(doc_id, n_chars, edited, fp, edited_fp, near_edited, near_next): each text's
     fingerprints, those of the text whose last half is replaced by the start of the next
     document, and how alike they are. A null text is empty, an empty text has no
-    fingerprints, and two texts without any are alike; a single row follows itself."""
+    fingerprints, and two texts without any are alike; a single row follows itself. Rows that
+    repeat follow each other, null ids come last, an empty table gives no rows, and other
+    columns are not read."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = with_next(narrow, "doc_id", ["text"], added=lambda df: with_fingerprints(df, {"fp": "text"}, k, window), carried=("fp",))
     n = F.length("text")

@@ -1,11 +1,15 @@
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import queries, secrets
+from gaugeworks.llm.shared import SIEVE_BITS
 
+EVERY = b"\xff" * (SIEVE_BITS // 8)
 LIVE = "Zk3vQ9xT7bLm2RwY8sHd4NfPq6Uc1"
 COPIED = "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8Ii9Jj0"
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -76,3 +80,49 @@ def test_values_assigned_somewhere_are_owned_wherever_they_stand_bare(spark):
     out = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()}
     for i, v in enumerate(v for v in values for _ in range(4)):
         assert v not in out[len(values) + i]
+
+
+def slow_spans(rows):
+    """Of each (text, source, lang): its spans, by all values of all texts at once."""
+    owners, repositories, live = {}, {}, set()
+    for text, source, lang in rows:
+        for h, _, _, _, alike in secrets.candidates(text, EVERY):
+            owners.setdefault(h, set()).add(source)
+            repositories.setdefault(h, set()).add((source, lang))
+            if alike:
+                live.add(h)
+    out = []
+    for text, _, _ in rows:
+        kept = []
+        for h, kind, a, z, _ in secrets.candidates(text, EVERY):
+            common = len(owners[h]) > secrets.MAX_OWNERS or len(repositories[h]) > secrets.MAX_REPOSITORIES
+            if kind != "bare" or (h in live and not common):
+                kept.append((a, z, "owned" if kind == "bare" else kind))
+        base, own = [x for x in kept if x[2] != "owned"], [x for x in kept if x[2] == "owned"]
+        own = [x for x in own if not any(y[0] < x[1] and x[0] < y[1] for y in base) and not any(y[:2] != x[:2] and y[0] <= x[0] and x[1] <= y[1] for y in own)]
+        out.append(sorted(base + own))
+    return out
+
+
+def test_owned_spans_equal_brute_force(spark):
+    """Values held by one owner, by several, in many repositories of few owners, nested and bare."""
+    rng = random.Random(5)
+    values = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.choice([12, 14, 26, 30]))) for _ in range(14)] + ["a.bcdefghijklm", "one.two.three.four"]
+    rows = []
+    for i in range(220):
+        v, w = rng.choice(values), rng.choice(values)
+        form = rng.choice(["password = {0}", "{0}", "x={0}", "token: '{0}' and {1}", "{0}.{1}", "secret={0}.", "see {0}, {1}"])
+        few = values.index(v) % 3
+        rows.append((form.format(v, w), f"s{rng.randrange(2 if few else 9)}", f"l{rng.randrange(6 if few == 2 else 1)}"))
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: [(s["start"], s["stop"], s["kind"]) for s in r["spans"]] for r in secrets.spans(docs).collect()}
+    want = slow_spans(rows)
+    assert any(k == "owned" for x in want for *_, k in x)
+    assert [sorted(got[i]) for i in range(len(rows))] == want
+
+
+def test_columns_of_any_name_stay(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS own_key", "2 AS of_id", "3 AS __spans", "4 AS spans", "5 AS own_id", "6 AS __id")
+    got = secrets.redacted(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r)[-6:] for r in got.collect()} == {(1, 2, 3, 4, 5, 6)}
