@@ -54,6 +54,18 @@ def _texts(docs: DataFrame, text_col: str, rows: DataFrame, pairs: DataFrame, na
     return once.join(of_node, "text_hash").select("node", "text")
 
 
+def sets_of(docs: DataFrame, text_col: str, rows: DataFrame, nodes: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
+    """(node, shingles: sorted distinct hashes) of the `nodes`."""
+    texts = _texts(docs, text_col, rows, nodes.select(F.col("node").alias("u"), F.col("node").alias("v")), name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            held = [own.view(np.int64) for _, own in shingle_sets(b.column("text"), shingle)]
+            yield pa.record_batch([b.column("node"), pa.array(held, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
 def confirmed(docs: DataFrame, text_col: str, rows: DataFrame, pairs: DataFrame, name: str, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """Those of the `pairs` (u, v) of nodes whose shingle sets are at least `least` similar."""
     pairs = materialize(pairs, name)

@@ -10,12 +10,14 @@ comes out. Buckets above `bucket_rows` are split again by the bits that are left
 
 `near_copies` is the same join for a fixed similarity of texts. One fingerprint of word
 shingles cannot tell 0.8 from less (at a Jaccard similarity of 0.8 some 10 of 64 bits
-differ), so each text has `PRINTS` fingerprints of its distinct words, which an edit
-changes less; a pair within the budget in any of them is a candidate, and the exact
-similarity of the two shingle sets decides. First the pairs by which the trie walk over
-the first fingerprint grew its classes are held against each other; then the walk over
-all of them is done with the classes found so far, and gives every candidate pair that
-lies in two of them.
+differ), so each text has `PRINTS` fingerprints of its distinct runs of two words, which an
+edit changes less; a pair within the budget in any of them is a candidate, and the exact
+similarity of the two shingle sets decides. First the pairs by which the trie walks grow
+their classes are held against each other, fewer than a bucket has texts; classes of
+confirmed pairs are formed and the walks are done again over them with other pairs. A last
+walk over the classes that still have neighbours carries the shingle sets along and holds
+all candidate pairs between two of them against each other inside its tasks. So a large
+group of near copies sends about as many pairs as it has texts, and none is left out.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.components import components
 from gaugeworks.llm.jaccard import SHINGLE as SHINGLE_WORDS
-from gaugeworks.llm.jaccard import SIMILARITY, confirmed
+from gaugeworks.llm.jaccard import SIMILARITY, confirmed, sets_of, similarity
 from gaugeworks.llm.shared import materialize, partitions, slices, text_key
 from gaugeworks.llm.words import mix, words_of
 
@@ -40,8 +42,10 @@ SHINGLE = 4
 BUDGET = 4
 #: Rows of a bucket above which it is split by further bits.
 BUCKET_ROWS = 4_000_000
-#: Fingerprints of a text's words in near_copies.
-PRINTS = 16
+#: Fingerprints of a text in near_copies, and the words in a run that they are made of.
+PRINTS, PRINT_RUN = 16, 2
+#: Rounds of near_copies over pairs that connect classes, before all others are looked at.
+ROUNDS = 2
 _CHUNK, _LEAF, _PAIRS = 32_768, 32, 1 << 21
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -129,12 +133,13 @@ def trie_classes(values: np.ndarray, top: int, budget: int) -> np.ndarray:
     return label
 
 
-def trie_pairs(values: np.ndarray, top: int, budget: int, label: np.ndarray, merging: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(values: np.ndarray, top: int, budget: int, label: np.ndarray, merging: bool = True, seed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of the sorted `values` that agree in their `top` first bits, differ in
     `budget` bits at most and have two labels. With `merging` the label of a pair is made
-    one, the lesser, as soon as it is met, so that the pairs given connect the classes;
-    without, labels stay and every such pair is given."""
-    n = len(values)
+    one, the lesser, as soon as it is met, so the pairs given connect the classes and are
+    fewer than the values; without, labels stay and every such pair is given. A label is the
+    index of its first value when merging. Which pairs connect a class depends on `seed`."""
+    n, rng = len(values), np.random.default_rng(seed)
 
     def merge(i: np.ndarray, j: np.ndarray) -> bool:
         changed = False
@@ -157,8 +162,8 @@ def trie_pairs(values: np.ndarray, top: int, budget: int, label: np.ndarray, mer
     heads = values >> np.uint64(BITS - top)
     edge = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])) if n else np.empty(0, np.int64)
     lo, hi = edge, np.concatenate([edge[1:], [n]])[: len(edge)].astype(np.int64)
-    if merging and n:
-        near = np.flatnonzero((np.bitwise_count(values[1:] ^ values[:-1]) <= budget) & (heads[1:] == heads[:-1]))
+    if merging and n and not seed:
+        near = np.flatnonzero((label[1:] != label[:-1]) & (np.bitwise_count(values[1:] ^ values[:-1]) <= budget) & (heads[1:] == heads[:-1]))
         merge(near, near + 1)
         yield near, near + 1
     several = hi - lo > 1
@@ -176,10 +181,19 @@ def trie_pairs(values: np.ndarray, top: int, budget: int, label: np.ndarray, mer
         if small.any():
             for i, j in _products(*(x[small] for x in (a, az, b, bz))):
                 hit = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget) & (label[i] != label[j])
-                if hit.any():
-                    yield i[hit], j[hit]
-                    if merging and merge(i[hit], j[hit]):
-                        seen = changes()
+                i, j = i[hit], j[hit]
+                if not merging and len(i):
+                    yield i, j
+                if merging and len(i):
+                    order = np.argsort(np.bitwise_count(values[i] ^ values[j]) + rng.random(len(i)))
+                    i, j = i[order], j[order]
+                while merging and len(i):
+                    # of each label that has a lesser one beside it the nearest pair: a forest
+                    _, first = np.unique(np.maximum(label[i], label[j]), return_index=True)
+                    yield i[first], j[first]
+                    merge(i[first], j[first])
+                    apart = label[i] != label[j]
+                    i, j, seen = i[apart], j[apart], changes()
         a, az, b, bz, diff = (x[~small] for x in (a, az, b, bz, diff))
         if not len(a):
             continue
@@ -255,19 +269,65 @@ def links(fps: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS)
     return buckets(fps.select(F.lit(0).alias("kind"), "fp"), budget, bucket_rows).mapInArrow(run, "u long, v long")
 
 
-def candidates(fps: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS, merging: bool = True) -> DataFrame:
-    """Pairs (u, v), u > v, of the nodes in `fps` (kind, fp, node, label) within `budget` bits
-    in some kind: with `merging` so many of them as connect the nodes of a bucket that such
-    pairs connect, else all that have two labels."""
+def candidates(fps: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS, merging: bool = True, seed: int = 0) -> DataFrame:
+    """Pairs (u, v), u > v, of the nodes in `fps` (kind, fp, node, label) that have two labels
+    and are within `budget` bits in some kind: with `merging` so many of them as connect the
+    labels of a bucket that such pairs connect (which ones, `seed` decides), else all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, moved, top in _per_mask(batches):
-            node = own.column("node").to_numpy()
-            label = np.arange(len(node)) if merging else own.column("label").to_numpy()
-            for i, j in trie_pairs(moved, top, budget, label, merging):
+            node, label = own.column("node").to_numpy(), own.column("label").to_numpy()
+            if merging:
+                _, first, of = np.unique(label, return_index=True, return_inverse=True)
+                label = first[of]
+            for i, j in trie_pairs(moved, top, budget, label, merging, seed):
                 yield pa.record_batch([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], ["u", "v"])
 
-    return buckets(fps, budget, bucket_rows).mapInArrow(run, "u long, v long").distinct()
+    return buckets(fps, budget, bucket_rows).mapInArrow(run, "u long, v long").where("u <> v").distinct()
+
+
+def verified(fps: DataFrame, least: float, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Pairs (u, v) of the nodes in `fps` (kind, fp, node, label, fps, shingles) that have two
+    labels, are within `budget` bits in some kind and are at least `least` similar: every pair
+    is held against each other where its first kind and block meet, unless pairs before it
+    have joined the two already. Only pairs that are alike leave the task."""
+    blocks = block_masks(budget)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, moved, top in _per_mask(batches):
+            kind, mask = own.column("kind")[0].as_py(), own.column("mask")[0].as_py() & (1 << BITS) - 1
+            node, lists = own.column("node").to_numpy(), own.column("fps").combine_chunks()
+            prints = lists.flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+            held = own.column("shingles").combine_chunks()
+            ends, every = held.offsets.to_numpy(), held.values.to_numpy().view(np.uint64)
+            sets = [every[x:z] for x, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            _, first, of = np.unique(own.column("label").to_numpy(), return_index=True, return_inverse=True)
+            label, up = first[of], list(range(len(node)))
+
+            def root(x: int, up: list[int] = up) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            for i, j in trie_pairs(moved, top, budget, label, merging=False):
+                out = []
+                for k in range(0, len(i), 1 << 16):
+                    a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    apart = prints[a] ^ prints[b]
+                    mine = (np.bitwise_count(apart) <= budget).argmax(axis=1) == kind
+                    if mask in blocks:
+                        shared = (apart[:, kind][:, None] & np.array(blocks, np.uint64)) == 0
+                        mine &= shared.argmax(axis=1) == blocks.index(mask)
+                    for x, y in zip(a[mine].tolist(), b[mine].tolist(), strict=True):
+                        p, q = root(int(label[x])), root(int(label[y]))
+                        small, large = sorted((len(sets[x]), len(sets[y])))
+                        if p != q and small >= least * large and similarity(sets[x], sets[y]) >= least:
+                            up[max(p, q)] = min(p, q)
+                            out.append((max(node[x], node[y]), min(node[x], node[y])))
+                if out:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
+
+    return buckets(fps, budget, bucket_rows).mapInArrow(run, "u long, v long")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -290,9 +350,9 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def word_prints(words: np.ndarray, prints: int = PRINTS) -> np.ndarray:
+def prints_of(values: np.ndarray, prints: int = PRINTS) -> np.ndarray:
     """A fingerprint of the distinct hashes for each of `prints` seeds; 0 without any."""
-    own = np.unique(words)
+    own = np.unique(values)
     counts = np.zeros((prints, BITS), np.int64)
     for i in range(0, len(own), 1024):
         h = mix(own[i : i + 1024] ^ mix(np.arange(1, prints + 1, dtype=np.uint64))[:, None])
@@ -312,7 +372,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...],
             w = words_of(b.column("__text"), lower=True)
             own = [w.hashes[a:z] for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64)
-            found = np.concatenate([word_prints(x, prints) for x in own])
+            runs = w.hashes.copy()
+            for j in range(1, PRINT_RUN):
+                runs[: len(runs) - j] = mix(runs[: len(runs) - j] ^ mix(w.hashes[j:] + np.uint64(j)))
+            parts = [runs[a : max(a, z - PRINT_RUN + 1)] if z - a >= PRINT_RUN else w.hashes[a:z] for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+            found = np.concatenate([prints_of(x, prints) for x in parts])
             held = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * prints, pa.int32()), pa.array(found.view(np.int64)))
             yield pa.record_batch([*[b.column(c) for c in names], pa.array(nodes.view(np.int64)), held], [*names, "node", "fps"])
 
@@ -322,18 +386,33 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...],
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, least: float = SIMILARITY, budget: int = BUDGET, prints: int = PRINTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, `keep` columns, root) for every row of `docs`: root names the component of
     links between texts whose sets of `shingle` words are at least `least` similar (Jaccard).
-    Links are confirmed exactly; a pair is missed only where no fingerprint of its words is
-    within the budget. Texts of the same words in the same order are linked, word-less ones
+    Links are confirmed exactly; a pair is missed only where no fingerprint of its runs of
+    words is within the budget. Texts of the same words in the same order are linked, word-less ones
     (also null) among themselves; rows that repeat have equal results; an empty table gives no
     rows; other columns are not read."""
     rows = materialize(sketches(docs, id_col, text_col, keep, prints), "near")
     nodes = materialize(rows.groupBy("node").agg(F.first("fps").alias("fps")), "near-nodes")
-    first = nodes.select(F.lit(0).alias("kind"), F.col("fps")[0].alias("fp"), "node")
-    tried = materialize(candidates(first, budget), "near-pairs")
-    edges = confirmed(docs, text_col, rows, tried, "near-first", shingle, least)
-    label = materialize(components(edges, "near-classes"), "near-labels")
-    told = nodes.join(label, "node", "left").select(F.posexplode("fps").alias("kind", "fp"), "node", F.coalesce("component", "node").alias("label"))
-    more = confirmed(docs, text_col, rows, candidates(told, budget, merging=False).join(tried, ["u", "v"], "left_anti"), "near-second", shingle, least)
+    label = edges = tried = None
+    labelled = lambda: nodes.join(label, "node", "left").select("node", "fps", F.coalesce("component", "node").alias("label"))
+    for seed in range(ROUNDS):
+        told = nodes.withColumn("label", F.col("node")) if label is None else labelled()
+        pairs = candidates(told.select(F.posexplode("fps").alias("kind", "fp"), "node", "label"), budget, seed=seed)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "near-pairs")
+        found = confirmed(docs, text_col, rows, pairs, "near-confirmed", shingle, least)
+        if edges is None:
+            # a node without a pair here has no neighbour, and has none in later rounds
+            met = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+            nodes = materialize(nodes.join(met, "node", "left_semi"), "near-nodes")
+        edges, tried = (found, pairs) if edges is None else (edges.unionByName(found), tried.unionByName(pairs))
+        label = materialize(components(edges, "near-classes"), "near-labels")
+    # classes that a pair which was not alike still lies between: any other pair does, too
+    of = lambda c, to: label.select(F.col("node").alias(c), F.col("component").alias(to))
+    both = tried.join(of("u", "p"), "u", "left").join(of("v", "q"), "v", "left").select(F.coalesce("p", "u").alias("p"), F.coalesce("q", "v").alias("q")).where("p <> q")
+    open_classes = both.select(F.col("p").alias("label")).unionByName(both.select(F.col("q").alias("label"))).distinct()
+    rest = materialize(labelled().join(open_classes, "label", "left_semi"), "near-open")
+    sets = sets_of(docs, text_col, rows, rest, "near-sets", shingle)
+    each = rest.join(sets, "node").select(F.posexplode("fps").alias("kind", "fp"), "node", "label", "fps", "shingles")
+    more = materialize(verified(each, least, budget), "near-verified")
     if more.head(1):
         label = materialize(components(edges.unionByName(more), "near-classes"), "near-labels")
     return rows.join(label, "node", "left").select("doc_id", *keep, F.coalesce("component", "node").alias("root"))
