@@ -14,9 +14,10 @@ differ), so each text has `PRINTS` fingerprints of its distinct runs of two word
 edit changes less; a pair within the budget in any of them is a candidate, and the exact
 similarity of the two shingle sets decides. First the pairs by which the trie walks grow
 their classes are held against each other, fewer than a bucket has texts; classes of
-confirmed pairs are formed and the walks are done again over them with other pairs. A last
-walk over the classes that still have neighbours carries the shingle sets along and holds
-all candidate pairs between two of them against each other inside its tasks. So a large
+confirmed pairs are formed and the walks are done again over them with other pairs. A walk
+over the classes that still have neighbours finds the buckets in which texts of two of them
+meet; the shingle sets go to those buckets only, and a last walk holds all candidate pairs
+against each other inside its tasks. So a large
 group of near copies sends about as many pairs as it has texts, and none is left out.
 """
 
@@ -286,48 +287,75 @@ def candidates(fps: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET_R
     return buckets(fps, budget, bucket_rows).mapInArrow(run, "u long, v long").where("u <> v").distinct()
 
 
-def verified(fps: DataFrame, least: float, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Pairs (u, v) of the nodes in `fps` (kind, fp, node, label, fps, shingles) that have two
+def _labels(own: pa.Table) -> np.ndarray:
+    """The labels of the rows, each as the place of the first row that has it."""
+    _, first, of = np.unique(own.column("label").to_numpy(), return_index=True, return_inverse=True)
+    return first[of]
+
+
+def _own_pairs(own: pa.Table, moved: np.ndarray, top: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one kind and mask that have two labels and are within the budget, each
+    only in the first kind and block that it meets in."""
+    blocks = block_masks(budget)
+    kind, mask = own.column("kind")[0].as_py(), own.column("mask")[0].as_py() & (1 << BITS) - 1
+    prints = own.column("fps").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(own.num_rows, -1)
+    for i, j in trie_pairs(moved, top, budget, _labels(own), merging=False):
+        for k in range(0, len(i), 1 << 16):
+            a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            apart = prints[a] ^ prints[b]
+            mine = (np.bitwise_count(apart) <= budget).argmax(axis=1) == kind
+            if mask in blocks:
+                shared = (apart[:, kind][:, None] & np.array(blocks, np.uint64)) == 0
+                mine &= shared.argmax(axis=1) == blocks.index(mask)
+            yield a[mine], b[mine]
+
+
+def meeting(fps: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of `fps` (kind, fp, node, label, fps) once for every bucket, named by kind and
+    mask, in which a pair with another label has to be looked at. Most rows meet nobody in most
+    of their buckets, and needn't bring their shingle sets there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, moved, top in _per_mask(batches):
+            met = np.zeros(own.num_rows, bool)
+            for i, j in _own_pairs(own, moved, top, budget):
+                met[i] = met[j] = True
+            yield from own.filter(pa.array(met)).to_batches()
+
+    return buckets(fps, budget, bucket_rows).mapInArrow(run, "kind int, fp long, node long, label long, fps array<long>, mask long")
+
+
+def verified(met: DataFrame, least: float, budget: int = BUDGET) -> DataFrame:
+    """Pairs (u, v) of the nodes in `met` (rows of `meeting` with their shingles) that have two
     labels, are within `budget` bits in some kind and are at least `least` similar: every pair
     is held against each other where its first kind and block meet, unless pairs before it
     have joined the two already. Only pairs that are alike leave the task."""
-    blocks = block_masks(budget)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, moved, top in _per_mask(batches):
-            kind, mask = own.column("kind")[0].as_py(), own.column("mask")[0].as_py() & (1 << BITS) - 1
-            node, lists = own.column("node").to_numpy(), own.column("fps").combine_chunks()
-            prints = lists.flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-            held = own.column("shingles").combine_chunks()
+            node, held = own.column("node").to_numpy(), own.column("shingles").combine_chunks()
             ends, every = held.offsets.to_numpy(), held.values.to_numpy().view(np.uint64)
             sets = [every[x:z] for x, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            _, first, of = np.unique(own.column("label").to_numpy(), return_index=True, return_inverse=True)
-            label, up = first[of], list(range(len(node)))
+            label, up = _labels(own), list(range(len(node)))
 
             def root(x: int, up: list[int] = up) -> int:
                 while up[x] != x:
                     up[x] = x = up[up[x]]
                 return x
 
-            for i, j in trie_pairs(moved, top, budget, label, merging=False):
+            for i, j in _own_pairs(own, moved, top, budget):
                 out = []
-                for k in range(0, len(i), 1 << 16):
-                    a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                    apart = prints[a] ^ prints[b]
-                    mine = (np.bitwise_count(apart) <= budget).argmax(axis=1) == kind
-                    if mask in blocks:
-                        shared = (apart[:, kind][:, None] & np.array(blocks, np.uint64)) == 0
-                        mine &= shared.argmax(axis=1) == blocks.index(mask)
-                    for x, y in zip(a[mine].tolist(), b[mine].tolist(), strict=True):
-                        p, q = root(int(label[x])), root(int(label[y]))
-                        small, large = sorted((len(sets[x]), len(sets[y])))
-                        if p != q and small >= least * large and similarity(sets[x], sets[y]) >= least:
-                            up[max(p, q)] = min(p, q)
-                            out.append((max(node[x], node[y]), min(node[x], node[y])))
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    p, q = root(int(label[x])), root(int(label[y]))
+                    small, large = sorted((len(sets[x]), len(sets[y])))
+                    if p != q and small >= least * large and similarity(sets[x], sets[y]) >= least:
+                        up[max(p, q)] = min(p, q)
+                        out.append((max(node[x], node[y]), min(node[x], node[y])))
                 if out:
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
 
-    return buckets(fps, budget, bucket_rows).mapInArrow(run, "u long, v long")
+    bucket = ["kind", "mask", F.col("fp").bitwiseAND(F.col("mask"))]
+    return met.repartition(partitions(met.sparkSession), *bucket).mapInArrow(run, "u long, v long")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -410,9 +438,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = tried.join(of("u", "p"), "u", "left").join(of("v", "q"), "v", "left").select(F.coalesce("p", "u").alias("p"), F.coalesce("q", "v").alias("q")).where("p <> q")
     open_classes = both.select(F.col("p").alias("label")).unionByName(both.select(F.col("q").alias("label"))).distinct()
     rest = materialize(labelled().join(open_classes, "label", "left_semi"), "near-open")
-    sets = sets_of(docs, text_col, rows, rest, "near-sets", shingle)
-    each = rest.join(sets, "node").select(F.posexplode("fps").alias("kind", "fp"), "node", "label", "fps", "shingles")
-    more = materialize(verified(each, least, budget), "near-verified")
+    each = rest.select(F.posexplode("fps").alias("kind", "fp"), "node", "label", "fps")
+    met = materialize(meeting(each, budget), "near-met")
+    sets = sets_of(docs, text_col, rows, met, "near-sets", shingle)
+    more = materialize(verified(met.join(sets, "node"), least, budget), "near-verified")
     if more.head(1):
         label = materialize(components(edges.unionByName(more), "near-classes"), "near-labels")
     return rows.join(label, "node", "left").select("doc_id", *keep, F.coalesce("component", "node").alias("root"))
