@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,3 +50,68 @@ def test_every_template_is_found_alone(spark):
     docs = spark.createDataFrame(list(enumerate(f"x {t} y" for t in lic.TEMPLATES.values())), "doc_id long, text string")
     full = {(r["doc_id"], r["template"]) for r in lic.matches(docs).where("coverage = 1").collect()}
     assert full >= set(enumerate(lic.TEMPLATES))
+
+
+def test_the_best_of_overlapping_templates(spark):
+    t = lic.TEMPLATES
+    texts = [t["Apache-2.0"], t["BSD-3-Clause"], t["AGPL-3.0"], t["GPL-2.0"], "Licensed under CC BY-NC 4.0.", "# SPDX-License-Identifier: GPL-2.0-only", "Released under the Foo License.", "Released under an MIT License", t["GPL-3.0"].replace("version 3", "version 9")]
+    got = {}
+    for r in lic.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append(r["template"])
+    assert got == {0: ["Apache-2.0"], 1: ["BSD-3-Clause"], 2: ["AGPL-3.0"], 3: ["GPL-2.0"], 4: ["CC-BY-NC-4.0"], 5: ["SPDX-GPL-2.0-only"]}
+
+
+def bare(text):
+    words = (w.strip("".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())) for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower()))
+    return [w for w in words if w]
+
+
+def longest(a, b, diagonal, band):
+    """A longest common subsequence near the diagonal, as its pairs; leftmost as in align."""
+    code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
+    return lic.align(np.array([code[w] for w in a], np.uint64), np.array([code[w] for w in b], np.uint64), diagonal, band)
+
+
+def slow(text, templates, k=3, window=4, band=8, coverage=0.8):
+    """All runs of all templates against all runs of the text, and every alignment on a
+    diagonal where two are equal."""
+    words, naming, kept = bare(text), set(bare(lic.NAMING)), []
+    hits = set()
+    for name, body in templates.items():
+        own = bare(body)
+        size = min(k, len(own))
+        hits |= {(name, d) for d in range(-len(own), len(words)) for i in range(len(own) - size + 1) if i + d >= 0 and own[i : i + size] == words[i + d : i + d + size]}
+    while True:
+        found = []
+        for name, diagonal in hits:
+            own, low = bare(templates[name]), max(0, diagonal - band)
+            pairs = longest(own, words[low : max(low, diagonal + len(own) + band)], diagonal - low, band)
+            if pairs and len(pairs) >= coverage * len(own) and {i for i, w in enumerate(own) if w in naming} <= {i for i, _ in pairs}:
+                first, last = low + pairs[0][1], low + pairs[-1][1]
+                if None not in words[first : last + 1]:
+                    found.append((-len(pairs), -len(pairs) / len(own), first, last, list(templates).index(name), diagonal, name))
+        if not found:
+            return sorted(kept)
+        m, c, first, last, *_, name = min(found)
+        kept.append((name, -m, -c))
+        words[first : last + 1] = [None] * (last + 1 - first)
+
+
+def test_matches_equal_brute_force(spark):
+    """Templates of four windows or less, of which the index has every run."""
+    short = {n: t for n, t in lic.TEMPLATES.items() if len(bare(t)) <= 18}
+    rng, texts = random.Random(5), []
+    for _ in range(60):
+        words = []
+        for name in rng.sample(list(short), rng.randint(0, 3)):
+            own = short[name].split()
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 1)] = rng.sample(["the", "License", "new", "x1"], rng.randint(0, 2))
+            words += [rng.choice(["under", "the", "filler", "License", "4.0"]) for _ in range(rng.randint(0, 6))] + own
+        texts.append(" ".join(words))
+    got = {i: [] for i in range(len(texts))}
+    for r in lic.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=short).collect():
+        got[r["doc_id"]].append((r["template"], r["matched_words"], r["coverage"]))
+    assert {i: sorted(x) for i, x in got.items()} == {i: slow(t, short) for i, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 40
