@@ -55,9 +55,9 @@ def empty_reason(filtered: Column, unfiltered: Column, selected: Column) -> Colu
 
 
 def relevant(health: DataFrame, facts: DataFrame, chosen: MetricFilter, impact: str = "usage") -> DataFrame:
-    """Health rows with this impact that bear on a filtered figure: without a filter all;
-    where impacted and selected agents are both known, those that overlap; else sources
-    that own a filtered fact, or any if only models are selected and no fact is left."""
+    """Health rows with this impact that bear on a filtered figure: without a filter all; else
+    sources that own a filtered fact; of the others, where impacted and selected agents are
+    both known, those that overlap, and else any if models are selected and no fact is left."""
     mine = health.where(F.array_contains("impacts", impact))
     if chosen.is_all:
         return mine
@@ -66,13 +66,11 @@ def relevant(health: DataFrame, facts: DataFrame, chosen: MetricFilter, impact:
     some = kept.limit(1).agg((F.count("*") > 0).alias("some"))
     told = mine.join(owners, "source_id", "left").crossJoin(some)
     owns = F.coalesce("owns", F.lit(False))
-    open_models = F.lit(bool(chosen.models) and not chosen.agents) & ~F.col("some")
+    others = F.lit(bool(chosen.models)) & ~F.col("some")
     if chosen.agents:
         selected = F.array(*[F.lit(a) for a in sorted(chosen.agents)])
-        test = F.when(F.size("agents") > 0, F.arrays_overlap("agents", selected)).otherwise(owns)
-    else:
-        test = owns | open_models
-    return told.where(test).select(*health.columns)
+        others = F.when(F.size("agents") > 0, F.arrays_overlap("agents", selected)).otherwise(others)
+    return told.where(owns | others).select(*health.columns)
 
 
 def affecting(health: DataFrame, facts: DataFrame) -> DataFrame:
@@ -118,9 +116,11 @@ def label(value: Column) -> Column:
 
 
 def first_degradation(health: DataFrame) -> DataFrame:
-    """The first unhealthy row in order that has a reason, with its action."""
+    """The first unhealthy row in order that has a reason, with its action or that which the
+    reason recommends."""
     sick = health.where("NOT is_healthy AND reason_code IS NOT NULL")
-    return sick.agg(F.min(F.struct("ordinal", "reason_code", "action")).alias("f")).select("f.reason_code", "f.action")
+    first = sick.agg(F.min(F.struct("ordinal", "reason_code", "action")).alias("f")).select("f.reason_code", "f.action")
+    return first.withColumn("action", F.coalesce("action", action_for(F.col("reason_code"))))
 
 
 def silent_sources(health: DataFrame, current: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import scalars
-from gaugeworks.operators import authority, bounded, canonical, counters, filters, health, metrics, performance, rollups, snapshots, trends
-from gaugeworks.plans.facts_sql import CHOSEN, DAY, FACTS, HOUR, PERFORMANCE
+from gaugeworks.operators import authority, bounded, canonical, counters, filters, health, live, metrics, performance, rollups, snapshots, trends
+from gaugeworks.plans.facts_sql import CHOSEN, COHORT, DAY, FACTS, HOUR, PERFORMANCE
 from gaugeworks.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from gaugeworks.schema import TOKEN_PARTS
 from gaugeworks.sources.events import performance_facts, usage_facts
@@ -461,7 +461,7 @@ def _health(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, source_id string, is_healthy boolean, impacts array<string>, agents array<string>, reason_code string, action string")
 
 
-@query("""SELECT ordinal, hl.source_id, reason_code FROM hl WHERE list_contains(impacts, 'usage') AND CASE WHEN len(agents) > 0 THEN list_has_any(agents, ['agent-b']) ELSE source_id IN (SELECT source_id FROM f WHERE agent = 'agent-b' AND model_raw = 'm1') END""", FACTS, HEALTH)
+@query("""SELECT ordinal, hl.source_id, reason_code FROM hl WHERE list_contains(impacts, 'usage') AND (source_id IN (SELECT source_id FROM own) OR CASE WHEN len(agents) > 0 THEN list_has_any(agents, ['agent-b']) ELSE NOT EXISTS (FROM own) END)""", FACTS, HEALTH, "own AS (SELECT source_id FROM f WHERE agent = 'agent-b' AND model_raw = 'm1')")
 def health_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = filters.MetricFilter(frozenset({"agent-b"}), frozenset({"m1"}))
     return health.relevant(_health(spark), usage_facts(spark, sf_dir), chosen).select("ordinal", "source_id", "reason_code")
@@ -560,6 +560,40 @@ def light_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.crossJoin(metrics.calls(facts.where(filters.in_closed_window(now, WINDOW_S)), WINDOW_S).select("calls"))
 
 
+_CONFLICT = "(SELECT coalesce(bool_or(conflict), false) FROM t)"
+
+
+@query(f"""SELECT sum(output_tokens)::BIGINT AS output_tokens, sum(output_tokens)::DOUBLE / 86400.0::DOUBLE AS tokens_per_s, sum(output_tokens)::DOUBLE / 86400.0::DOUBLE / count(DISTINCT (agent, session_id)) AS per_session, count(DISTINCT (agent, session_id)) AS sessions,
+    count(*) AS samples, {QUALITY} AS quality, CASE WHEN sum(output_tokens) = 0 THEN 'zero' END AS state, CASE WHEN {_CONFLICT} OR min(quality) <> max(quality) OR (SELECT bool_or(quality = 'unavailable') FROM sel) THEN 'partial' ELSE 'complete' END AS coverage,
+    CASE WHEN {_CONFLICT} THEN 'mixed' ELSE {AUTHORITY} END AS authority, NULL::VARCHAR AS reason, NULL::VARCHAR AS action, max(observed_us) AS updated_us, ((SELECT now FROM clock) - max(observed_us)) / 1000000.0::DOUBLE AS age_s, false AS retained FROM sel AS f WHERE {IN_DAY} AND quality <> 'unavailable'""", FACTS, CHOSEN)
+def live_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources are well."""
+    facts = usage_facts(spark, sf_dir)
+    return live.output(facts, _health(spark).where("is_healthy"), _now(facts), WINDOW_S)
+
+
+_CAPABLE = "sel AS f WHERE burn_total IS NOT NULL AND quality <> 'unavailable'"
+
+
+@query(f"""SELECT sum(burn_total)::BIGINT AS burn_total, sum(burn_total)::DOUBLE / 86400.0::DOUBLE * 60.0::DOUBLE AS tokens_per_min, count(*) AS samples, {ALL_PARTS.split(" AS burn_total, ")[1]}, {QUALITY} AS quality, 'stale' AS state, 'partial' AS coverage,
+    CASE WHEN {_CONFLICT} THEN 'mixed' ELSE {AUTHORITY} END AS authority, 'SOURCE_FAILURE' AS reason, 'UPDATE_SOURCE' AS action, (SELECT min(u) FROM (SELECT max(observed_us) AS u FROM {_CAPABLE} AND source_id IN ('src-a', 'src-b') GROUP BY source_id)) AS updated_us,
+    ((SELECT newest FROM later) + 10 * {DAY} - (SELECT min(u) FROM (SELECT max(observed_us) AS u FROM {_CAPABLE} AND source_id IN ('src-a', 'src-b') GROUP BY source_id))) / 1000000.0::DOUBLE AS age_s, true AS retained FROM {_CAPABLE}""",
+    FACTS.replace("\nf AS", "\nf9 AS").replace("FROM f)", "FROM f9)"), f"f AS (SELECT * FROM f9 WHERE {IN_DAY})", CHOSEN, "later AS (SELECT now AS newest FROM clock)")
+def live_burn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten days after the newest fact, with sick sources: the last window that has facts."""
+    facts = usage_facts(spark, sf_dir)
+    return live.burn(facts, _health(spark), _now(facts) + 10 * DAY, WINDOW_S)
+
+
+@query(f"""SELECT {CALLS} AS calls, {CALLS}::DOUBLE / 86400.0::DOUBLE * 60.0::DOUBLE AS calls_per_min, {QUALITY} AS quality, CASE WHEN {CALLS} = 0 THEN 'zero' END AS state, 'partial' AS coverage,
+    CASE WHEN (SELECT count(*) FROM (SELECT 1 FROM k WHERE CASE tier WHEN 'enhanced' THEN 1 ELSE 0 END = top GROUP BY {COHORT} HAVING count(DISTINCT authority) > 1)) > 0 THEN 'mixed' ELSE {AUTHORITY} END AS authority, 'SOURCE_FAILURE' AS reason, 'UPDATE_SOURCE' AS action, max(observed_us) AS updated_us,
+    ((SELECT now FROM clock) - max(observed_us)) / 1000000.0::DOUBLE AS age_s, false AS retained FROM f WHERE call_id <> '' AND quality <> 'unavailable'""", FACTS.replace("\nf AS", "\nf9 AS").replace("FROM f)", "FROM f9)"), f"f AS (SELECT * FROM f9 WHERE {IN_DAY} AND agent = 'agent-a')", CHOSEN)
+def live_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One agent's calls, with sick sources."""
+    facts = usage_facts(spark, sf_dir)
+    return live.calls(facts, _health(spark), _now(facts), WINDOW_S, filters.MetricFilter(frozenset({"agent-a"})))
+
+
 _KEPT = "s AS (SELECT * FROM f AS a WHERE NOT (tier = 'fallback' AND EXISTS (SELECT 1 FROM f AS b WHERE b.tier = 'enhanced' AND b.call_id = a.call_id AND b.agent = a.agent AND b.range_start_us = a.range_start_us)))"
 _ROLLED = f"""
 n AS (SELECT (SELECT now FROM clock) AS now, (SELECT count(*) FROM f) AS was),
