@@ -78,17 +78,3 @@ def options(facts: DataFrame) -> DataFrame:
     seen first."""
     first = F.min(F.struct("observed_us", "id", "model_display")).alias("f")
     return facts.groupBy("model_raw").agg(first).select("model_raw", F.col("f.model_display").alias("model_display")).orderBy("model_display", "model_raw")
-
-
-def light_snapshot(facts: DataFrame, now_us: int, seconds: int = 180, long_seconds: int = 600) -> DataFrame:
-    """The three live figures in one row of structs. Output and burn look at the facts that
-    authority selects, calls at all."""
-    from gaugeworks.operators.authority import select_authoritative
-    from gaugeworks.operators.filters import in_closed_window
-
-    chosen = select_authoritative(facts)
-    out = throughput(chosen.where(in_closed_window(now_us, seconds)), seconds)
-    burned = burn(select_authoritative(facts.where(in_closed_window(now_us, long_seconds))), long_seconds)
-    called = calls(facts.where(in_closed_window(now_us, long_seconds)), long_seconds)
-    one = lambda df, name: df.select(F.struct(*df.columns).alias(name))
-    return one(out, "throughput").crossJoin(one(burned, "burn")).crossJoin(one(called, "calls"))
