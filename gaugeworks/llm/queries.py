@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import archives, interpolation, licenses, packing, pieces, quality, secrets, simhash, substring, winnow
+from gaugeworks.llm import archives, interpolation, licenses, packing, pieces, quality, secrets, simhash, substring, whitening, winnow
 from gaugeworks.llm.shared import reach_workers
 
 
@@ -66,7 +66,12 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(_documents(spark, sf_dir), with_ids=False)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_fingerprints": op3_fingerprints, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_interpolation": op7_interpolation, "op8_substring": op8_substring, "op9_packing": op9_packing, "op10_pieces": op10_pieces}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reach_workers(spark)
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_fingerprints": op3_fingerprints, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_interpolation": op7_interpolation, "op8_substring": op8_substring, "op9_packing": op9_packing, "op10_pieces": op10_pieces, "op13_whitening": op13_whitening}
 _GRID = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in quality.RULES.items() for c in cs)
 _RATES = {"symbols_per_word": ("n_symbols", "n_words"), "duplicate_line_share": ("n_dup_lines", "n_lines"), "repeated_word_share": ("n_repeat_words", "n_words"), "mean_word_length": ("word_chars", "n_words")}
 _RATE = " ".join(f"WHEN '{r}' THEN CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END" for r, (a, b) in _RATES.items())
