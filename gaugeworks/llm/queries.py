@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import archives, interpolation, licenses, packing, pieces, quality, secrets, simhash, substring, whitening, winnow
+from gaugeworks.llm import archives, interpolation, licenses, packing, pieces, prefixes, quality, secrets, simhash, substring, whitening, winnow
 from gaugeworks.llm.shared import reach_workers
 
 
@@ -66,12 +66,17 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(_documents(spark, sf_dir), with_ids=False)
 
 
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reach_workers(spark)
+    return prefixes.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     reach_workers(spark)
     return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_fingerprints": op3_fingerprints, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_interpolation": op7_interpolation, "op8_substring": op8_substring, "op9_packing": op9_packing, "op10_pieces": op10_pieces, "op13_whitening": op13_whitening}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_fingerprints": op3_fingerprints, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_interpolation": op7_interpolation, "op8_substring": op8_substring, "op9_packing": op9_packing, "op10_pieces": op10_pieces, "op12_prefixes": op12_prefixes, "op13_whitening": op13_whitening}
 _GRID = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in quality.RULES.items() for c in cs)
 _RATES = {"symbols_per_word": ("n_symbols", "n_words"), "duplicate_line_share": ("n_dup_lines", "n_lines"), "repeated_word_share": ("n_repeat_words", "n_words"), "mean_word_length": ("word_chars", "n_words")}
 _RATE = " ".join(f"WHEN '{r}' THEN CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END" for r, (a, b) in _RATES.items())
@@ -126,4 +131,19 @@ ORACLES = {
                CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
         FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 1000""",
+    "op12_prefixes": f"""
+        WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS j,
+                          {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS s FROM conversations WHERE conv_id IS NOT NULL),
+             own AS (SELECT c, list(s ORDER BY j) AS l FROM t GROUP BY c),
+             h AS (SELECT c, l, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda crc, byte:
+                          list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))) % {prefixes.MOST} AS h FROM own),
+             r AS (SELECT h.c, list_concat(coalesce(b.l, [])[1:h.h], h.l[h.h + 1:]) AS l FROM h LEFT JOIN own b ON b.c = h.c - h.c % {prefixes.RUN}),
+             p AS (SELECT c, len(l) AS n, d, l[1:d] AS p FROM (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM r)),
+             node AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN octet_length(encode(p[d].text)) ELSE 0 END AS b,
+                             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY d, p),
+             k AS (SELECT a.d, a.p, count(x.p) AS n_children FROM node a LEFT JOIN node x ON x.d = a.d + 1 AND x.p[1:a.d] = a.p GROUP BY a.d, a.p),
+             below AS (SELECT a.d, a.p, count(*) FILTER (n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.b) AS saved
+                       FROM node a JOIN (node JOIN k USING (d, p)) x ON x.d >= a.d AND x.p[1:a.d] = a.p GROUP BY a.d, a.p)
+        SELECT node.conv_id, d AS depth, up.conv_id AS parent_conv_id, node.n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, node.ends_sha256
+        FROM node JOIN k USING (d, p) JOIN below USING (d, p) LEFT JOIN node up ON up.d = node.d - 1 AND up.p = node.p[1:node.d - 1]""",
 }
