@@ -98,7 +98,7 @@ def _added(rows: DataFrame, shape: tuple[int, int], of: Callable[[np.ndarray], n
 
     made = rows.select("x").mapInArrow(own, "part long, sums array<double>")
     grouped = made.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(some, "part long, sums array<double>")
-    found = sorted((r["part"], r["sums"]) for r in grouped.toLocalIterator())
+    found = sorted((r["part"], r["sums"]) for r in grouped.collect())
     return sum((np.array(s) for _, s in found), np.zeros(shape[0] * shape[1])).reshape(shape)
 
 
