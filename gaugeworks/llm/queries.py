@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import archives, interpolation, licenses, packing, pieces, prefixes, quality, secrets, simhash, substring, whitening, winnow
+from gaugeworks.llm import archives, interpolation, licenses, mixing, packing, pieces, prefixes, quality, secrets, simhash, substring, whitening, winnow
 from gaugeworks.llm.shared import reach_workers
 
 
@@ -66,6 +66,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(_documents(spark, sf_dir), with_ids=False)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     reach_workers(spark)
     return prefixes.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -76,7 +80,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_fingerprints": op3_fingerprints, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_interpolation": op7_interpolation, "op8_substring": op8_substring, "op9_packing": op9_packing, "op10_pieces": op10_pieces, "op12_prefixes": op12_prefixes, "op13_whitening": op13_whitening}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_fingerprints": op3_fingerprints, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_interpolation": op7_interpolation, "op8_substring": op8_substring, "op9_packing": op9_packing, "op10_pieces": op10_pieces, "op11_mixing": op11_mixing, "op12_prefixes": op12_prefixes, "op13_whitening": op13_whitening}
 _GRID = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in quality.RULES.items() for c in cs)
 _RATES = {"symbols_per_word": ("n_symbols", "n_words"), "duplicate_line_share": ("n_dup_lines", "n_lines"), "repeated_word_share": ("n_repeat_words", "n_words"), "mean_word_length": ("word_chars", "n_words")}
 _RATE = " ".join(f"WHEN '{r}' THEN CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END" for r, (a, b) in _RATES.items())
@@ -114,7 +118,38 @@ _QUALITY_SQL = f"""
            array_to_string(list_filter({list(quality.RULES)}, lambda x: list_contains(coalesce(rules, []), x)), ',') AS rejected_by
     FROM b LEFT JOIN r USING (doc_id)"""
 
+_U = lambda digest: f"(('0x' || substr({digest}, 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
+_FILLED = "ORDER BY {0} * s / weight, place ROWS BETWEEN".format(mixing.MOST)
+_MIXING_SQL = rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS copy FROM documents),
+         lots AS (SELECT doc_id, source, size, CASE WHEN size > 0 THEN length(bin(size)) * {mixing.STEPS} + floor(size * {mixing.STEPS} / pow(2.0, length(bin(size)) - 1)) - {mixing.STEPS} END AS class,
+                         md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::VARCHAR, 'null'), copy, (row_number() OVER (PARTITION BY doc_id, source, size, copy))::VARCHAR)) AS lot FROM d),
+         src AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM lots GROUP BY source),
+         wt AS (SELECT *, {list(mixing.WEIGHTS)}[(place - 1) % {len(mixing.WEIGHTS)} + 1] AS weight, sum(s) OVER () AS total FROM src),
+         f AS (SELECT *, (total - coalesce(sum({mixing.MOST} * s) OVER ({_FILLED} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER ({_FILLED} CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wt),
+         g AS (SELECT source, s AS source_size, least({mixing.MOST} * s::DOUBLE, coalesce((SELECT level FROM f WHERE level * weight < {mixing.MOST} * s ORDER BY {mixing.MOST} * s / weight, place LIMIT 1) * weight, {mixing.MOST} * s::DOUBLE)) AS target FROM f),
+         cl AS (SELECT source, class, count(*) AS docs, sum(size)::BIGINT AS words, sum(size::HUGEINT * size)::DOUBLE AS squares, min(size) AS shortest, max(size) AS longest FROM lots WHERE size > 0 GROUP BY source, class),
+         c AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::BIGINT AS rest, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS k,
+                      {_U(f"md5(concat_ws('|', '{mixing.SEED}', coalesce(source, 'null'), class::BIGINT::VARCHAR))")} AS u FROM cl),
+         a AS (SELECT source, target, source_size, target AS left_, 0::BIGINT AS k, NULL::DOUBLE AS class, 0::BIGINT AS docs, 0.0::DOUBLE AS copies, 0.0::DOUBLE AS n, 0.0::DOUBLE AS height, 0.0::DOUBLE AS tilt, 0.0::DOUBLE AS mean FROM g
+               UNION ALL
+               SELECT source, target, source_size, left_ - copies * words - height * words - tilt * docs * spread, k, class, docs, copies, n, height, tilt, mean FROM (
+                 SELECT *, CASE WHEN spread > 1e-9 * mean * mean AND n > 0 AND n < docs THEN greatest(-most_tilt, least(most_tilt, (open_words - height * words) / (docs * spread))) ELSE 0.0 END AS tilt FROM (
+                   SELECT *, squares / docs - mean * mean AS spread, least(height, 1 - height) / greatest(longest - mean, mean - shortest) AS most_tilt FROM (
+                     SELECT *, words::DOUBLE / docs AS mean, n / docs AS height FROM (
+                       SELECT *, greatest(0, least(greatest(least(floor(open_words * docs / words + u), floor(spare * docs / words + 1e-6)), ceil((spare - {mixing.MOST} * rest) * docs / words - 1e-6)), CASE WHEN copies < {mixing.MOST} THEN docs ELSE 0 END)) AS n FROM (
+                         SELECT *, want - copies * words AS open_words, left_ - copies * words AS spare FROM (
+                           SELECT *, floor(want / words) AS copies FROM (
+                             SELECT a.source, target, source_size, left_, c.k, c.class, c.docs, words, squares, shortest, longest, rest, u, greatest(0.0::DOUBLE, least(left_ - target / source_size * rest, ({mixing.MOST} * words)::DOUBLE)) AS want
+                             FROM a JOIN c ON a.source IS NOT DISTINCT FROM c.source AND c.k = a.k + 1)))))))),
+         r AS (SELECT doc_id, l.source, l.size, l.class, lot, docs, copies, n, {_U("lot")} AS u, least(1.0, greatest(0.0, height + tilt * (l.size - mean))) AS p
+               FROM lots l LEFT JOIN a ON l.source IS NOT DISTINCT FROM a.source AND l.class = a.class),
+         o AS (SELECT *, row_number() OVER (PARTITION BY source, class ORDER BY CASE WHEN p > 0 THEN u * (1 - p) / ((1 - u) * p) END NULLS LAST, lot) <= n AS once FROM r)
+    SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN (copies + once::INT)::BIGINT * size ELSE 0 END AS taken
+    FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source"""
+
 ORACLES = {
+    "op11_mixing": _MIXING_SQL,
     "op1_quality": _QUALITY_SQL,
     "op8_substring": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
