@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
 
 _TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 #: The offset basis (as the display code has it) and prime of the 64-bit hash.
@@ -107,18 +102,17 @@ def prefix_fingerprint(content: Column, offset: Column) -> Column:
     return F.sha2(F.concat(F.substring(content, F.lit(1), F.least(block, offset).cast("int")), F.substring(content, start, F.least(block, offset).cast("int"))), 256)
 
 
-@pandas_udf(LongType())
-def fnv_slot(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """64-bit FNV-1a of a text modulo a number of slots. Wrapping 64-bit products have no
-    built-in form, so this is a vectorised UDF; display columns alone use it."""
+def fnv_slot(text: Column | str, slots: Column | str) -> Column:
+    """64-bit FNV-1a of a text's UTF-8 bytes modulo a number of slots, null of null. Products
+    are taken as decimals, which hold 64 times 41 bits, and cut to 64 bits."""
+    text, slots = (F.col(c) if isinstance(c, str) else c for c in (text, slots))
+    shown = F.hex(F.encode(text, "UTF-8"))
+    word = lambda x: x.cast("decimal(20,0)")
 
-    def slot(text: str | None, n: int) -> int | None:
-        if text is None:
-            return None
-        h = FNV_BASIS
-        for b in text.encode():
-            h = (h ^ b) * FNV_PRIME & (1 << 64) - 1
-        return h % n
+    def step(h: Column, i: Column) -> Column:
+        low, byte = (h % 256).cast("int"), F.conv(shown.substr(2 * i - 1, F.lit(2)), 16, 10).cast("int")
+        mixed = word(h - low.cast("decimal(20,0)") + low.bitwiseXOR(byte).cast("decimal(20,0)"))
+        return word(mixed * F.lit(FNV_PRIME).cast("decimal(13,0)") % F.lit(str(1 << 64)).cast("decimal(20,0)"))
 
-    for text, n in values:
-        yield pd.Series([slot(t, m) for t, m in zip(text, n, strict=True)], dtype="Int64")
+    places = F.when(F.octet_length(text) > 0, F.sequence(F.lit(1), F.octet_length(text))).when(text.isNotNull(), F.array().cast("array<int>"))
+    return (F.aggregate(places, F.lit(FNV_BASIS).cast("decimal(20,0)"), step) % slots.cast("decimal(20,0)")).cast("bigint")

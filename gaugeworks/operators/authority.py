@@ -41,6 +41,48 @@ def select_authoritative(facts: DataFrame) -> DataFrame:
     return alone.unionByName(cohorts(facts).where("NOT coalesce(conflict, false)").select(*facts.columns))
 
 
+#: Cohorts of a window up to which their keys are broadcast.
+BROADCAST_COHORTS = 200_000
+
+
+def select_window(facts: DataFrame, inside: Column) -> DataFrame:
+    """The facts `inside` a window that count, judged by all of history: the window's cohorts
+    cut history down first, so only facts of those are shuffled. Their keys are broadcast
+    where they are few by count, else joined."""
+    current = facts.where(inside)
+    known = "call_id IS NOT NULL AND call_id <> ''"
+    keys = current.where(known).select(*[F.col(c).alias(f"k_{c}") for c in COHORT]).distinct()
+    small = keys.limit(BROADCAST_COHORTS + 1).count() <= BROADCAST_COHORTS
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in COHORT])
+    cut = facts.where(known).join(F.broadcast(keys) if small else keys, same, "left_semi")
+    chosen = cohorts(cut).where("NOT coalesce(conflict, false)").select(*facts.columns).where(inside)
+    return current.where(f"NOT coalesce({known}, false)").unionByName(chosen)
+
+
+def has_conflict(facts: DataFrame) -> DataFrame:
+    """One row (conflict): whether any cohort's top tier has several authorities. Only keys
+    and bounds of authority go through the shuffle."""
+    known = facts.where("call_id IS NOT NULL AND call_id <> ''")
+    per = known.groupBy(*COHORT, _rank().alias("rank")).agg(F.min("authority").alias("low"), F.max("authority").alias("high"))
+    top = per.groupBy(*COHORT).agg(F.max(F.struct("rank", "low", "high")).alias("top"))
+    return top.agg(F.coalesce(F.bool_or(F.col("top.low") != F.col("top.high")), F.lit(False)).alias("conflict"))
+
+
+def standing(facts: DataFrame) -> DataFrame:
+    """One row on all of history: conflict (in any cohort), and of the facts that authority
+    selects whether there are any, their bounds of authority, whether one has unavailable
+    quality, and the newest usable time. Four columns a cohort are shuffled, no whole facts."""
+    slim = facts.select(*COHORT, "id", "tier", "authority", "quality", "observed_us")
+    alone = slim.where("NOT coalesce(call_id IS NOT NULL AND call_id <> '', false)").select("authority", "quality", "observed_us", F.lit(False).alias("conflict"))
+    each = cohorts(slim).select("authority", "quality", "observed_us", F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    ours = lambda c: F.when(~F.col("conflict"), c)
+    lacking = F.col("quality") == "unavailable"
+    return alone.unionByName(each).agg(
+        F.coalesce(F.bool_or("conflict"), F.lit(False)).alias("conflicting"), (F.count_if(~F.col("conflict")) == 0).alias("nothing"), F.min(ours(F.col("authority"))).alias("low"), F.max(ours(F.col("authority"))).alias("high"),
+        F.coalesce(F.bool_or(ours(lacking)), F.lit(False)).alias("lacking"), F.max(ours(F.col("observed_us"))).alias("newest_us"),
+    )
+
+
 def mark_superseded(facts: DataFrame) -> DataFrame:
     """`facts` with superseded_by: of a fallback fact the least enhanced one with the same
     call and range (nulls equal each other), else null."""

@@ -58,13 +58,17 @@ def relevant(health: DataFrame, facts: DataFrame, chosen: MetricFilter, impact:
     """Health rows with this impact that bear on a filtered figure: without a filter all; else
     sources that own a filtered fact; of the others, where impacted and selected agents are
     both known, those that overlap, and else any if models are selected and no fact is left."""
+    return relevant_to(health, chosen.apply(facts).select("source_id").distinct(), chosen, impact)
+
+
+def relevant_to(health: DataFrame, owners: DataFrame, chosen: MetricFilter, impact: str = "usage") -> DataFrame:
+    """As relevant(), from the sources (source_id, a row each) of the filtered facts."""
     mine = health.where(F.array_contains("impacts", impact))
     if chosen.is_all:
         return mine
-    kept = chosen.apply(facts)
-    owners = kept.where("source_id <> 'unknown'").select("source_id").distinct().withColumn("owns", F.lit(True))
-    some = kept.limit(1).agg((F.count("*") > 0).alias("some"))
-    told = mine.join(owners, "source_id", "left").crossJoin(some)
+    some = owners.limit(1).agg((F.count("*") > 0).alias("some"))
+    known = owners.where("source_id <> 'unknown'").select("source_id").withColumn("owns", F.lit(True))
+    told = mine.join(known, "source_id", "left").crossJoin(some)
     owns = F.coalesce("owns", F.lit(False))
     others = F.lit(bool(chosen.models)) & ~F.col("some")
     if chosen.agents:
@@ -73,6 +77,33 @@ def relevant(health: DataFrame, facts: DataFrame, chosen: MetricFilter, impact:
     return told.where(owns | others).select(*health.columns)
 
 
+#: Source of performance facts that were taken over without one.
+LEGACY = "legacy-performance"
+
+
+def relevant_performance(health: DataFrame, facts: DataFrame, chosen: MetricFilter) -> DataFrame:
+    """As relevant() for performance: beside a source that owns a filtered request, one whose
+    impacted agents or channels meet those of a filtered legacy request counts as its owner.
+    Each of the three ways is an equi-join; what they find is united and made distinct."""
+    mine = health.where(F.array_contains("impacts", "performance"))
+    if chosen.is_all:
+        return mine
+    kept = chosen.apply(facts)
+    pairs = kept.select("source_id", "agent", "channel").distinct()
+    legacy = pairs.where(F.col("source_id") == LEGACY)
+    own = mine.select("ordinal", "source_id").join(pairs.select("source_id").distinct(), "source_id").select("ordinal")
+    by_agent = mine.select("ordinal", F.explode("agents").alias("agent")).join(legacy.select("agent").distinct(), "agent").select("ordinal")
+    by_channel = mine.select("ordinal", F.explode("channels").alias("channel")).join(legacy.select("channel").distinct(), "channel").select("ordinal")
+    owners = own.unionByName(by_agent).unionByName(by_channel).distinct().withColumn("owns", F.lit(True))
+    some = kept.limit(1).agg((F.count("*") > 0).alias("some"))
+    others = F.lit(bool(chosen.models)) & ~F.col("some")
+    if chosen.agents:
+        selected = F.array(*[F.lit(a) for a in sorted(chosen.agents)])
+        others = F.when(F.size("agents") > 0, F.arrays_overlap("agents", selected)).otherwise(others)
+    told = mine.join(owners, "ordinal", "left").crossJoin(some)
+    return told.where(F.coalesce("owns", F.lit(False)) | others).select(*health.columns)
+
+
 def affecting(health: DataFrame, facts: DataFrame) -> DataFrame:
     """Unhealthy rows whose source owns one of the facts; without any fact, all of them."""
     sick = health.where("NOT is_healthy")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.authority import cohorts, select_authoritative
+from gaugeworks.operators.authority import cohorts, select_authoritative, select_window, standing
 from gaugeworks.operators.filters import MetricFilter, in_closed_window
 from gaugeworks.operators.health import action_for, affecting, empty_reason, relevant
 from gaugeworks.operators.metrics import combined_authority, combined_quality, mixed_quality
@@ -66,20 +66,25 @@ def _row(parts: list[DataFrame], values: dict[str, Column], there: Column, state
 
 
 def output(facts: DataFrame, health: DataFrame, now_us: int, seconds: int = 180, chosen: MetricFilter | None = None) -> DataFrame:
-    """Output tokens a second over the facts that authority selects of the whole history. An
-    average per session is told of current facts only."""
+    """Output tokens a second over the window's facts that authority selects, judged by the
+    whole history; of that only one slim aggregate is shuffled, and the cohorts that the
+    window has. An average per session is told of current facts only."""
     chosen = chosen or MetricFilter()
-    kept = chosen.apply(facts)
-    picked, mine = select_authoritative(kept), relevant(health, facts, chosen)
-    rows, retained = windowed(picked, now_us, seconds, USABLE)
-    rows = rows.where(USABLE)
+    kept, mine = chosen.apply(facts), relevant(health, facts, chosen)
+    history = standing(kept)
+    rows, retained = select_window(kept, in_closed_window(now_us, seconds)).where(USABLE), False
+    if not rows.head(1):
+        newest = history.first()["newest_us"]
+        if newest is not None:
+            rows, retained = select_window(kept, in_closed_window(newest, seconds)).where(USABLE), True
     sessions = F.lit(0).cast("bigint") if retained else F.count_distinct("agent", "session_id")
     own = rows.agg(F.sum("output_tokens").alias("tokens"), sessions.alias("sessions"), F.count(F.lit(1)).alias("n"), combined_quality(True).alias("quality"), combined_authority().alias("authority"), mixed_quality().alias("mixed"))
-    every = picked.agg(combined_authority().alias("any_authority"), (F.count(F.lit(1)) == 0).alias("nothing"), F.coalesce(F.bool_or(F.expr(f"NOT ({USABLE})")), F.lit(False)).alias("lacking"))
+    any_authority = F.when(F.col("low") == F.col("high"), F.col("low")).when(F.col("low").isNotNull(), "mixed")
+    every = history.select("conflicting", "nothing", "lacking", any_authority.alias("any_authority"))
     there, troubled = F.col("n") > 0, F.col("conflicting") | F.col("sick")
     rate = F.col("tokens").cast("double") / float(seconds)
     return _row(
-        [own, every, _standing(mine), _conflict(kept), _updated(rows, mine, retained), _empty(facts, kept, chosen)],
+        [own, every, _standing(mine), _updated(rows, mine, retained), _empty(facts, kept, chosen)],
         {"output_tokens": F.col("tokens"), "tokens_per_s": rate, "per_session": F.when(F.col("sessions") > 0, rate / F.col("sessions")), "sessions": F.col("sessions"), "samples": F.col("n")},
         there,
         F.when(~there, F.when(F.col("nothing") & ~F.col("all_sick"), "absent").otherwise("unavailable")).when(F.lit(retained), "stale").when(F.col("tokens") == 0, "zero"),

@@ -46,14 +46,14 @@ def first_calls(facts: DataFrame) -> DataFrame:
 
 def ranked(buckets: DataFrame, value: str = "output_tokens", series: int = SERIES) -> DataFrame:
     """Models by total (ties by display, then raw name), each with the series it belongs to:
-    with more than `series` models all but the top series - 1 are Other. One row a model,
-    so the window that ranks them is small."""
+    with more than `series` models all but the top series - 1 are Other; of the others, equal
+    titles name the model too. One row a model, so the window that ranks them is small."""
     totals = buckets.groupBy("model_raw").agg(F.sum(value).alias("total"), F.min("model_display").alias("model_display"))
     by_total = Window.orderBy(F.desc("total"), "model_display", "model_raw")
     rank = totals.withColumn("rank", F.row_number().over(by_total)).withColumn("models", F.count("*").over(Window.partitionBy(F.lit(1))))
-    shared = F.count("*").over(Window.partitionBy("model_display")) > 1
-    own = F.when(shared, F.concat("model_display", F.lit(" ("), "model_raw", F.lit(")"))).otherwise(F.col("model_display"))
     hidden = (F.col("models") > series) & (F.col("rank") >= series)
+    shared = F.count_if(~hidden).over(Window.partitionBy("model_display")) > 1
+    own = F.when(shared, F.concat("model_display", F.lit(" ("), "model_raw", F.lit(")"))).otherwise(F.col("model_display"))
     return rank.withColumn("series", F.when(hidden, OTHER).otherwise(own)).withColumn("series_rank", F.least("rank", F.lit(series)))
 
 
@@ -67,9 +67,10 @@ def grid(names: DataFrame, now_us: int, width_s: int, window_s: int, points: int
 
 def trend(facts: DataFrame, now_us: int, width_s: int, window_s: int, value: str = "output_tokens", per_s: float = 1.0) -> DataFrame:
     """(series, series_rank, bucket_us, amount, rate, facts) for every series and bucket: a
-    completed bucket without facts, like the open one, has a null amount, not 0. rate is
-    the amount per `per_s` seconds."""
-    buckets = bucketed(facts.where(F.col(value).isNotNull()), now_us, width_s, window_s)
+    completed bucket without facts, like the open one, has a null amount, not 0. Facts of
+    unavailable quality don't count; rate is the amount per `per_s` seconds. Charts that one
+    measurement may enter but once are to be given the facts that authority selects."""
+    buckets = bucketed(facts.where(F.col(value).isNotNull() & (F.col("quality") != "unavailable")), now_us, width_s, window_s)
     rank = ranked(buckets, value)
     merged = buckets.join(rank.select("model_raw", "series"), "model_raw").groupBy("series", "bucket_us").agg(F.sum(value).alias("amount"), F.sum("facts").alias("facts"))
     names = rank.groupBy("series").agg(F.min("series_rank").alias("series_rank"))
@@ -90,7 +91,7 @@ def calls_trend(facts: DataFrame, now_us: int, width_s: int, window_s: int) -> D
 def parts_trend(facts: DataFrame, now_us: int, width_s: int, window_s: int) -> DataFrame:
     """(part, bucket_us, amount): what is there of each token part, over capable facts."""
     start, end, _ = span(now_us, width_s, window_s)
-    capable = facts.where((F.col("observed_us") >= start) & (F.col("observed_us") < end) & F.col("burn_total").isNotNull())
+    capable = facts.where((F.col("observed_us") >= start) & (F.col("observed_us") < end) & F.col("burn_total").isNotNull() & (F.col("quality") != "unavailable"))
     sums = capable.groupBy(bucket_start(width_s).alias("bucket_us")).agg(*[F.sum(p).alias(p) for p in TOKEN_PARTS])
     return sums.unpivot("bucket_us", TOKEN_PARTS, "part", "amount").where("amount IS NOT NULL")
 
@@ -110,13 +111,15 @@ def segments(points: DataFrame) -> DataFrame:
     return islands.groupBy("series", "segment").agg(F.min("bucket_us").alias("start_us"), F.max("bucket_us").alias("end_us"), F.count(F.lit(1)).alias("points"))
 
 
-def emphasis() -> Column:
-    """How a series is drawn: other, estimated, partial or normal."""
-    return F.when(F.col("series") == OTHER, "other").when(F.col("estimated"), "estimated").when(F.col("coverage") == "partial", "partial").otherwise("normal")
+def emphasis(other: Column | None = None) -> Column:
+    """How a series is drawn: other, estimated, partial or normal; whether anything is
+    estimated, and the coverage, are those of the whole chart."""
+    return F.when(F.col("series") == OTHER if other is None else other, "other").when(F.col("estimated"), "estimated").when(F.col("coverage") == "partial", "partial").otherwise("normal")
 
 
 def normalised(points: DataFrame) -> DataFrame:
-    """x = i / max(n - 1, 1) for the points of each series, in order."""
+    """x = i / max(n - 1, 1) for the buckets of each series, in order; those without an
+    amount have places too, so a gap stays a gap."""
     own = Window.partitionBy("series")
     i, n = F.row_number().over(own.orderBy("bucket_us")) - 1, F.count("*").over(own)
     return points.withColumn("x", i / F.greatest(n - 1, F.lit(1)))

@@ -13,17 +13,17 @@ from gaugeworks.operators import authority, bounded, canonical, counters, filter
 from gaugeworks.plans.facts_sql import CHOSEN, COHORT, DAY, FACTS, HOUR, PERFORMANCE
 from gaugeworks.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from gaugeworks.schema import TOKEN_PARTS
-from gaugeworks.sources.events import performance_facts, usage_facts
+from gaugeworks.sources.events import newest, performance_facts, usage_facts
 
 WINDOW_S, WIDTH_S, LIMIT = 86_400, 3_600, 3_000
-def _now(facts: DataFrame) -> int:
-    return facts.agg(F.max("observed_us")).first()[0] or 0
+def _now(spark: SparkSession, sf_dir: str) -> int:
+    return newest(spark, sf_dir)
 
 
-def _window(facts: DataFrame, chosen: bool = False) -> DataFrame:
+def _window(spark: SparkSession, sf_dir: str, chosen: bool = False) -> DataFrame:
     """The last window up to the newest fact, of all facts or of those that authority picks."""
-    inside = filters.in_closed_window(_now(facts), WINDOW_S)
-    return (authority.select_authoritative(facts) if chosen else facts).where(inside)
+    inside, facts = filters.in_closed_window(_now(spark, sf_dir), WINDOW_S), usage_facts(spark, sf_dir)
+    return authority.select_window(facts, inside) if chosen else facts.where(inside)
 
 
 IN_DAY = f"observed_us BETWEEN (SELECT now FROM clock) - {DAY} AND (SELECT now FROM clock)"
@@ -36,12 +36,12 @@ THROUGHPUT = f"""sum(output_tokens)::BIGINT AS output_tokens, count(DISTINCT (ag
 
 @query(f"SELECT model_raw, {THROUGHPUT} FROM f WHERE {IN_DAY} GROUP BY model_raw")
 def throughput_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.throughput(_window(usage_facts(spark, sf_dir)), WINDOW_S, ("model_raw",))
+    return metrics.throughput(_window(spark, sf_dir), WINDOW_S, ("model_raw",))
 
 
 @query(f"SELECT {THROUGHPUT} FROM sel AS f WHERE {IN_DAY}", FACTS, CHOSEN)
 def throughput_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.throughput(_window(usage_facts(spark, sf_dir), chosen=True), WINDOW_S)
+    return metrics.throughput(_window(spark, sf_dir, chosen=True), WINDOW_S)
 
 
 def _parts_sql(capable: str = "burn_total IS NOT NULL") -> str:
@@ -54,12 +54,12 @@ WHOLE = " AND ".join(f"{p} IS NOT NULL" for p in TOKEN_PARTS)
 
 @query(f"SELECT *, CASE WHEN facts = capable AND {WHOLE} THEN 'complete' ELSE 'partial' END AS coverage FROM (SELECT {BURN} FROM sel AS f WHERE {IN_DAY})", FACTS, CHOSEN)
 def token_burn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.burn(_window(usage_facts(spark, sf_dir), chosen=True), WINDOW_S)
+    return metrics.burn(_window(spark, sf_dir, chosen=True), WINDOW_S)
 
 
 @query(f"SELECT *, CASE WHEN facts = capable AND {WHOLE} THEN 'complete' ELSE 'partial' END AS coverage FROM (SELECT session_id, {BURN} FROM f WHERE {IN_DAY} GROUP BY session_id)")
 def token_burn_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.burn(_window(usage_facts(spark, sf_dir)), WINDOW_S, ("session_id",))
+    return metrics.burn(_window(spark, sf_dir), WINDOW_S, ("session_id",))
 
 
 CALLS = "count(DISTINCT CASE WHEN call_id <> '' THEN (agent, call_id) END)"
@@ -67,7 +67,7 @@ CALLS = "count(DISTINCT CASE WHEN call_id <> '' THEN (agent, call_id) END)"
 
 @query(f"SELECT model_raw, {CALLS} AS calls, {CALLS}::DOUBLE / 86400.0::DOUBLE * 60.0::DOUBLE AS calls_per_min, CASE WHEN bool_and(call_id IS NOT NULL AND call_id <> '') THEN 'complete' ELSE 'partial' END AS coverage FROM f WHERE {IN_DAY} GROUP BY model_raw")
 def calls_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.calls(_window(usage_facts(spark, sf_dir)), WINDOW_S, ("model_raw",))
+    return metrics.calls(_window(spark, sf_dir), WINDOW_S, ("model_raw",))
 
 
 @query("SELECT agent, model_raw, count(*) AS facts, sum(output_tokens)::BIGINT AS output_tokens FROM f WHERE agent = 'agent-a' AND model_raw IN ('m1', 'm2') GROUP BY ALL")
@@ -113,14 +113,14 @@ def coverage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source_id, session_id, max(observed_us) AS newest_us, greatest(0.0::DOUBLE, ((SELECT now FROM clock) - max(observed_us)) / 1000000.0::DOUBLE) AS age_s FROM f GROUP BY ALL")
 def freshness_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = usage_facts(spark, sf_dir)
-    return metrics.freshness(facts, _now(facts), ("source_id", "session_id"))
+    return metrics.freshness(facts, _now(spark, sf_dir), ("source_id", "session_id"))
 
 
 @query(f"""SELECT id, observed_us, true AS retained FROM f WHERE observed_us <= (SELECT now FROM clock) AND observed_us >= (SELECT now FROM clock) - {DAY}""")
 def last_good_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seen ten days later, when the window up to then is empty."""
     facts = usage_facts(spark, sf_dir)
-    return filters.last_good(facts, _now(facts) + 10 * DAY, WINDOW_S).select("id", "observed_us", "retained")
+    return filters.last_good(facts, _now(spark, sf_dir) + 10 * DAY, WINDOW_S).select("id", "observed_us", "retained")
 
 
 NORMAL = "p WHERE NOT is_retry AND quality <> 'unavailable'"
@@ -173,70 +173,84 @@ def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUCKETS = f"""
 w AS (SELECT now // {HOUR} * {HOUR} AS closed, now // {HOUR} * {HOUR} - {DAY} AS start, CASE WHEN now % {HOUR} > 0 THEN now // {HOUR} * {HOUR} ELSE now // {HOUR} * {HOUR} - {HOUR} END AS last FROM clock),
-b AS (SELECT observed_us // {HOUR} * {HOUR} AS bucket_us, f.* FROM f, w WHERE observed_us >= start AND observed_us < closed),
+b AS (SELECT observed_us // {HOUR} * {HOUR} AS bucket_us, f.* FROM f, w WHERE observed_us >= start AND observed_us < closed AND quality <> 'unavailable'),
 g AS (SELECT unnest(range((SELECT start FROM w), (SELECT last FROM w) + 1, {HOUR})) AS bucket_us)"""
 
 
+#: Buckets of the facts that authority selects.
+SELECTED = BUCKETS.replace("f.* FROM f, w", "f.* FROM sel AS f, w")
+
+
+def _charted(facts: DataFrame, now: int) -> DataFrame:
+    """The facts of the completed buckets that authority selects."""
+    start, end, _ = trends.span(now, WIDTH_S, WINDOW_S)
+    return authority.select_window(facts, filters.in_half_open_window(start, end)).where("quality <> 'unavailable'")
+
+
 def _ranked_sql(value: str) -> str:
     return f"""
 m AS (SELECT model_raw, sum({value})::BIGINT AS total, min(model_display) AS model_display FROM b WHERE {value} IS NOT NULL GROUP BY model_raw),
 r AS (SELECT *, row_number() OVER (ORDER BY total DESC, model_display, model_raw) AS rank, count(*) OVER () AS models FROM m),
-s AS (SELECT *, CASE WHEN models > 5 AND rank >= 5 THEN 'Other' WHEN count(*) OVER (PARTITION BY model_display) > 1 THEN model_display || ' (' || model_raw || ')' ELSE model_display END AS series, least(rank, 5) AS series_rank FROM r),
+s AS (SELECT *, CASE WHEN models > 5 AND rank >= 5 THEN 'Other' WHEN count(*) FILTER (NOT (models > 5 AND rank >= 5)) OVER (PARTITION BY model_display) > 1 THEN model_display || ' (' || model_raw || ')' ELSE model_display END AS series, least(rank, 5) AS series_rank FROM r),
 a AS (SELECT series, bucket_us, sum({value})::BIGINT AS amount, count(*) AS facts FROM b JOIN s USING (model_raw) WHERE {value} IS NOT NULL GROUP BY ALL),
 n AS (SELECT series, min(series_rank) AS series_rank FROM s GROUP BY series),
 points AS (SELECT n.series, g.bucket_us, n.series_rank, a.amount, a.facts FROM n CROSS JOIN g LEFT JOIN a ON a.series = n.series AND a.bucket_us = g.bucket_us)"""
 
 
-@query("SELECT series, bucket_us, series_rank, amount, facts, amount::DOUBLE / 3600.0::DOUBLE * 1.0::DOUBLE AS rate FROM points", FACTS, BUCKETS, _ranked_sql("output_tokens"))
+@query("SELECT series, bucket_us, series_rank, amount, facts, amount::DOUBLE / 3600.0::DOUBLE * 1.0::DOUBLE AS rate FROM points", FACTS, CHOSEN, SELECTED, _ranked_sql("output_tokens"))
 def trend_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = usage_facts(spark, sf_dir)
-    return trends.trend(facts, _now(facts), WIDTH_S, WINDOW_S)
+    now = _now(spark, sf_dir)
+    return trends.trend(_charted(facts, now), now, WIDTH_S, WINDOW_S)
 
 
-@query("SELECT series, bucket_us, series_rank, amount, facts, amount::DOUBLE / 3600.0::DOUBLE * 60.0::DOUBLE AS rate FROM points", FACTS, BUCKETS, _ranked_sql("burn_total"))
+@query("SELECT series, bucket_us, series_rank, amount, facts, amount::DOUBLE / 3600.0::DOUBLE * 60.0::DOUBLE AS rate FROM points", FACTS, CHOSEN, SELECTED, _ranked_sql("burn_total"))
 def trend_burn(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = usage_facts(spark, sf_dir)
-    return trends.trend(facts, _now(facts), WIDTH_S, WINDOW_S, "burn_total", 60.0)
+    now = _now(spark, sf_dir)
+    return trends.trend(_charted(facts, now), now, WIDTH_S, WINDOW_S, "burn_total", 60.0)
 
 
 @query("""SELECT g.bucket_us, calls, calls::DOUBLE / 3600.0::DOUBLE * 60.0::DOUBLE AS calls_per_min FROM g LEFT JOIN (SELECT bucket_us, count(*) AS calls FROM
     (SELECT * FROM b WHERE call_id <> '' QUALIFY row_number() OVER (PARTITION BY agent, call_id ORDER BY observed_us, id) = 1) GROUP BY bucket_us) AS c ON c.bucket_us = g.bucket_us""", FACTS, BUCKETS)
 def trend_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = usage_facts(spark, sf_dir)
-    return trends.calls_trend(facts, _now(facts), WIDTH_S, WINDOW_S)
+    return trends.calls_trend(facts.where("quality <> 'unavailable'"), _now(spark, sf_dir), WIDTH_S, WINDOW_S)
 
 
-@query(" UNION ALL ".join(f"SELECT bucket_us, '{p}' AS part, sum({p})::BIGINT AS amount FROM b WHERE burn_total IS NOT NULL GROUP BY bucket_us HAVING sum({p}) IS NOT NULL" for p in TOKEN_PARTS), FACTS, BUCKETS)
+@query(" UNION ALL ".join(f"SELECT bucket_us, '{p}' AS part, sum({p})::BIGINT AS amount FROM b WHERE burn_total IS NOT NULL GROUP BY bucket_us HAVING sum({p}) IS NOT NULL" for p in TOKEN_PARTS), FACTS, CHOSEN, SELECTED)
 def trend_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = usage_facts(spark, sf_dir)
-    return trends.parts_trend(facts, _now(facts), WIDTH_S, WINDOW_S)
+    now = _now(spark, sf_dir)
+    return trends.parts_trend(_charted(facts, now), now, WIDTH_S, WINDOW_S)
 
 
-@query("SELECT model_raw, total, model_display, rank, models, series, series_rank FROM s", FACTS, BUCKETS, _ranked_sql("output_tokens"))
+@query("SELECT model_raw, total, model_display, rank, models, series, series_rank FROM s", FACTS, CHOSEN, SELECTED, _ranked_sql("output_tokens"))
 def trend_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = usage_facts(spark, sf_dir)
-    return trends.ranked(trends.bucketed(facts, _now(facts), WIDTH_S, WINDOW_S))
+    now = _now(spark, sf_dir)
+    return trends.ranked(trends.bucketed(_charted(facts, now), now, WIDTH_S, WINDOW_S))
 
 
-@query("SELECT series, count(*) AS buckets, count(amount) AS filled, sum(amount)::BIGINT AS total FROM points GROUP BY series", FACTS, BUCKETS, _ranked_sql("output_tokens"))
+@query("SELECT series, count(*) AS buckets, count(amount) AS filled, sum(amount)::BIGINT AS total FROM points GROUP BY series", FACTS, CHOSEN, SELECTED, _ranked_sql("output_tokens"))
 def trend_top4_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend_throughput(spark, sf_dir).groupBy("series").agg(F.count(F.lit(1)).alias("buckets"), F.count("amount").alias("filled"), F.sum("amount").alias("total"))
 
 
-@query(f"""SELECT bucket_us, {', '.join(f"coalesce(max(amount) FILTER (part = '{p}')::VARCHAR, '—') AS {p}" for p in TOKEN_PARTS)} FROM ({' UNION ALL '.join(f"SELECT bucket_us, '{p}' AS part, sum({p})::BIGINT AS amount FROM b WHERE burn_total IS NOT NULL GROUP BY bucket_us" for p in TOKEN_PARTS)}) GROUP BY bucket_us""", FACTS, BUCKETS)
+@query(f"""SELECT bucket_us, {', '.join(f"coalesce(max(amount) FILTER (part = '{p}')::VARCHAR, '—') AS {p}" for p in TOKEN_PARTS)} FROM ({' UNION ALL '.join(f"SELECT bucket_us, '{p}' AS part, sum({p})::BIGINT AS amount FROM b WHERE burn_total IS NOT NULL GROUP BY bucket_us" for p in TOKEN_PARTS)}) GROUP BY bucket_us""", FACTS, CHOSEN, SELECTED)
 def trend_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.table(trend_parts(spark, sf_dir).withColumnRenamed("part", "series"), TOKEN_PARTS)
 
 
 @query("""SELECT series, segment::BIGINT AS segment, min(bucket_us) AS start_us, max(bucket_us) AS end_us, count(*) AS points FROM (SELECT *, sum(CASE WHEN amount IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY bucket_us) AS segment FROM points)
-    WHERE amount IS NOT NULL GROUP BY series, segment""", FACTS, BUCKETS, _ranked_sql("output_tokens"))
+    WHERE amount IS NOT NULL GROUP BY series, segment""", FACTS, CHOSEN, SELECTED, _ranked_sql("output_tokens"))
 def trend_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.segments(trend_throughput(spark, sf_dir))
 
 
-@query("SELECT series, bucket_us, (row_number() OVER (PARTITION BY series ORDER BY bucket_us) - 1) / greatest(count(*) OVER (PARTITION BY series) - 1, 1) AS x FROM points WHERE amount IS NOT NULL", FACTS, BUCKETS, _ranked_sql("output_tokens"))
+@query("SELECT series, bucket_us, x FROM (SELECT *, (row_number() OVER (PARTITION BY series ORDER BY bucket_us) - 1) / greatest(count(*) OVER (PARTITION BY series) - 1, 1) AS x FROM points) WHERE amount IS NOT NULL", FACTS, CHOSEN, SELECTED, _ranked_sql("output_tokens"))
 def trend_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.normalised(trend_throughput(spark, sf_dir).where("amount IS NOT NULL")).select("series", "bucket_us", "x")
+    return trends.normalised(trend_throughput(spark, sf_dir)).where("amount IS NOT NULL").select("series", "bucket_us", "x")
 
 
 ROLLUP_KEYS = "agent, model_raw, session_id, source_id, authority, tier, granularity"
@@ -258,7 +272,7 @@ def daily_rollup_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT range_start_us AS bucket_us FROM f WHERE range_start_us < (SELECT now FROM clock) // {DAY} * {DAY}")
 def complete_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = usage_facts(spark, sf_dir)
-    return rollups.complete_days(facts, _now(facts))
+    return rollups.complete_days(facts, _now(spark, sf_dir))
 
 
 @query(f"""SELECT bucket_us, CASE WHEN bucket_us IN (SELECT range_start_us FROM f WHERE channel = 'click') AND early THEN 'partial' ELSE 'complete' END AS coverage, count(*) AS rollups, sum(samples)::BIGINT AS samples FROM
@@ -271,7 +285,7 @@ def late_rollup_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = facts.where((F.col("observed_us") < first + 5 * DAY) & (F.col("channel") != "click"))
     known = rollups.daily(early).withColumn("coverage", F.lit("complete"))
     late = facts.where((F.col("observed_us") >= first + 5 * DAY) | (F.col("channel") == "click"))
-    done, _ = rollups.compact(late, known, _now(facts))
+    done, _ = rollups.compact(late, known, _now(spark, sf_dir))
     return done.groupBy("bucket_us", "coverage").agg(F.count(F.lit(1)).alias("rollups"), F.sum("samples").alias("samples"))
 
 
@@ -335,7 +349,7 @@ def union_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT count(*) FROM f WHERE observed_us < cut) + (SELECT count(*) FROM p WHERE observed_us < cut) + (SELECT count(*) FROM r) AS unprotected FROM (SELECT now - 7 * {DAY} AS cut FROM clock)""", FACTS, PERFORMANCE, "r AS (SELECT DISTINCT range_start_us, agent, model_raw, session_id, source_id, authority, tier, granularity FROM f)")
 def capacity_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = usage_facts(spark, sf_dir)
-    return rollups.capacity(facts, performance_facts(spark, sf_dir), rollups.daily(facts), _now(facts) - 7 * DAY)
+    return rollups.capacity(facts, performance_facts(spark, sf_dir), rollups.daily(facts), _now(spark, sf_dir) - 7 * DAY)
 
 
 @query("SELECT greatest((SELECT min(observed_us) FROM f), max(observed_us)) AS pruned_before_us FROM f WHERE channel = 'signup'")
@@ -433,7 +447,7 @@ def context_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CASE WHEN age < 60 THEN '[0,60)' WHEN age < 300 THEN '[60,300)' WHEN age < 3600 THEN '[300,3600)' WHEN age < 86400 THEN '[3600,86400)' ELSE '>=86400' END AS age_class, count(*) AS n FROM (SELECT ((SELECT now FROM clock) - observed_us) / 1000000.0::DOUBLE AS age FROM f) GROUP BY ALL""")
 def age_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = usage_facts(spark, sf_dir)
-    age = (F.lit(_now(facts)) - F.col("observed_us")) / 1e6
+    age = (F.lit(_now(spark, sf_dir)) - F.col("observed_us")) / 1e6
     return facts.groupBy(health.age_class(age).alias("age_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -449,16 +463,16 @@ def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HEALTH = """
-hl AS (SELECT * FROM (VALUES (1, 'src-a', false, ['usage'], ['agent-a'], 'SOURCE_FAILURE', 'UPDATE_SOURCE'), (2, 'src-b', false, ['usage', 'performance'], CAST([] AS VARCHAR[]), 'SOURCE_OVERLOADED', 'UPDATE_SOURCE'),
-    (3, 'src-x', false, ['usage'], CAST([] AS VARCHAR[]), NULL, NULL), (4, 'src-c', true, ['usage'], ['agent-b'], NULL, NULL), (5, 'src-b', false, ['performance'], CAST([] AS VARCHAR[]), 'SOURCE_FAILURE', NULL)) AS t(ordinal, source_id, is_healthy, impacts, agents, reason_code, action))"""
+hl AS (SELECT * FROM (VALUES (1, 'src-a', false, ['usage'], ['agent-a'], CAST([] AS VARCHAR[]), 'SOURCE_FAILURE', 'UPDATE_SOURCE'), (2, 'src-b', false, ['usage', 'performance'], [], ['click'], 'SOURCE_OVERLOADED', 'UPDATE_SOURCE'),
+    (3, 'src-x', false, ['usage'], [], [], NULL, NULL), (4, 'src-c', true, ['usage'], ['agent-b'], [], NULL, NULL), (5, 'src-b', false, ['performance'], [], [], 'SOURCE_FAILURE', NULL)) AS t(ordinal, source_id, is_healthy, impacts, agents, channels, reason_code, action))"""
 
 
 def _health(spark: SparkSession) -> DataFrame:
     rows = [
-        (1, "src-a", False, ["usage"], ["agent-a"], "SOURCE_FAILURE", "UPDATE_SOURCE"), (2, "src-b", False, ["usage", "performance"], [], "SOURCE_OVERLOADED", "UPDATE_SOURCE"),
-        (3, "src-x", False, ["usage"], [], None, None), (4, "src-c", True, ["usage"], ["agent-b"], None, None), (5, "src-b", False, ["performance"], [], "SOURCE_FAILURE", None),
+        (1, "src-a", False, ["usage"], ["agent-a"], [], "SOURCE_FAILURE", "UPDATE_SOURCE"), (2, "src-b", False, ["usage", "performance"], [], ["click"], "SOURCE_OVERLOADED", "UPDATE_SOURCE"),
+        (3, "src-x", False, ["usage"], [], [], None, None), (4, "src-c", True, ["usage"], ["agent-b"], [], None, None), (5, "src-b", False, ["performance"], [], [], "SOURCE_FAILURE", None),
     ]
-    return spark.createDataFrame(rows, "ordinal int, source_id string, is_healthy boolean, impacts array<string>, agents array<string>, reason_code string, action string")
+    return spark.createDataFrame(rows, "ordinal int, source_id string, is_healthy boolean, impacts array<string>, agents array<string>, channels array<string>, reason_code string, action string")
 
 
 @query("""SELECT ordinal, hl.source_id, reason_code FROM hl WHERE list_contains(impacts, 'usage') AND (source_id IN (SELECT source_id FROM own) OR CASE WHEN len(agents) > 0 THEN list_has_any(agents, ['agent-b']) ELSE NOT EXISTS (FROM own) END)""", FACTS, HEALTH, "own AS (SELECT source_id FROM f WHERE agent = 'agent-b' AND model_raw = 'm1')")
@@ -501,7 +515,7 @@ def first_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT ordinal, source_id, reason_code FROM hl WHERE NOT (source_id = 'src-b' AND list_has_any(impacts, ['performance'])) UNION ALL SELECT 9, 'src-b', 'SOURCE_OVERLOADED'", HEALTH)
 def health_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _health(spark)
-    overload = spark.createDataFrame([(9, "src-b", False, ["performance"], [], "SOURCE_OVERLOADED", None)], own.schema)
+    overload = spark.createDataFrame([(9, "src-b", False, ["performance"], [], [], "SOURCE_OVERLOADED", None)], own.schema)
     return health.with_overload(own, overload).select("ordinal", "source_id", "reason_code")
 
 
@@ -554,8 +568,8 @@ def diagnostic_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def light_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures of the composite; days of calls bound ranges, so one selection serves."""
     facts = usage_facts(spark, sf_dir)
-    now = _now(facts)
-    chosen = authority.select_authoritative(facts).where(filters.in_closed_window(now, WINDOW_S))
+    now = _now(spark, sf_dir)
+    chosen = authority.select_window(facts, filters.in_closed_window(now, WINDOW_S))
     out = chosen.agg(F.sum("output_tokens").alias("output_tokens"), F.sum("burn_total").alias("burn_total"))
     return out.crossJoin(metrics.calls(facts.where(filters.in_closed_window(now, WINDOW_S)), WINDOW_S).select("calls"))
 
@@ -569,7 +583,7 @@ _CONFLICT = "(SELECT coalesce(bool_or(conflict), false) FROM t)"
 def live_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources are well."""
     facts = usage_facts(spark, sf_dir)
-    return live.output(facts, _health(spark).where("is_healthy"), _now(facts), WINDOW_S)
+    return live.output(facts, _health(spark).where("is_healthy"), _now(spark, sf_dir), WINDOW_S)
 
 
 _CAPABLE = "sel AS f WHERE burn_total IS NOT NULL AND quality <> 'unavailable'"
@@ -582,7 +596,7 @@ _CAPABLE = "sel AS f WHERE burn_total IS NOT NULL AND quality <> 'unavailable'"
 def live_burn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten days after the newest fact, with sick sources: the last window that has facts."""
     facts = usage_facts(spark, sf_dir)
-    return live.burn(facts, _health(spark), _now(facts) + 10 * DAY, WINDOW_S)
+    return live.burn(facts, _health(spark), _now(spark, sf_dir) + 10 * DAY, WINDOW_S)
 
 
 @query(f"""SELECT {CALLS} AS calls, {CALLS}::DOUBLE / 86400.0::DOUBLE * 60.0::DOUBLE AS calls_per_min, {QUALITY} AS quality, CASE WHEN {CALLS} = 0 THEN 'zero' END AS state, 'partial' AS coverage,
@@ -591,7 +605,7 @@ def live_burn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One agent's calls, with sick sources."""
     facts = usage_facts(spark, sf_dir)
-    return live.calls(facts, _health(spark), _now(facts), WINDOW_S, filters.MetricFilter(frozenset({"agent-a"})))
+    return live.calls(facts, _health(spark), _now(spark, sf_dir), WINDOW_S, filters.MetricFilter(frozenset({"agent-a"})))
 
 
 _KEPT = "s AS (SELECT * FROM f AS a WHERE NOT (tier = 'fallback' AND EXISTS (SELECT 1 FROM f AS b WHERE b.tier = 'enhanced' AND b.call_id = a.call_id AND b.agent = a.agent AND b.range_start_us = a.range_start_us)))"
@@ -609,7 +623,7 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = authority.mark_superseded(usage_facts(spark, sf_dir))
     known = rollups.daily(facts.where("false")).withColumn("coverage", F.lit("complete"))
     n = facts.count()
-    left, rolled = rollups.retain(facts, known, _now(facts), rollups.RetentionPolicy(hard_rows=n // 2, rollup_days=20, protected_days=2), rows=n)
+    left, rolled = rollups.retain(facts, known, _now(spark, sf_dir), rollups.RetentionPolicy(hard_rows=n // 2, rollup_days=20, protected_days=2), rows=n)
     return left.agg(F.count(F.lit(1)).alias("facts")).crossJoin(rolled.agg(F.count(F.lit(1)).alias("rollups")))
 
 
@@ -623,7 +637,7 @@ z AS (SELECT *, NOT is_retry AND quality <> 'unavailable' AS usual, output_total
 def performance_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last seven days' requests, coalesced; some have unavailable quality."""
     facts = performance_facts(spark, sf_dir)
-    r = snapshots.performance_snapshot(facts, _health(spark).where("false"), _now(facts), snapshots.RANGES["7d"])
+    r = snapshots.performance_snapshot(facts, _health(spark).where("false"), _now(spark, sf_dir), snapshots.RANGES["7d"])
     return r.select(F.col("ttft.p50").alias("ttft_p50"), F.col("e2e.p95").alias("e2e_p95"), F.col("decode.p10").alias("decode_p10"), "samples", "retries", "decode_invalid", "coverage", "decode_coverage")
 
 
@@ -638,14 +652,3 @@ def canonical_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = raw.withColumn("observed_us", F.col("observed_us") + 1).withColumn("call_id", F.lit("later"))
     facts = canonical.backfilled(canonical.canonical(raw.unionByName(again), ["observed_us"]))
     return facts.select("id", "schema_version", "channel", "quality", "tier", "capability", "burn_total", "source_id")
-
-
-@query("""SELECT series, CASE WHEN series = 'Other' THEN 'other' WHEN bool_or(quality = 'estimated') THEN 'estimated' WHEN bool_or(b.burn_total IS NULL) THEN 'partial' ELSE 'normal' END AS emphasis FROM b JOIN s USING (model_raw) GROUP BY series""", FACTS, BUCKETS, _ranked_sql("output_tokens"))
-def trend_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = usage_facts(spark, sf_dir)
-    now = _now(facts)
-    start, end, _ = trends.span(now, WIDTH_S, WINDOW_S)
-    rank = trends.ranked(trends.bucketed(facts, now, WIDTH_S, WINDOW_S)).select("model_raw", "series")
-    inside = facts.where(filters.in_half_open_window(start, end)).join(rank, "model_raw")
-    flags = inside.groupBy("series").agg(F.bool_or(F.col("quality") == "estimated").alias("estimated"), F.when(F.bool_or(F.col("burn_total").isNull()), "partial").otherwise("complete").alias("coverage"))
-    return flags.select("series", trends.emphasis().alias("emphasis"))

@@ -7,8 +7,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.plans.facts_sql import FACTS
 from gaugeworks.plans.registry import query
-from gaugeworks.sources import landing, logs, spans
+from gaugeworks.operators import digest
+from gaugeworks.sources import discovery, footers, landing, logs, spans
+from gaugeworks.sources.events import usage_facts
 
 STAMP = "rollout-2024-01-01T00-00-00-"
 _EVENTS = """
@@ -159,3 +162,92 @@ def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = [_landed(e.select("log", "place", F.lit("x").alias("line")), "archived"), _landed(e.where("user_id % 2 = 0").select("log", "place", F.lit("yy").alias("line")), "sessions")]
     found = logs.discovered(spark, roots)
     return found.select("file", F.when(F.col("path").contains("/sessions-"), "sessions").otherwise("archived").alias("root"), "length")
+
+
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, {'epoch_us(min(ts))' if t == 'events' else 'NULL::BIGINT'} AS low, {'epoch_us(max(ts))' if t == 'events' else 'NULL::BIGINT'} AS high FROM {t}" for t in _TABLES), "")
+def table_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table, and the bounds of the events' times, by footers alone."""
+    each = [footers.capacity(spark, f"{sf_dir}/{t}.parquet", "ts" if t == "events" else None).select(F.lit(t).alias("name"), "rows", "low", "high") for t in _TABLES]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+# A tree of logs: of each user a folder as deep as the id's remainder by 15, with a log; of some
+# also a copy in another folder, a link, a hidden file or a file that is no log.
+_TREE = "u AS (SELECT DISTINCT user_id AS u FROM events)"
+
+
+def _tree(spark: SparkSession, sf_dir: str, collide: bool) -> str:
+    """Lands the tree, each user's part in a task of its own."""
+    top = landing.new_folder(spark, "tree").removeprefix("file://").removeprefix("file:")
+
+    def land(frames):
+        import os
+
+        for frame in frames:
+            for u in frame["user_id"].tolist():
+                folder = "/".join([top, f"u{u}", *[f"d{i}" for i in range(u % 15)]])
+                os.makedirs(folder, exist_ok=True)
+                path = f"{folder}/s{u}.jsonl"
+                with open(path, "w") as f:
+                    f.write("x\n" * u)
+                os.utime(path, (1_700_000_000 + u % 10, 1_700_000_000 + u % 10))
+                for name in [f"{top}/u{u}/.s{u}.jsonl"] * (u % 2 == 0) + [f"{top}/u{u}/s{u}.jsonl.bak"] * (u % 3 == 0) + [f"{top}/u{u}/copy/s{u}.jsonl"] * (collide and u % 7 == 0):
+                    os.makedirs(os.path.dirname(name), exist_ok=True)
+                    open(name, "w").close()
+                if u % 5 == 0:
+                    os.symlink(path, f"{top}/u{u}/link{u}.jsonl")
+            yield frame
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().mapInPandas(land, "user_id bigint").write.format("noop").mode("overwrite").save()
+    return top
+
+
+@query("""SELECT code, n FROM (SELECT 'SYMBOLIC_LINK' AS code, count(*) FILTER (u % 5 = 0) AS n FROM u UNION ALL SELECT 'TOO_DEEP', count(*) FILTER (u % 15 >= 11) FROM u
+    UNION ALL SELECT 'IDENTITY_COLLISION', 2 * count(*) FILTER (u % 7 = 0 AND u % 15 < 11) FROM u) WHERE n > 0""", _TREE)
+def discovery_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong in a tree with links, deep folders and files that share an identity."""
+    told = discovery.judged(discovery.entries(spark, _tree(spark, sf_dir, True)), 1_000_000)
+    return discovery.faults(told).select("code", "n")
+
+
+@query("""SELECT file, length, truncated FROM (SELECT 's' || u::VARCHAR AS file, 2 * u AS length, count(*) OVER () > 256 AS truncated, row_number() OVER (ORDER BY u % 10 DESC, 's' || u::VARCHAR) AS i FROM u WHERE u % 15 < 11) WHERE i <= 256""", _TREE)
+def discovery_offered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest logs of a tree without fatal faults (their number is the feature)."""
+    told = discovery.judged(discovery.entries(spark, _tree(spark, sf_dir, False)), 1_000_000)
+    return discovery.offered(told).select("file", "length", "truncated")
+
+
+@query("SELECT 'DISCOVERY_LIMIT_EXCEEDED' AS code, ((SELECT count(*) FROM u) + (SELECT sum(least(u % 15, 12) + (u % 15 < 12)::INT + (u % 3 = 0)::INT + (u % 5 = 0)::INT) FROM u))::BIGINT AS n, 0::BIGINT AS offered", _TREE)
+def discovery_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree with more entries than are allowed offers nothing."""
+    told = discovery.judged(discovery.entries(spark, _tree(spark, sf_dir, False)), 40)
+    return discovery.faults(told).select("code", "n").crossJoin(discovery.offered(told).agg(F.count(F.lit(1)).alias("offered")))
+
+
+_FACTS = ["id", "agent", "model_raw", "observed_us", "output_tokens", "call_id", "cache_write", "burn_total"]
+_ROW = "sha256(concat_ws(chr(10), " + ", ".join(f"coalesce('{c}=' || replace(replace({c}::VARCHAR, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '{c}')" for c in sorted(_FACTS)) + "))"
+_HEX = lambda at: f"(('0x' || substr(h, {at}, 10))::HUGEINT * 1099511627776 + ('0x' || substr(h, {at + 10}, 10))::HUGEINT)"
+_RANGES = f"""
+r AS (SELECT substr(sha256(id), 1, 2) AS range, {_ROW} AS h FROM f),
+x AS (SELECT range, count(*) AS n, (sum({_HEX(1)}::HUGEINT) % {digest.MODULUS})::HUGEINT AS a, (sum({_HEX(21)}::HUGEINT) % {digest.MODULUS})::HUGEINT AS b FROM r GROUP BY range)"""
+
+
+@query("SELECT sum(n)::BIGINT AS rows, sha256(string_agg(concat_ws(':', range, n::VARCHAR, a::VARCHAR, b::VARCHAR), chr(10) ORDER BY range) || chr(10) || '-id-prefix:ev-9') AS digest FROM x", FACTS, _RANGES)
+def accepted_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of all facts, merged from two halves of them in other orders."""
+    facts = usage_facts(spark, sf_dir).select(*_FACTS)
+    halves = [facts.where("output_tokens % 2 = 0").orderBy("model_raw"), facts.where("output_tokens % 2 <> 0").repartition(3)]
+    return digest.root(digest.merged(*[digest.ranges(h) for h in halves]), [("id-prefix", "ev-9")])
+
+
+@query("SELECT substr(sha256(id), 1, 2) AS range, count(*) AS rows_a, count(*) FILTER (output_tokens < 90) AS rows_b FROM f GROUP BY ALL HAVING count(*) FILTER (output_tokens >= 90) > 0", FACTS)
+def digest_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges in which all facts differ from those of fewer than 90 tokens."""
+    facts = usage_facts(spark, sf_dir).select(*_FACTS)
+    return digest.differing(digest.ranges(facts), digest.ranges(facts.where("output_tokens < 90")))

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators.authority import burn_total
 from gaugeworks.schema import DAY
+from gaugeworks.sources import footers
+
+
+def newest(spark: SparkSession, sf_dir: str) -> int:
+    """Time of the newest event, from the table's footers."""
+    return footers.newest(spark, f"{sf_dir}/events.parquet", "ts") or 0
 
 
 def usage_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

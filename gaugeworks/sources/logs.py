@@ -4,6 +4,11 @@ lines are classified by columns over VARIANT, unknown ones become diagnostics.""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,18 +28,44 @@ IGNORED_EVENTS = [
 ]
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each line's number in its block and the bytes up to its end; blocks come one
+    after the other, so only the last one's counts are carried over."""
+    last, lines, size = None, 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        files, blocks = b.column("file").dictionary_encode(), b.column("block").to_numpy()
+        names, at = files.dictionary, files.indices.to_numpy()
+        new = np.concatenate([[last != (names[int(at[0])].as_py(), int(blocks[0]))], (at[1:] != at[:-1]) | (blocks[1:] != blocks[:-1])])
+        first = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), -1))
+        ends = np.cumsum(pc.binary_length(b.column("value")).to_numpy().astype(np.int64) + 1)
+        own = np.arange(b.num_rows) - np.maximum(first, 0) + np.where(first < 0, lines, 0)
+        upto = ends - np.where(first > 0, ends[first - 1], 0) + np.where(first < 0, size, 0)
+        last, lines, size = (names[int(at[-1])].as_py(), int(blocks[-1])), int(own[-1]) + 1, int(upto[-1])
+        yield pa.record_batch([*b.columns, pa.array(own), pa.array(upto)], [*b.schema.names, "own", "upto"])
+
+
+def block_starts(read: DataFrame) -> DataFrame:
+    """(file, block, lines, bytes) before each block but a file's first: prefix sums of the
+    blocks' counts, one row a block."""
+    counts = read.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 1).cast("bigint").alias("m"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("file", "block", F.sum("n").over(before).alias("lines_before"), F.sum("m").over(before).alias("bytes_before")).where("lines_before IS NOT NULL")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, ordinal, end, value, json, too_long): the non-blank lines, ended by a line feed,
     of every .jsonl file below a path, with their number and the offset behind them. Files are
-    split and read line by line; a line's place is its block's place in the file and its
-    number in the task that reads the block."""
+    split into blocks, whose lines are numbered where they are read; what lies before a block
+    that isn't its file's first comes from a count of lines and bytes a block. No text is
+    shuffled: the counts go to the lines."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.jsonl,part-*}").option("lineSep", "\n").text(path)
-    file = file_identity(F.col("_metadata.file_path"))
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    read = text.select(file.alias("file"), F.col("_metadata.file_size").alias("size"), place.alias("place"), "value").where("file IS NOT NULL")
-    own = Window.partitionBy("file").orderBy("place")
-    end = F.sum(F.octet_length("value") + 1).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    each = read.select("file", (F.row_number().over(own) - 1).cast("bigint").alias("ordinal"), end.alias("end"), "size", "value")
+    read = text.select(file_identity(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), "value").where("file IS NOT NULL")
+    each = read.mapInArrow(_numbered, "file string, block bigint, size bigint, value string, own bigint, upto bigint")
+    each = each.join(F.broadcast(block_starts(read)), ["file", "block"], "left")  # a row for each maxPartitionBytes of text at most
+    before = lambda c: F.coalesce(F.col(c), F.lit(0))
+    each = each.select("file", (before("lines_before") + F.col("own")).alias("ordinal"), (before("bytes_before") + F.col("upto")).alias("end"), "size", "value")
     long = F.octet_length("value") >= LONGEST_LINE
     kept = each.where("end <= size AND trim(value) <> ''")
     return kept.select("file", "ordinal", "end", "value", F.when(~long, F.try_parse_json("value")).alias("json"), long.alias("too_long"))
