@@ -13,15 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gaugeworks.sources.stores import opened
+
 #: Files a task reads the footers of; files up to which the driver itself asks them for a time.
 PER_TASK, FEW = 64, 16
 _EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
 
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
-
-
 def data_files(uri: str) -> list[str]:
     """The Parquet files of a table, without hidden ones."""
     store, name = opened(uri)

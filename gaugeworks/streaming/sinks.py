@@ -7,28 +7,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.authority import coalesce_performance
 from gaugeworks.operators.metrics import all_or_null_sum
 from gaugeworks.operators.rollups import day_start
 from gaugeworks.schema import SECOND
+from gaugeworks.sources.stores import exists, remove_folder
 
 
 def _existing(path: str, like: DataFrame) -> DataFrame:
-    spark = like.sparkSession
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-        return spark.read.schema(like.schema).parquet(path)
-    return like.limit(0)
+    return like.sparkSession.read.schema(like.schema).parquet(path) if exists(path) else like.limit(0)
 
 
-def _remove_days(spark: SparkSession, path: str, days: list[int]) -> None:
+def _remove_days(path: str, days: list[int]) -> None:
     """Drops day partitions that have no row any more (a dynamic overwrite leaves them)."""
     for day in days:
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/day={day}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        remove_folder(f"{path.rstrip('/')}/day={day}")
 
 
 def last_wins(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,7 +56,7 @@ def day_table(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], key
         again = spark.read.schema(rows.schema).parquet(held)
         emptied = [r["day"] for r in days.join(again.select("day").distinct(), "day", "left_anti").collect()]
         again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-        _remove_days(spark, path, emptied)
+        _remove_days(path, emptied)
 
     return write
 
