@@ -10,9 +10,12 @@ comes out. Buckets above `bucket_rows` are split again by the bits that are left
 
 `near_copies` is the same join for a fixed similarity of texts. One fingerprint of word
 shingles cannot tell 0.8 from less (at a Jaccard similarity of 0.8 some 10 of 64 bits
-differ), so each text has `PRINTS` fingerprints of its distinct runs of two words, which an
-edit changes less; a pair within the budget in any of them is a candidate, and the exact
-similarity of the two shingle sets decides. First the pairs by which the trie walks grow
+differ), so each text has several fingerprints of its distinct runs of two words, which an
+edit changes less: `SIM_PRINTS` whose bits are majorities, and `MIN_PRINTS` whose bits are
+each one bit of the least of the runs' hashes. Of those a pair's bits differ with half of
+what its sets don't share: of two texts at 0.8, one of which goes on where the other ends,
+6 of 64 where the majorities' differ in 9. A pair within the budget in any fingerprint is a
+candidate, and the exact similarity of the two shingle sets decides. First the pairs by which the trie walks grow
 their classes are held against each other, fewer than a bucket has texts; classes of
 confirmed pairs are formed and the walks are done again over them with other pairs. A walk
 over the classes that still have neighbours finds the buckets in which texts of two of them
@@ -43,8 +46,9 @@ SHINGLE = 4
 BUDGET = 4
 #: Rows of a bucket above which it is split by further bits.
 BUCKET_ROWS = 4_000_000
-#: Fingerprints of a text in near_copies, and the words in a run that they are made of.
-PRINTS, PRINT_RUN = 16, 2
+#: Fingerprints of a text in near_copies, by majorities and by least hashes, and the words in
+#: a run that they are made of.
+SIM_PRINTS, MIN_PRINTS, PRINT_RUN = 2, 14, 2
 #: Rounds of near_copies over pairs that connect classes, before all others are looked at.
 ROUNDS = 2
 _CHUNK, _LEAF, _PAIRS = 32_768, 32, 1 << 21
@@ -378,17 +382,28 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def prints_of(values: np.ndarray, prints: int = PRINTS) -> np.ndarray:
-    """A fingerprint of the distinct hashes for each of `prints` seeds; 0 without any."""
+#: Odd factors that order the runs in as many ways as there are bits of minwise fingerprints.
+_FACTORS = mix(np.arange(1, MIN_PRINTS * BITS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+
+
+def prints_of(values: np.ndarray) -> np.ndarray:
+    """The fingerprints of the distinct hashes; all are 0 without any."""
     own = np.unique(values)
-    counts = np.zeros((prints, BITS), np.int64)
+    if not len(own):
+        return np.zeros(SIM_PRINTS + MIN_PRINTS, np.uint64)
+    counts = np.zeros((SIM_PRINTS, BITS), np.int64)
     for i in range(0, len(own), 1024):
-        h = mix(own[i : i + 1024] ^ mix(np.arange(1, prints + 1, dtype=np.uint64))[:, None])
-        counts += np.unpackbits(h.view(np.uint8).reshape(prints, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
-    return np.packbits(2 * counts > len(own), axis=1, bitorder="little").view(np.uint64).reshape(-1)
+        h = mix(own[i : i + 1024] ^ mix(np.arange(1, SIM_PRINTS + 1, dtype=np.uint64))[:, None])
+        counts += np.unpackbits(h.view(np.uint8).reshape(SIM_PRINTS, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    short, least = mix(own).astype(np.uint32), np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(short), 128):
+        np.minimum(least, (short[i : i + 128, None] * _FACTORS).min(axis=0), out=least)
+    odd = mix(least.astype(np.uint64) + np.arange(len(least), dtype=np.uint64) * np.uint64(1 << 32)) & np.uint64(1)
+    bits = np.concatenate([(2 * counts > len(own)).ravel(), odd.astype(bool)])
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...], prints: int = PRINTS) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """(doc_id, `keep` columns, text_hash, node, fps): node stands for the text's words, in
     lower case (ASCII) and in their order."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, text_key(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("__text"))
@@ -404,21 +419,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...],
             for j in range(1, PRINT_RUN):
                 runs[: len(runs) - j] = mix(runs[: len(runs) - j] ^ mix(w.hashes[j:] + np.uint64(j)))
             parts = [runs[a : max(a, z - PRINT_RUN + 1)] if z - a >= PRINT_RUN else w.hashes[a:z] for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-            found = np.concatenate([prints_of(x, prints) for x in parts])
-            held = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * prints, pa.int32()), pa.array(found.view(np.int64)))
+            found = np.concatenate([prints_of(x) for x in parts])
+            held = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * (SIM_PRINTS + MIN_PRINTS), pa.int32()), pa.array(found.view(np.int64)))
             yield pa.record_batch([*[b.column(c) for c in names], pa.array(nodes.view(np.int64)), held], [*names, "node", "fps"])
 
     return rows.mapInArrow(run, schema)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, least: float = SIMILARITY, budget: int = BUDGET, prints: int = PRINTS, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, least: float = SIMILARITY, budget: int = BUDGET, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, `keep` columns, root) for every row of `docs`: root names the component of
     links between texts whose sets of `shingle` words are at least `least` similar (Jaccard).
     Links are confirmed exactly; a pair is missed only where no fingerprint of its runs of
     words is within the budget. Texts of the same words in the same order are linked, word-less ones
     (also null) among themselves; rows that repeat have equal results; an empty table gives no
     rows; other columns are not read."""
-    rows = materialize(sketches(docs, id_col, text_col, keep, prints), "near")
+    rows = materialize(sketches(docs, id_col, text_col, keep), "near")
     nodes = materialize(rows.groupBy("node").agg(F.first("fps").alias("fps")), "near-nodes")
     label = edges = tried = None
     labelled = lambda: nodes.join(label, "node", "left").select("node", "fps", F.coalesce("component", "node").alias("label"))

@@ -1,7 +1,12 @@
+import itertools
 import random
 import re
 
 import corpus_pipeline
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from gaugeworks.llm import simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,5 +66,46 @@ def test_the_stage_finds_what_lies_beyond_four_bits(spark, tmp_path):
     assert kept == {label.index(x) for x in set(label)}
 
 
+@pytest.mark.parametrize("kind", ["tail", "head", "cut", "scattered"])
+def test_fingerprints_meet_from_the_threshold_on(kind):
+    """Of pairs in each band of similarity at least 97 of 100 are within the budget somewhere."""
+    rng = random.Random(kind)
+    word = lambda: f"w{rng.randrange(20_000)}"
+    found = {}
+    for _ in range(500):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        n = int(len(base) * rng.uniform(0.03, 0.27))
+        more = [word() for _ in range(n)]
+        other = {"tail": base + more, "head": more + base, "cut": base[: len(base) - n], "scattered": edited(rng, base, 1 + n // 6).split()}[kind]
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        alike = len(a & b) / len(a | b)
+        if alike >= 0.8:
+            prints = [simhash.prints_of(np.array([hash(p) & (1 << 64) - 1 for p in itertools.pairwise(w)], np.uint64)) for w in (base, other)]
+            found.setdefault(int(alike * 20), []).append(np.bitwise_count(prints[0] ^ prints[1]).min() <= simhash.BUDGET)
+    for band, hits in found.items():
+        assert sum(hits) >= 0.97 * len(hits) - 1, (band, sum(hits), len(hits))
+
+
+def test_odd_rows(spark):
+    """Null ids, repeated rows, a very long text, and many texts of one template that are
+    within the budget but not alike."""
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(9999)}" for _ in range(120_000))
+    base = [f"t{i}" for i in range(60)]
+    template = [edited(rng, base, 6) for _ in range(60)]
+    texts = [long, f"{long} more", *template, base_text := " ".join(base), base_text]
+    rows = [*enumerate(texts), (5, texts[5]), (5, texts[5]), (None, long), (None, None), (None, ""), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in simhash.near_copies(docs.withColumn("t", F.col("text")), keep=("t",)).collect():
+        got.setdefault(r["root"], []).append((r["doc_id"], r["t"]))
+    label = slow_roots([t for _, t in rows])
+    want = {}
+    for x, row in zip(label, rows, strict=True):
+        want.setdefault(x, []).append(row)
+    key = lambda groups: sorted(sorted(map(repr, g)) for g in groups.values())
+    assert key(got) == key(want)
+
+
 def test_empty_table(empty):
     assert simhash.near_copies(empty).count() == 0
