@@ -8,7 +8,8 @@ A source's documents lie in classes of size, eight to a doubling. From the class
 longest documents down, a class gets its part of what the source has still to take: whole
 copies for all of its documents as often as they fit, and then a fixed number n of its
 documents once more. n is the expected number, rounded at random, but neither above what
-is left nor so small that the shorter documents couldn't give the rest. What rounding
+is left nor so small that the shorter documents couldn't give the rest (where no number is
+both, the nearer one). What rounding
 adds or leaves is made up for twice: within the class, documents' inclusion probabilities
 are tilted by their size, so that the expected words stay right although n is whole; and
 what a tilt can't take goes on to the next class. So words taken come near the target
@@ -104,9 +105,11 @@ def _allotted(classes: Column, target: Column, size: Column, most: int) -> Colum
             copies, open_words = x["copies"], x["want"] - x["copies"] * words
             spare = left - copies * words
             drawn = F.floor(open_words * n_docs / words + c["u"])
-            fitting = F.least(drawn, F.floor(spare * n_docs / words + 1e-6))
+            fitting = F.floor(spare * n_docs / words + 1e-6)
             needed = F.ceil((spare - most * c["rest"]) * n_docs / words - 1e-6)
-            n = F.greatest(F.lit(0).cast("long"), F.least(F.greatest(fitting, needed), F.when(copies < most, c["docs"]).otherwise(0)))
+            nearer = F.when(needed * words / n_docs - spare < spare - most * c["rest"] - fitting * words / n_docs, needed).otherwise(fitting)
+            chosen = F.when(needed > fitting, nearer).otherwise(F.greatest(F.least(drawn, fitting), needed))
+            n = F.greatest(F.lit(0).cast("long"), F.least(chosen, F.when(copies < most, c["docs"]).otherwise(0)))
             return _let(n, lambda n: with_number(x, open_words, n))
 
         def with_number(x: Column, open_words: Column, n: Column) -> Column:

@@ -137,11 +137,13 @@ _MIXING_SQL = rf"""
                  SELECT *, CASE WHEN spread > 1e-9 * mean * mean AND n > 0 AND n < docs THEN greatest(-most_tilt, least(most_tilt, (open_words - height * words) / (docs * spread))) ELSE 0.0 END AS tilt FROM (
                    SELECT *, squares / docs - mean * mean AS spread, least(height, 1 - height) / greatest(longest - mean, mean - shortest) AS most_tilt FROM (
                      SELECT *, words::DOUBLE / docs AS mean, n / docs AS height FROM (
-                       SELECT *, greatest(0, least(greatest(least(floor(open_words * docs / words + u), floor(spare * docs / words + 1e-6)), ceil((spare - {mixing.MOST} * rest) * docs / words - 1e-6)), CASE WHEN copies < {mixing.MOST} THEN docs ELSE 0 END)) AS n FROM (
+                       SELECT *, greatest(0, least(CASE WHEN needed > fitting THEN CASE WHEN needed * words / docs - spare < spare - {mixing.MOST} * rest - fitting * words / docs THEN needed ELSE fitting END
+                                             ELSE greatest(least(floor(open_words * docs / words + u), fitting), needed) END, CASE WHEN copies < {mixing.MOST} THEN docs ELSE 0 END)) AS n FROM (
+                         SELECT *, floor(spare * docs / words + 1e-6) AS fitting, ceil((spare - {mixing.MOST} * rest) * docs / words - 1e-6) AS needed FROM (
                          SELECT *, want - copies * words AS open_words, left_ - copies * words AS spare FROM (
                            SELECT *, floor(want / words) AS copies FROM (
                              SELECT a.source, target, source_size, left_, c.k, c.class, c.docs, words, squares, shortest, longest, rest, u, greatest(0.0::DOUBLE, least(left_ - target / source_size * rest, ({mixing.MOST} * words)::DOUBLE)) AS want
-                             FROM a JOIN c ON a.source IS NOT DISTINCT FROM c.source AND c.k = a.k + 1)))))))),
+                             FROM a JOIN c ON a.source IS NOT DISTINCT FROM c.source AND c.k = a.k + 1))))))))),
          r AS (SELECT doc_id, l.source, l.size, l.class, lot, docs, copies, n, {_U("lot")} AS u, least(1.0, greatest(0.0, height + tilt * (l.size - mean))) AS p
                FROM lots l LEFT JOIN a ON l.source IS NOT DISTINCT FROM a.source AND l.class = a.class),
          o AS (SELECT *, row_number() OVER (PARTITION BY source, class ORDER BY CASE WHEN p > 0 THEN u * (1 - p) / ((1 - u) * p) END NULLS LAST, lot) <= n AS once FROM r)
