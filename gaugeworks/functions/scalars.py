@@ -96,10 +96,12 @@ def file_identity(path: Column) -> Column:
 
 
 def prefix_fingerprint(content: Column, offset: Column) -> Column:
-    """SHA-256 of the first 64 KiB and of up to 64 KiB before an offset."""
-    block = F.lit(65536)
-    start = F.greatest(F.lit(1), offset - block + 1).cast("int")
-    return F.sha2(F.concat(F.substring(content, F.lit(1), F.least(block, offset).cast("int")), F.substring(content, start, F.least(block, offset).cast("int"))), 256)
+    """SHA-256 of the first 64 KiB before an offset and of the last, where they don't overlap."""
+    block = F.lit(65_536)
+    start = F.greatest(block, offset - block)
+    head = F.substring(content, F.lit(1), F.least(block, offset).cast("int"))
+    tail = F.substring(content, (start + 1).cast("int"), F.greatest(F.lit(0), offset - start).cast("int"))
+    return F.sha2(F.concat(head, tail), 256)
 
 
 def fnv_slot(text: Column | str, slots: Column | str) -> Column:

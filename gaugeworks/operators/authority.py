@@ -85,11 +85,14 @@ def standing(facts: DataFrame) -> DataFrame:
 
 def mark_superseded(facts: DataFrame) -> DataFrame:
     """`facts` with superseded_by: of a fallback fact the least enhanced one with the same
-    call and range (nulls equal each other), else null."""
+    call and range (nulls equal each other), else null. Rows that nothing can supersede, such
+    as those without a call, are set aside and meet in no key."""
+    facts = facts.drop("superseded_by")
+    may = F.coalesce((F.col("tier") == "fallback") & F.col("call_id").isNotNull(), F.lit(False))
     enhanced = facts.where("tier = 'enhanced' AND call_id IS NOT NULL").groupBy(*[F.col(c).alias(f"e_{c}") for c in COHORT]).agg(F.min("id").alias("superseded_by"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in COHORT])
-    rows = facts.drop("superseded_by").join(enhanced, same & (F.col("tier") == "fallback"), "left")
-    return rows.drop(*[f"e_{c}" for c in COHORT])
+    rows = facts.where(may).join(enhanced, same, "left").drop(*[f"e_{c}" for c in COHORT])
+    return rows.unionByName(facts.where(~may).withColumn("superseded_by", F.lit(None).cast("string")))
 
 
 def _shortest(number: str) -> Column:

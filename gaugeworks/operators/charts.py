@@ -17,9 +17,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.scalars import utc_text
 from gaugeworks.operators import authority
 from gaugeworks.operators.filters import MetricFilter, in_half_open_window
-from gaugeworks.operators.health import action_for, relevant_to
+from gaugeworks.operators.health import action_for, label, relevant_to
 from gaugeworks.operators.trends import OTHER, POINTS, SERIES, bucket_start, emphasis, first_calls, span
 from gaugeworks.schema import SECOND, TOKEN_PARTS
 
@@ -180,3 +181,36 @@ def chart_points(snapshot: DataFrame) -> DataFrame:
     each = lines.select("chart", "identity", "title", "role", "emphasis", "buckets", F.posexplode("buckets").alias("i", "b"))
     return each.select("chart", "identity", "title", "role", "emphasis", b["bucket_us"].alias("bucket_us"), b["complete"].alias("complete"), b["amount"].alias("amount"), b["value"].alias("value"), *[b["parts"][t].alias(t) for t in TOKEN_PARTS], x.alias("x"))
 
+
+
+#: How parts and emphases are called and drawn.
+PART_TITLES = {"input_uncached": ("Input uncached", "■"), "cache_read": ("Cache read", "▣"), "cache_write": ("Cache write", "▤"), "output_visible": ("Output visible", "▲"), "reasoning": ("Reasoning", "●")}
+EMPHASES = {"normal": ("Exact", "●"), "estimated": ("Estimated", "┄"), "partial": ("Partial", "╌"), "other": ("Other", "◇")}
+
+
+def cell_narration(snapshot: DataFrame) -> DataFrame:
+    """(chart, row, column, label, spoken): the texts of each cell of the charts' tables; a
+    table without cells has one row, at 0 and 0, that says so."""
+    shown = lambda pairs, key, i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in pairs.items() for x in (k, v[i])]), key)
+    part = lambda s: F.struct(shown(PART_TITLES, s["part"], 0).alias("title"), shown(PART_TITLES, s["part"], 0).alias("name"), shown(PART_TITLES, s["part"], 0).alias("text"), shown(PART_TITLES, s["part"], 1).alias("symbol"))
+    line = lambda s: F.struct(s["title"].alias("title"), F.when(s["role"] == "other", "Other models").otherwise(s["identity"]).alias("name"), shown(EMPHASES, s["emphasis"], 0).alias("text"), shown(EMPHASES, s["emphasis"], 1).alias("symbol"))
+    kind = "array<struct<title:string,name:string,text:string,symbol:string>>"
+    columns = F.coalesce(F.transform("part_series", part).cast(kind), F.transform("series", line).cast(kind))
+    told = F.concat_ws(", ", F.concat(F.lit("Quality "), label(F.col("quality"))), F.concat(F.lit("State "), F.coalesce(label(F.col("state")), F.lit("-"))), F.concat(F.lit("Coverage "), label(F.col("coverage"))))
+    rows = snapshot.select("chart", "bucket_s", columns.alias("columns"), told.alias("told"), F.regexp_replace(told, ", ", ". ").alias("sentences"), F.posexplode("table").alias("row", "line"))
+    each = rows.select("*", F.posexplode_outer("line.cells").alias("column", "value")).withColumn("c", F.get("columns", F.col("column")))
+    start, end = utc_text(F.col("line.bucket_us")), utc_text(F.col("line.bucket_us") + F.col("bucket_s").cast("bigint") * SECOND)
+    whole = F.when(F.col("line.complete"), "complete bucket").otherwise("open bucket")
+    label_text = F.concat_ws(", ", "c.title", "c.name", F.concat(start, F.lit(" to "), end))
+    spoken = F.concat_ws(", ", start, end, "c.title", "c.name", "value", "c.text", "c.symbol", whole, "told")
+    none = F.concat(F.lit("No trend values. "), F.col("sentences"), F.lit("."))
+    empty = F.col("column").isNull()
+    kept = each.where(~empty | (F.col("row") == 0))
+    return kept.select("chart", "row", F.coalesce("column", F.lit(0)).alias("column"), F.when(empty, none).otherwise(label_text).alias("label"), F.when(empty, none).otherwise(spoken).alias("spoken"))
+
+
+def clamped(row: int, column: int, rows: int, columns: int) -> tuple[int, int]:
+    """A cursor moved into a table; (0, 0) where the table has no cell."""
+    if not rows or not columns:
+        return 0, 0
+    return min(max(row, 0), rows - 1), min(max(column, 0), columns - 1)

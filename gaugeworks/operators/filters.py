@@ -56,11 +56,18 @@ def without_prefix(prefix: str, column: str = "id") -> Column:
     return ~F.col(column).startswith(prefix)
 
 
+#: Keys up to which their newest times are broadcast.
+BROADCAST_KEYS = 100_000
+
+
 def with_newest(facts: DataFrame, keys: list[str] | None = None, name: str = "newest_us") -> DataFrame:
-    """`facts` with the newest time of all rows, or of their keys' rows: one row a key,
-    joined back, so no group is gathered."""
+    """`facts` with the newest time of all rows, or of their keys' rows: one row a key, sent to
+    the rows where there are few by count, so that a hot key stays where it is, else joined."""
     newest = facts.groupBy(*(keys or [])).agg(F.max("observed_us").alias(name))
-    return facts.join(newest, keys) if keys else facts.crossJoin(F.broadcast(newest))
+    if not keys:
+        return facts.crossJoin(F.broadcast(newest))
+    few = newest.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return facts.join(F.broadcast(newest) if few else newest, keys)
 
 
 def last_good(facts: DataFrame, now_us: int, seconds: int) -> DataFrame:

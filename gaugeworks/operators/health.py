@@ -178,11 +178,3 @@ def chart_state(capable: Column, stale_owner: Column, unhealthy: Column, facts:
     """State of a trend chart from flags and counts."""
     none = F.when(stale_owner, "stale").when(unhealthy, "unavailable").when(facts == 0, "absent").otherwise("stale")
     return F.when(capable == 0, none).when(stale_owner, "stale")
-
-
-def diagnostic_document(facts: DataFrame, health: DataFrame) -> DataFrame:
-    """One JSON text of counts, keys in order and no identity in it."""
-    h = health.agg(F.count_if("is_healthy").alias("healthy"), F.count_if(~F.col("is_healthy")).alias("unhealthy"))
-    q = facts.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("quality", "n")))).alias("by_quality"))
-    n = facts.agg(F.count(F.lit(1)).alias("facts"))
-    return q.crossJoin(n).crossJoin(h).select(F.to_json(F.struct("by_quality", "facts", F.struct("healthy", "unhealthy").alias("sources"))).alias("document"))

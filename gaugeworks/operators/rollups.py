@@ -116,3 +116,36 @@ def pruning_boundary(known: DataFrame, pruned: DataFrame) -> DataFrame:
     """(pruned_before_us): the latest time before which anything was ever pruned, from what is
     known and the times (time_us) pruned now; it never moves back, and is null if nothing was."""
     return known.select(F.col("pruned_before_us").alias("t")).unionByName(pruned.select(F.col("time_us").alias("t"))).agg(F.max("t").alias("pruned_before_us"))
+
+
+#: Values of a rollup whose sums are told only where every fact has them.
+_SUMMED = ["burn_total", *TOKEN_PARTS]
+
+
+def counted(facts: DataFrame) -> DataFrame:
+    """Daily rollups that merge: beside the sums how many facts have each value, and how many
+    are of each quality that weighs. Sums are of what is there."""
+    has = lambda q: F.count_if(F.col("quality") == q)
+    return facts.groupBy(day_start().alias("bucket_us"), *ROLLUP_COHORT).agg(
+        F.sum("output_tokens").alias("output_tokens"), *[F.sum(c).alias(c) for c in _SUMMED], *[F.count(c).alias(f"n_{c}") for c in _SUMMED],
+        has("estimated").alias("n_estimated"), has("unavailable").alias("n_unavailable"), F.min("model_display").alias("model_display"), F.count(F.lit(1)).alias("samples"),
+    )
+
+
+def with_late(rollups: DataFrame, facts: DataFrame) -> DataFrame:
+    """Counted rollups with late facts merged in, their days' raw facts not being there any
+    more. Of the rollups only the days that late facts touch are grouped anew; a table of
+    them partitioned by bucket_us takes the result's touched days by dynamic overwrite."""
+    late = counted(facts)
+    days = late.select("bucket_us").distinct()
+    touched = rollups.join(days, "bucket_us", "left_semi").unionByName(late)
+    added = [c for c in rollups.columns if c.startswith("n_") or c in ("output_tokens", "samples", *_SUMMED)]
+    merged = touched.groupBy("bucket_us", *ROLLUP_COHORT).agg(*[F.sum(c).alias(c) for c in added], F.min("model_display").alias("model_display"))
+    return rollups.join(days, "bucket_us", "left_anti").unionByName(merged.select(*rollups.columns))
+
+
+def told(rollups: DataFrame) -> DataFrame:
+    """Counted rollups as `daily` gives them."""
+    whole = lambda c: F.when(F.col(f"n_{c}") == F.col("samples"), F.col(c)).alias(c)
+    quality = F.when(F.col("n_estimated") > 0, "estimated").when(F.col("n_unavailable") > 0, "unavailable").otherwise("derived")
+    return rollups.select("bucket_us", *ROLLUP_COHORT, "output_tokens", *[whole(c) for c in _SUMMED], quality.alias("quality"), "model_display", "samples")

@@ -111,3 +111,19 @@ def trend_snapshot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT chart, title, emphasis FROM points", *_ALL)
 def trend_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of_all(spark, sf_dir).select("chart", F.inline("series")).select("chart", "title", "emphasis")
+
+
+_NAMED = """CASE WHEN role = 'other' THEN 'Other models' ELSE identity END"""
+_TEXT = "CASE emphasis WHEN 'normal' THEN 'Exact' WHEN 'estimated' THEN 'Estimated' WHEN 'partial' THEN 'Partial' ELSE 'Other' END"
+_SIGN = "CASE emphasis WHEN 'normal' THEN '●' WHEN 'estimated' THEN '┄' WHEN 'partial' THEN '╌' ELSE '◇' END"
+_UTC = "strftime(make_timestamp({0}), '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@query(f"""SELECT chart, row, place - 1 AS "column", title || ', ' || {_NAMED} || ', ' || a || ' to ' || z AS label, concat_ws(', ', a, z, title, {_NAMED}, coalesce(amount::VARCHAR, '—'), {_TEXT}, {_SIGN}, CASE WHEN complete THEN 'complete bucket' ELSE 'open bucket' END,
+    'Quality ' || upper(quality[1]) || quality[2:], 'State ' || coalesce(upper(state[1]) || state[2:], '-'), 'Coverage ' || upper(coverage[1]) || coverage[2:]) AS spoken
+    FROM (SELECT points.*, told.quality, told.state, told.coverage, row_number() OVER (PARTITION BY points.chart, points.identity ORDER BY bucket_us) - 1 AS row, {_UTC.format('bucket_us')} AS a, {_UTC.format('bucket_us + told.bucket_s::BIGINT * 1000000')} AS z
+          FROM points JOIN told ON told.chart = points.chart WHERE points.chart <> 'burn')""", *_ONE)
+def cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of each cell of the tables of output and calls."""
+    told = charts.cell_narration(_of_one(spark, sf_dir)).where("chart <> 'burn'")
+    return told.withColumns({"row": F.col("row").cast("bigint"), "column": F.col("column").cast("bigint")})

@@ -491,12 +491,6 @@ def affecting_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.affecting(_health(spark), usage_facts(spark, sf_dir).where("channel = 'click'")).select("ordinal", "source_id")
 
 
-@query("""SELECT row_number() OVER (ORDER BY health, array_to_string(reason_codes, chr(0))) AS ordinal, * FROM (SELECT CASE WHEN bool_and(is_healthy) THEN 'healthy' ELSE 'unhealthy' END AS health,
-    coalesce(list_sort(list(DISTINCT reason_code) FILTER (reason_code IS NOT NULL)), []) AS reason_codes FROM hl GROUP BY source_id)""", HEALTH)
-def numbered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.numbered_sources(_health(spark))
-
-
 @query("""SELECT model_raw, CASE WHEN count(burn_total) = 0 THEN CASE WHEN owned THEN 'stale' ELSE 'unavailable' END WHEN owned THEN 'stale' END AS state FROM
     (SELECT model_raw, burn_total, bool_or(source_id IN (SELECT source_id FROM hl WHERE NOT is_healthy)) OVER (PARTITION BY model_raw) AS owned FROM f) GROUP BY model_raw, owned""", FACTS, HEALTH)
 def chart_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,18 +501,6 @@ def chart_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("model_raw", health.chart_state(F.col("capable"), F.col("owned"), F.lit(True), F.col("n")).alias("state"))
 
 
-@query("SELECT reason_code, action FROM hl WHERE NOT is_healthy AND reason_code IS NOT NULL ORDER BY ordinal LIMIT 1", HEALTH)
-def first_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.first_degradation(_health(spark))
-
-
-@query("SELECT ordinal, source_id, reason_code FROM hl WHERE NOT (source_id = 'src-b' AND list_has_any(impacts, ['performance'])) UNION ALL SELECT 9, 'src-b', 'SOURCE_OVERLOADED'", HEALTH)
-def health_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _health(spark)
-    overload = spark.createDataFrame([(9, "src-b", False, ["performance"], [], [], "SOURCE_OVERLOADED", None)], own.schema)
-    return health.with_overload(own, overload).select("ordinal", "source_id", "reason_code")
-
-
 @query(f"""SELECT id, source_id FROM f WHERE channel = 'purchase' AND source_id <> 'src-a' UNION ALL
     (SELECT id, source_id FROM f WHERE source_id = 'src-a' AND observed_us >= (SELECT max(observed_us) FROM f WHERE source_id = 'src-a') - {DAY} ORDER BY observed_us DESC, id DESC LIMIT 20)""")
 def retained_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -559,11 +541,6 @@ def series_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_facts(spark, sf_dir).select("model_raw").distinct().withColumn("slot", scalars.fnv_slot("model_raw", F.lit(8)))
 
 
-@query("""SELECT '{"by_quality":{' || (SELECT string_agg('"' || quality || '":' || n::VARCHAR, ',' ORDER BY quality) FROM (SELECT quality, count(*) AS n FROM f GROUP BY quality)) || '},"facts":' || (SELECT count(*) FROM f)::VARCHAR || ',"sources":{"healthy":1,"unhealthy":4}}' AS document""")
-def diagnostic_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.diagnostic_document(usage_facts(spark, sf_dir), _health(spark))
-
-
 @query(f"SELECT (SELECT sum(output_tokens) FROM sel AS f WHERE {IN_DAY})::BIGINT AS output_tokens, (SELECT sum(burn_total) FROM sel AS f WHERE {IN_DAY})::BIGINT AS burn_total, (SELECT {CALLS} FROM f WHERE {IN_DAY}) AS calls", FACTS, CHOSEN)
 def light_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures of the composite; days of calls bound ranges, so one selection serves."""

@@ -251,3 +251,16 @@ def digest_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranges in which all facts differ from those of fewer than 90 tokens."""
     facts = usage_facts(spark, sf_dir).select(*_FACTS)
     return digest.differing(digest.ranges(facts), digest.ranges(facts.where("output_tokens < 90")))
+
+
+@query("""SELECT 'u' || user_id::VARCHAR AS file, CASE WHEN user_id % 5 = 1 THEN 'same' WHEN user_id % 5 = 2 THEN 'append' ELSE 'rebuild' END AS action FROM events GROUP BY user_id""", "")
+def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to do with each user's log by its stored cursor: none, the whole file, a part of
+    it, another file's fingerprint, or more than there is."""
+    e = _events(spark, sf_dir).select(F.concat(F.lit(STAMP + "u"), _text("user_id"), F.lit(".jsonl")).alias("log"), F.col("event_id").alias("place"), F.lit("x").alias("line"))
+    found = logs.discovered(spark, [_landed(e, "changes")])
+    k = F.substring("file", 2, 10).cast("int") % 5
+    n = F.col("length") / 2
+    lines = F.when(k == 2, F.floor(n / 2)).when(k == 4, n + 1).otherwise(n).cast("int")
+    cursors = found.where(k > 0).select("file", (lines * 2).cast("bigint").alias("length"), "modified", F.when(k == 3, "zz").otherwise(F.sha2(F.repeat(F.lit("x\n"), lines), 256)).alias("fingerprint"))
+    return logs.changed(logs.fingerprinted(found, cursors), cursors).select("file", "action")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import file_identity, iso_micros, strict_int, variant_text
 from gaugeworks.operators.counters import carried, message_part_deltas, output_deltas, session_fallback, validated_part_deltas
+from gaugeworks.sources.stores import fingerprint, opened
 
 LONGEST_LINE = 512 * 1024
 SYNTHETIC = "schema_version string, observation_identity string, coding_agent string, model_raw string, model_display string, session_id string, turn_id string, observed_offset_seconds double, usage struct<output_tokens: bigint>"
@@ -172,6 +173,29 @@ def discovered(spark: SparkSession, roots: list[str], newest: int | None = None)
     return one if newest is None else one.orderBy(F.desc("modified"), "file", "path").limit(newest)
 
 
+def fingerprinted(found: DataFrame, cursors: DataFrame) -> DataFrame:
+    """`found` with the fingerprint of what lies before each file's stored offset (`length` of
+    its cursor), null where the file is shorter or has no cursor. Tasks read at most 128 KiB of
+    a file, wherever the offset is."""
+    at = cursors.select("file", F.col("length").alias("offset"))
+    rows, names = found.join(at, "file", "left"), found.columns
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path, offset, length in zip(*[b.column(c).to_pylist() for c in ("path", "offset", "length")], strict=True):
+                if offset is None or offset > length:
+                    out.append(None)
+                    continue
+                store, name = opened(path)
+                with store.open_input_file(name) as f:
+                    out.append(fingerprint(f, offset))
+            yield pa.record_batch([*[b.column(c) for c in names], pa.array(out, pa.string())], [*names, "fingerprint"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
+    return rows.mapInArrow(told, f"{schema}, fingerprint string")
+
+
 def changed(found: DataFrame, cursors: DataFrame) -> DataFrame:
     """`found` with action against stored cursors (file, length, modified, fingerprint),
     given found has a fingerprint of the stored prefix: rebuild, append or same."""

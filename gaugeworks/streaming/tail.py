@@ -15,7 +15,6 @@ files are still seen after a restart, but generations may be numbered anew.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 
@@ -23,10 +22,8 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from gaugeworks.sources.stores import opened, replace_text, text_of
+from gaugeworks.sources.stores import SAMPLE, fingerprint, opened, replace_text, text_of
 
-#: Fixed value: bytes at a file's start, and before an offset, that its fingerprint covers.
-SAMPLE = 65_536
 #: Bytes that a task reads at once, and of a range.
 BLOCK, RANGE = 4 << 20, 64 << 20
 
@@ -36,15 +33,6 @@ class FileRange(InputPartition):
         self.path, self.start, self.stop, self.last, self.first, self.generation = path, start, stop, last, first, generation
 
 
-def fingerprint(f, offset: int) -> str:
-    """SHA-256 of the first 64 KiB before an offset and of the last, where they don't overlap."""
-    f.seek(0)
-    head = f.read(min(offset, SAMPLE))
-    start = max(SAMPLE, offset - SAMPLE)
-    f.seek(start if offset > SAMPLE else 0)
-    return hashlib.sha256(head + (f.read(offset - start) if offset > SAMPLE else b"")).hexdigest()
-
-
 def line_end(f, low: int, high: int) -> int:
     """The end of the last whole line between two offsets, `low` if there is none."""
     while high > low:

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks.functions import scalars
 from gaugeworks.streaming import replacement, tail
 
 
@@ -17,7 +18,7 @@ def _lines(reader, start, end):
     return sorted((r[0].rsplit("/", 1)[-1], *r[1:]) for p in reader.partitions(start, end) for r in reader.read(p))
 
 
-def test_fingerprint(tmp_path):
+def test_fingerprint(spark, tmp_path):
     """The first 64 KiB, and up to 64 KiB before the offset that don't overlap them."""
     import hashlib
 
@@ -27,6 +28,8 @@ def test_fingerprint(tmp_path):
         for offset in (0, 10, 65_536, 65_537, 100_000, 131_072, 180_000):
             want = data[: min(offset, 65_536)] + (data[max(65_536, offset - 65_536) : offset] if offset > 65_536 else b"")
             assert tail.fingerprint(f, offset) == hashlib.sha256(want).hexdigest()
+            shown = spark.createDataFrame([(data,)], "b binary").select(scalars.prefix_fingerprint(F.col("b"), F.lit(offset)))
+            assert shown.first()[0] == hashlib.sha256(want).hexdigest()
 
 
 @pytest.mark.parametrize("first", ["same first line", "x" * 5_000])
