@@ -12,7 +12,6 @@ at most a few hundred buckets for each model.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from gaugeworks.functions.scalars import utc_text
 from gaugeworks.operators import authority
 from gaugeworks.operators.filters import MetricFilter, in_half_open_window
 from gaugeworks.operators.health import action_for, label, relevant_to
+from gaugeworks.operators.metrics import beside
 from gaugeworks.operators.trends import OTHER, POINTS, SERIES, bucket_start, emphasis, first_calls, span
 from gaugeworks.schema import SECOND, TOKEN_PARTS
 
@@ -107,7 +107,7 @@ def _standing(kept: DataFrame, health: DataFrame, chosen: MetricFilter) -> DataF
     owned = sick.select("source_id").distinct().join(own.where("source_id <> 'unknown'"), "source_id").agg((F.count(F.lit(1)) > 0).alias("owned"), F.min("newest").alias("owned_newest"))
     every = own.agg((F.count(F.lit(1)) > 0).alias("has_facts"), F.max("newest").alias("facts_newest"), F.min("low").alias("facts_low"), F.max("high").alias("facts_high"))
     conflict = authority.has_conflict(kept)
-    return reduce(DataFrame.crossJoin, [every, owned, first, conflict])
+    return beside(every, owned, first, conflict)
 
 
 def trend_snapshot(facts: DataFrame, health: DataFrame, now_us: int, sizes: dict[str, ChartSize] = SIZES, chosen: MetricFilter | None = None, points: int = POINTS, series: int = SERIES) -> DataFrame:
@@ -130,7 +130,7 @@ def trend_snapshot(facts: DataFrame, health: DataFrame, now_us: int, sizes: dict
     each = [F.struct(F.lit(k).alias("chart"), F.count_if(in_half_open_window(*e)).alias("original"), F.min(F.when(in_half_open_window(*e), F.col("authority"))).alias("o_low"), F.max(F.when(in_half_open_window(*e), F.col("authority"))).alias("o_high")) for k, e in zip(sizes, ends, strict=True)]
     original = kept.where(whole).agg(F.array(*each).alias("a")).select(F.inline("a"))
     excluded = facts.limit(1).agg((F.count(F.lit(1)) > 0).alias("unfiltered"))
-    told = names.join(own, "chart", "left").join(original, "chart").crossJoin(_standing(kept, health, chosen)).crossJoin(excluded)
+    told = names.join(own, "chart", "left").join(original, "chart").crossJoin(beside(_standing(kept, health, chosen), excluded))
 
     samples = F.coalesce("samples", F.lit(0).cast("bigint"))
     none, flag = samples == 0, lambda c: F.coalesce(F.col(c), F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gaugeworks.operators.authority import cohorts, select_authoritative, select_window, standing
 from gaugeworks.operators.filters import MetricFilter, in_closed_window
 from gaugeworks.operators.health import action_for, affecting, empty_reason, relevant
-from gaugeworks.operators.metrics import combined_authority, combined_quality, mixed_quality
+from gaugeworks.operators.metrics import beside, combined_authority, combined_quality, mixed_quality
 from gaugeworks.schema import SECOND, TOKEN_PARTS
 
 USABLE = "quality <> 'unavailable'"
@@ -48,14 +48,12 @@ def _conflict(facts: DataFrame) -> DataFrame:
 def _empty(facts: DataFrame, kept: DataFrame, chosen: MetricFilter) -> DataFrame:
     """One row with the reason of an empty figure, null while the filter leaves facts."""
     n = lambda df, name: df.limit(1).agg(F.count(F.lit(1)).alias(name))
-    return n(facts, "n_all").crossJoin(n(kept, "n_kept")).select(empty_reason(F.col("n_kept"), F.col("n_all"), F.lit(not chosen.is_all)).alias("none"))
+    return beside(n(facts, "n_all"), n(kept, "n_kept")).select(empty_reason(F.col("n_kept"), F.col("n_all"), F.lit(not chosen.is_all)).alias("none"))
 
 
 def _row(parts: list[DataFrame], values: dict[str, Column], there: Column, state: Column, coverage: Column, authority: Column, missing: Column, now_us: int, retained: bool) -> DataFrame:
     """The figure's row of its one-row parts: `there` tells whether it has a value."""
-    row = parts[0]
-    for p in parts[1:]:
-        row = row.crossJoin(p)
+    row = beside(*parts)
     reason = F.when(there, F.col("first_reason")).otherwise(missing)
     action = F.when(there, F.col("first_action")).otherwise(action_for(reason))
     age = F.greatest(F.lit(0.0), (F.lit(now_us) - F.col("updated_us")) / float(SECOND))
@@ -130,7 +128,8 @@ def calls(facts: DataFrame, health: DataFrame, now_us: int, seconds: int = 600,
     usable = rows.where(f"{known} AND {USABLE}")
     own = usable.agg(F.count_distinct("agent", "call_id").alias("n"), combined_quality(True).alias("quality"), combined_authority().alias("authority"), mixed_quality().alias("mixed"))
     seen = rows.agg((F.count(F.lit(1)) == 0).alias("nothing"), F.count_if(F.expr(known)).alias("capable"), combined_authority().alias("any_authority"), F.coalesce(F.bool_or(F.expr(f"NOT ({known} AND {USABLE})")), F.lit(False)).alias("lacking"))
-    times = _updated(usable, mine, retained).select(F.col("updated_us").alias("a")).crossJoin(_updated(rows, mine, retained).select(F.col("updated_us").alias("b"))).select(F.coalesce("a", "b").alias("updated_us"))
+    times = _updated(usable, mine, retained).select(F.col("updated_us").alias("a"))
+    times = beside(times, _updated(rows, mine, retained).select(F.col("updated_us").alias("b"))).select(F.coalesce("a", "b").alias("updated_us"))
     there, troubled = F.col("capable") > 0, F.col("conflicting") | F.col("sick")
     none = F.when(F.col("nothing"), F.coalesce("first_reason", "none", F.lit("NO_OBSERVATIONS"))).when(F.lit(retained), F.coalesce("first_reason", F.lit("STABLE_MODEL_CALL_ID_UNAVAILABLE")))
     return _row(
@@ -149,4 +148,4 @@ def light(facts: DataFrame, health: DataFrame, now_us: int, seconds: int = 180,
     """The three figures in one row of structs."""
     one = lambda df, name: df.select(F.struct(*df.columns).alias(name))
     figures = [one(output(facts, health, now_us, seconds, chosen), "throughput"), one(burn(facts, health, now_us, long_seconds, chosen), "burn"), one(calls(facts, health, now_us, long_seconds, chosen), "calls")]
-    return figures[0].crossJoin(figures[1]).crossJoin(figures[2])
+    return beside(*figures)

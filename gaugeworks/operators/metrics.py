@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,13 @@ def all_or_null_sum(column: str) -> Column:
     return F.when(F.count(column) == F.count(F.lit(1)), F.sum(column))
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """One-row tables, of distinct columns, side by side: united with nulls where a table lacks
+    a column, then each column's one value. Unlike cross joins, all of it is one job."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return every.coalesce(1).agg(*[F.first(c, ignorenulls=True).alias(c) for c in every.columns])
+
+
 def combined_quality(derived_result: bool = False, column: str = "quality") -> Column:
     """empty -> unavailable; the worst of estimated, unavailable, derived; else measured."""
     has = lambda q: F.max(F.when(F.col(column) == q, 1).otherwise(0)) == 1

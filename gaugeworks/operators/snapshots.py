@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from gaugeworks.operators import live
 from gaugeworks.operators.authority import coalesce_performance
 from gaugeworks.operators.filters import MetricFilter, in_closed_window, with_newest
 from gaugeworks.operators.health import LEGACY, action_for, relevant, relevant_performance
-from gaugeworks.operators.metrics import combined_authority, combined_quality, mixed_quality, options
+from gaugeworks.operators.metrics import beside, combined_authority, combined_quality, mixed_quality, options
 from gaugeworks.operators.performance import decode_valid, nearest_ranks
 
 #: Seconds of the ranges that latencies are shown for.
@@ -44,7 +42,8 @@ def performance_snapshot(facts: DataFrame, health: DataFrame, now_us: int, secon
     sick = ill.agg((F.count(F.lit(1)) > 0).alias("sick"), first[0].alias("first_reason"), first[1].alias("first_action"))
     owners = rows.select("source_id").distinct().where(F.col("source_id") != LEGACY)
     owned = owners.join(ill.select("source_id").distinct(), "source_id").agg((F.count(F.lit(1)) > 0).alias("owned"))
-    some = chosen.apply(single).limit(1).agg((F.count(F.lit(1)) > 0).alias("any_selected")).crossJoin(facts.limit(1).agg((F.count(F.lit(1)) > 0).alias("any_facts")))
+    some = chosen.apply(single).limit(1).agg((F.count(F.lit(1)) > 0).alias("any_selected"))
+    some = beside(some, facts.limit(1).agg((F.count(F.lit(1)) > 0).alias("any_facts")))
     usual = ~F.col("is_retry") & (F.col("quality") != "unavailable")
     counts = rows.agg(
         F.count_if("is_retry").alias("retries"), F.count_if(usual).alias("samples"), F.count_if(usual & decode_valid()).alias("decoded"),
@@ -56,10 +55,10 @@ def performance_snapshot(facts: DataFrame, health: DataFrame, now_us: int, secon
         combined_quality().alias("quality"), combined_authority("channel" if "authority" not in rows.columns else "authority").alias("authority"), mixed_quality().alias("mixed"), F.max("observed_us").alias("updated_us"),
     )
     one, low = {"p50": 0.5, "p95": 0.95}, {"p50": 0.5, "p95": 0.95, "p10": 0.1}
-    both = counts.crossJoin(figures).crossJoin(sick).crossJoin(owned).crossJoin(some)
+    ranks = []
     for name, column, wanted in (("ttft", "ttft_ms", one), ("e2e", "duration_ms", one), ("decode", "tps", low)):
-        found = nearest_ranks(normal.withColumn("tps", tps), column, wanted)
-        both = both.join(F.broadcast(found.select(F.struct(*wanted).alias(name))), F.lit(True), "left")
+        ranks.append(nearest_ranks(normal.withColumn("tps", tps), column, wanted).select(F.struct(*wanted).alias(name)))
+    both = beside(counts, figures, sick, owned, some, *ranks)
     partial = F.col("sick") | F.col("mixed") | F.col("unavailable")
     stale = F.col("retained") | F.col("owned")
     reason = F.coalesce("first_reason", F.when(F.col("samples") == 0, F.when(~F.col("any_selected") & F.col("any_facts"), "FILTER_EXCLUDES_OBSERVATIONS").otherwise("REQUEST_TIMING_UNAVAILABLE")))
@@ -85,7 +84,7 @@ def light_composite(facts: DataFrame, requests: DataFrame, health: DataFrame, no
     parts = [
         live.light(facts, health, now_us, seconds, long_seconds, chosen), one(performance_snapshot(requests, timing, now_us, performance_seconds, chosen), "performance"), agents, models, sources,
     ]
-    row = reduce(DataFrame.crossJoin, parts)
+    row = beside(*parts)
     axis = lambda values: F.array(*[F.lit(v) for v in sorted(values)]).cast("array<string>")
     return row.select("*", F.struct(axis(chosen.agents).alias("agents"), axis(chosen.models).alias("models")).alias("filter"), F.lit("all" if chosen.is_all else "selected").alias("scope"), F.lit(now_us).alias("generated_us"))
 
