@@ -122,5 +122,5 @@ def decoded(bodies: DataFrame) -> DataFrame:
 def rejections(bodies: DataFrame) -> DataFrame:
     """(batch_id, code) of the batches that are refused: the first reason in the order in which
     a body is read. A body without target spans is taken and gives no fact."""
-    first = _judged(bodies).where("code IS NOT NULL").groupBy("batch_id").agg(F.min(F.struct("place", "code")).alias("f"))
-    return first.select("batch_id", F.col("f.code").alias("code"))
+    found = F.when(F.col("code").isNotNull(), F.struct("place", "code"))  # a filter on the code would be pushed down and read each attribute anew for every use
+    return _judged(bodies).groupBy("batch_id").agg(F.min(found).alias("f")).where("f IS NOT NULL").select("batch_id", F.col("f.code").alias("code"))

@@ -145,3 +145,9 @@ def test_spans(spark):
         "long": "REJECTED_FIELD_VALUE", "secret": "REJECTED_CONTENT_FIELD", "escaped": "REJECTED_CONTENT_FIELD", "unlisted": "REJECTED_UNALLOWLISTED_FIELD", "third entry": "REJECTED_UNALLOWLISTED_FIELD",
         "no resources": "INVALID_OTLP_JSON", "broken": "INVALID_OTLP_JSON", "no scopes": "UNSUPPORTED_REQUEST_TRACE", "many": "REJECTED_BATCH_SIZE", "large": "REJECTED_BATCH_SIZE",
     }
+
+
+def test_rejections_read_attributes_once(spark):
+    bodies = spark.createDataFrame([("b", "{}", 1)], "batch_id string, body string, received_us bigint")
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("variant_get")
+    assert reads(spans.rejections(bodies)) <= reads(spans._judged(bodies))
