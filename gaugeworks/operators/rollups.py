@@ -95,15 +95,22 @@ def retain(facts: DataFrame, rollups: DataFrame, now_us: int, policy: RetentionP
     over = lambda n: policy.level(int(n * per_row), n) == "hardLimit"
     if over(count):
         rollups, facts = compact(facts, rollups, now_us - policy.rollup_days * DAY)
-        raw, rolled = facts.count(), rollups.count()
-        excess = policy.excess(int((raw + rolled) * per_row), raw + rolled) if over(raw + rolled) else 0
-        rollups = without_first(rollups, min(excess, rolled), "bucket_us", (*ROLLUP_COHORT,))
-        protected = now_us - policy.protected_days * DAY
-        old = without_first(facts.where(F.col("observed_us") < protected), max(0, excess - rolled), "observed_us", ("id",))
-        facts = old.unionByName(facts.where(F.col("observed_us") >= protected))
+        facts, rollups = evicted(facts, rollups, now_us, policy, per_row)
     return facts, rollups
 
 
+def evicted(facts: DataFrame, rollups: DataFrame, now_us: int, policy: RetentionPolicy, per_row: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """What is left while the hard limit is exceeded: the oldest rollups go, and then the oldest
+    facts before the protected days, as many as there is excess."""
+    raw, rolled = facts.count(), rollups.count()
+    rows, size = raw + rolled, int((raw + rolled) * per_row)
+    excess = policy.excess(size, rows) if policy.level(size, rows) == "hardLimit" else 0
+    rollups = without_first(rollups, min(excess, rolled), "bucket_us", (*ROLLUP_COHORT,))
+    protected = now_us - policy.protected_days * DAY
+    old = without_first(facts.where(F.col("observed_us") < protected), max(0, excess - rolled), "observed_us", ("id",))
+    return old.unionByName(facts.where(F.col("observed_us") >= protected)), rollups
+
+
 def capacity(usage: DataFrame, performance: DataFrame, rollups: DataFrame, protected_us: int) -> DataFrame:
     """One row: all rows, the facts from the protected time on, and what lies before it,
     rollups included."""
