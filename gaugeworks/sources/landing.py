@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody has used."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """`rows` dealt out by keys to as many tasks as the session shuffles to. For tasks that do
+    far more for a row than its bytes tell: with no number given, AQE makes one task of them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

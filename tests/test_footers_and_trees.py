@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import digest
-from gaugeworks.sources import discovery, footers, logs
+from gaugeworks.sources import discovery, footers, landing, logs
 
 
 def _write(path, times, **more):
@@ -87,6 +87,33 @@ def test_fatal_faults(spark, tmp_path, monkeypatch):
     assert discovery._entry(str(tmp_path), real(tmp_path), f"{tmp_path}/two/b.jsonl", 2, 12)[-1] == "PATH_ESCAPES_ROOT"
 
 
+def test_trees_are_walked_once(spark, tmp_path):
+    """What is judged of a tree is of one state, however often it is used."""
+    _tree(tmp_path, "one/a.jsonl", "two/b.jsonl")
+    told = discovery.judged(discovery.entries(spark, str(tmp_path)))
+    _tree(tmp_path, "three/a.jsonl")
+    assert discovery.faults(told).count() == 0
+    assert {r["file"] for r in discovery.offered(told).collect()} == {"a", "b"}
+
+
+def test_shares_of_a_root(tmp_path):
+    """Each entry of a wide root is in one of a bounded number of shares."""
+    names = {f"d{i}" for i in range(1500)} | {f"f{i}" for i in range(500)}
+    for n in names:
+        (tmp_path / n).mkdir() if n[0] == "d" else (tmp_path / n).touch()
+    reader = discovery.TreeReader({"path": str(tmp_path)})
+    shares = [[r[1].rpartition("/")[2] for r in reader.read(p)] for p in reader.partitions()]
+    assert len(shares) == discovery.MOST_TASKS
+    assert max(map(len, shares)) < 100
+    assert sorted(n for s in shares for n in s) == sorted(names)
+    assert [r[-1] for p in reader.partitions() for r in reader.read(p)] == [None] * len(names)
+
+
+def test_work_is_dealt_out(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert landing.dealt(spark.range(50).distinct(), "id").rdd.getNumPartitions() == n
+
+
 def test_line_numbers_over_blocks(spark, tmp_path):
     """Files of several blocks, two files in a task, blank and partial lines, long lines."""
     texts = {"a": "".join(f"line {i} {'é' * (i % 7)}\n" for i in range(400)) + "partial", "b": "\n\nx\n  \ny\n", "c": "z" * 3000 + "\nq\n", "d": ""}
