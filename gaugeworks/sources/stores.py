@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections.abc import Iterator
 
 from pyarrow import fs
 
@@ -15,6 +17,28 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
 
 
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers pass over an entry of that name."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def files_below(uri: str, own: int = 0, shares: int = 1) -> Iterator[tuple[str, int, int]]:
+    """(path, modified in ms, length) of the files below a folder: of its entries those whose
+    name's checksum leaves `own` when divided by `shares`. One folder's entries are held."""
+    store, top = opened(uri)
+    scheme = "file:" if isinstance(store, fs.LocalFileSystem) else uri.rstrip("/").removesuffix(top.rstrip("/"))
+    found = store.get_file_info(fs.FileSelector(top))
+    held = [x for x in found if zlib.crc32(x.base_name.encode()) % shares == own]
+    while held:
+        x = held.pop()
+        if _hidden(x.base_name):
+            continue
+        if x.type == fs.FileType.Directory:
+            held += store.get_file_info(fs.FileSelector(x.path))
+        elif x.type == fs.FileType.File:
+            yield scheme + x.path, x.mtime_ns // 1_000_000, x.size
+
+
 def exists(uri: str) -> bool:
     store, name = opened(uri)
     return store.get_file_info(name).type != fs.FileType.NotFound

@@ -73,6 +73,32 @@ def test_discovery(spark, tmp_path):
     assert [r["file"] for r in logs.missing(found, cursors).collect()] == ["gone"]
 
 
+def test_landed_logs_are_files(spark, tmp_path):
+    """A file a log, lines in order, in no more folders than there are tasks; nothing is left beside them."""
+    texts = {f"rollout-2024-01-01T00-00-00-u{i}.jsonl": [f"é {i} {j}" for j in range(i % 5 + 1)] for i in range(300)}
+    rows = spark.createDataFrame([(log, -j, x) for log, lines in texts.items() for j, x in reversed(list(enumerate(lines[::-1])))], "log string, place int, line string")
+    logs.land(rows, str(tmp_path / "landed"))
+    found = list((tmp_path / "landed").rglob("*"))
+    assert {p.name: p.read_text() for p in found if p.is_file()} == {log: "".join(f"{x}\n" for x in lines) for log, lines in texts.items()}
+    assert len([p for p in found if p.is_dir()]) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = logs.discovered(spark, [str(tmp_path / "landed")]).collect()
+    assert {(r["file"], r["length"]) for r in got} == {(f"u{i}", sum(len(x.encode()) + 1 for x in texts[f"rollout-2024-01-01T00-00-00-u{i}.jsonl"])) for i in range(300)}
+
+
+def test_discovery_lists_in_tasks(spark, tmp_path):
+    """As Spark's own listing has it: path, time and length, hidden entries left out; once, without a file index."""
+    for name in ["a.jsonl", "x/b.jsonl", "x/y/c.jsonl/part-0", "x/no.txt", "_x/d.jsonl", ".h/e.jsonl", "x/_f.jsonl", "x/.g.jsonl", "k=_/_z=1/i.jsonl"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.jsonl,part-*}").load(str(tmp_path))
+    want = {(r["path"], r["modificationTime"], r["length"]) for r in read.select("path", "modificationTime", "length").collect()}
+    found = logs.discovered(spark, [str(tmp_path)])
+    (tmp_path / "late.jsonl").write_text("")
+    assert {(r["path"], r["modified"], r["length"]) for r in found.collect()} == want
+    assert {r["file"] for r in found.collect()} == {"a", "b", "c", "i"}
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+
+
 def _span(name=spans.SPAN, **attributes):
     value = lambda v: {"intValue": str(v)} if isinstance(v, int) else {"stringValue": v}
     return {"name": name, "endTimeUnixNano": "2000000000", "attributes": [{"key": k.replace("__", "."), "value": value(v)} for k, v in attributes.items()]}
