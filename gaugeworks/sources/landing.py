@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,5 +28,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     """`rows` dealt out by keys to as many tasks as the session shuffles to. For tasks that do
-    far more for a row than its bytes tell: with no number given, AQE makes one task of them."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    far more for a row than its bytes tell: with no number given AQE makes one task of them,
+    and by the bare keys the shuffle is left out where an earlier one, which AQE may coalesce,
+    is by the same."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))

@@ -111,7 +111,8 @@ def test_shares_of_a_root(tmp_path):
 
 def test_work_is_dealt_out(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert landing.dealt(spark.range(50).distinct(), "id").rdd.getNumPartitions() == n
+    told = landing.dealt(spark.range(50).distinct(), "id").mapInArrow(lambda batches: batches, "id bigint")
+    assert told.rdd.getNumPartitions() == n
 
 
 def test_line_numbers_over_blocks(spark, tmp_path):

@@ -99,6 +99,15 @@ def test_discovery_lists_in_tasks(spark, tmp_path):
     assert "binaryFile" not in found._jdf.queryExecution().toString()
 
 
+def test_fingerprints_are_dealt_out(spark, tmp_path):
+    for i in range(8):
+        (tmp_path / f"{i}.jsonl").write_text("x\n" * i)
+    found = logs.discovered(spark, [str(tmp_path)])
+    got = logs.fingerprinted(found, found.selectExpr("file", "length"))
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len({r["fingerprint"] for r in got.collect()}) == 8
+
+
 def _span(name=spans.SPAN, **attributes):
     value = lambda v: {"intValue": str(v)} if isinstance(v, int) else {"stringValue": v}
     return {"name": name, "endTimeUnixNano": "2000000000", "attributes": [{"key": k.replace("__", "."), "value": value(v)} for k, v in attributes.items()]}
