@@ -46,13 +46,19 @@ def sensitive(doc: Column) -> Column:
     written anew from its VARIANT, which leaves no escaped letters and no blanks."""
     keys = F.regexp_extract_all(F.to_json(doc), F.lit(r'(?<!\\)"key":"((?:[^"\\]|\\.)*)"'), F.lit(1))
     parts = "|".join(sorted({p.replace(".", "_").replace(" ", "_") for p in SENSITIVE}))
-    return F.exists(keys, lambda k: normal_key(k).rlike(parts) | normal_key(k).rlike("^(code|auth)$|^auth_|_auth$"))
+    return F.exists(F.array_distinct(keys), lambda k: normal_key(k).rlike(f"{parts}|^(code|auth)$|^auth_|_auth$"))
+
+
+def _object(value: Column) -> Column:
+    """Whether a VARIANT is an object. Its type's name would tell, but that is made of the types
+    of all that the object holds, at every level anew."""
+    return F.try_variant_get(value, "$", _MAP).isNotNull()
 
 
 def _objects(value: Column, path: str) -> Column:
     """The objects of the array at a path; null if it is no array of objects."""
     found = F.try_variant_get(value, path, "array<variant>")
-    return F.when(F.forall(found, lambda x: variant_kind(x).startswith("OBJECT")), found)
+    return F.when(F.forall(found, _object), found)
 
 
 def _each(df: DataFrame, found: Column, place: str, name: str) -> DataFrame:
@@ -66,7 +72,7 @@ def _judged(bodies: DataFrame) -> DataFrame:
     if "received_us" not in bodies.columns:
         bodies = bodies.withColumn("received_us", F.lit(None).cast("bigint"))
     read = bodies.select("batch_id", "received_us", (F.octet_length("body") > MOST_BYTES).alias("large"), F.try_parse_json("body").alias("doc"))
-    read = read.withColumn("resources", F.when(variant_kind(F.col("doc")).startswith("OBJECT"), _objects(F.col("doc"), "$.resourceSpans")))
+    read = read.withColumn("resources", F.when(_object(F.col("doc")), _objects(F.col("doc"), "$.resourceSpans")))
     whole = F.when(F.col("large"), "REJECTED_BATCH_SIZE").when(F.col("resources").isNull(), "INVALID_OTLP_JSON").when(sensitive(F.col("doc")), "REJECTED_CONTENT_FIELD")
     told = read.select("batch_id", "received_us", whole.alias("whole"), F.when(whole.isNull(), F.col("resources")).alias("resources"))
 
@@ -77,33 +83,33 @@ def _judged(bodies: DataFrame) -> DataFrame:
     target = F.coalesce(variant_text(F.try_variant_get("span", "$.name", "variant")) == SPAN, F.lit(False))
     place = F.struct(*[F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in "ijk"])
     rows = rows.where(F.col("whole").isNotNull() | trace | target).select("batch_id", "received_us", "whole", place.alias("place"), trace.alias("trace"), target.alias("target"), "span", _objects(F.col("span"), "$.attributes").alias("attributes"))
-    nth = F.sum(F.col("target").cast("int")).over(Window.partitionBy("batch_id").orderBy("place"))
-    rows = rows.withColumn("nth", nth)
 
-    entry = lambda a: F.try_variant_get(a, "$", _MAP)
-    key = lambda a: F.try_variant_get(a, "$.key", "variant")
-    listed = F.forall("attributes", lambda a: (F.size(entry(a)) == 2) & (variant_kind(key(a)) == "STRING") & F.map_contains_key(entry(a), "value") & variant_text(key(a)).isin(*ALLOWED))
-    pairs = F.transform("attributes", lambda a: F.struct(variant_text(key(a)).alias("key"), F.try_variant_get(a, "$.value", _MAP).alias("value")))
-    rows = rows.withColumn("listed", listed).withColumn("pairs", F.when(F.col("listed"), pairs))
-    single = F.forall("pairs", lambda p: F.coalesce(F.size(p["value"]) == 1, F.lit(False))) & (F.size(F.array_distinct("pairs.key")) == F.size("pairs"))
+    # Each attribute is read once, and its fields are taken before the shuffle: a VARIANT of a part has the names of its whole body with it.
+    rows = rows.withColumn("entries", F.transform("attributes", lambda a: F.try_variant_get(a, "$", _MAP)))
+    listed = F.forall("entries", lambda e: (F.size(e) == 2) & (variant_kind(e["key"]) == "STRING") & F.map_contains_key(e, "value") & variant_text(e["key"]).isin(*ALLOWED))
+    rows = rows.withColumn("listed", listed)
+    pairs = F.transform("entries", lambda e: F.struct(variant_text(e["key"]).alias("key"), F.map_values(F.try_variant_get(e["value"], "$", _MAP)).alias("values")))
+    rows = rows.withColumn("pairs", F.when(F.col("listed"), pairs))
+    single = F.forall("pairs", lambda p: F.coalesce(F.size(p["values"]) == 1, F.lit(False))) & (F.size(F.array_distinct("pairs.key")) == F.size("pairs"))
 
     def having(name: str) -> Column:
-        held = F.get(F.filter("pairs", lambda p: p["key"] == name), F.lit(0))["value"]
-        return F.get(F.map_values(held), F.lit(0))
-
-    def text(field: str) -> Column:
-        return F.coalesce(*[variant_text(having(k)) for k in ALIASES[field]])
+        return F.get(F.get("pairs.values", F.array_position("pairs.key", name).cast("int") - 1), F.lit(0))
 
+    named = {k: f"__{i}" for i, k in enumerate(k for keys in ALIASES.values() for k in keys)}
+    rows = rows.withColumns({c: having(k) for k, c in named.items()})
+    held = lambda field: [F.col(named[k]) for k in ALIASES[field]]
+    text = lambda field: F.coalesce(*map(variant_text, held(field)))
     fields = rows.select(
-        "batch_id", "place", "whole", "trace", "target", "nth", "attributes", "listed", F.coalesce(single, F.lit(False)).alias("single"),
-        text("request_id").alias("request_id"), text("model").alias("model_raw"), variant_number(having("duration_ms")).alias("duration_ms"), variant_number(having("ttft_ms")).alias("ttft_ms"),
-        variant_integer(F.coalesce(*[having(k) for k in ALIASES["output"]])).alias("output_total"), variant_integer(having("attempt")).alias("attempt"),
+        "batch_id", "place", "whole", "trace", "target", F.col("attributes").isNotNull().alias("attributes"), "listed", F.coalesce(single, F.lit(False)).alias("single"),
+        text("request_id").alias("request_id"), text("model").alias("model_raw"), variant_number(*held("duration_ms")).alias("duration_ms"), variant_number(*held("ttft_ms")).alias("ttft_ms"),
+        variant_integer(F.coalesce(*held("output"))).alias("output_total"), variant_integer(*held("attempt")).alias("attempt"),
         F.coalesce(nanos_to_micros(F.try_variant_get("span", "$.endTimeUnixNano", "string")), F.col("received_us")).alias("observed_us"),
     )
+    fields = fields.withColumn("nth", F.sum(F.col("target").cast("int")).over(Window.partitionBy("batch_id").orderBy("place")))
     made = (F.col("request_id") != "") & (F.col("model_raw") != "") & (F.col("duration_ms") > 0) & F.col("ttft_ms").between(F.lit(0), F.col("duration_ms")) & (F.col("output_total") >= 0) & (F.col("attempt") >= 1)
     code = (
         F.when(F.col("whole").isNotNull(), F.col("whole")).when(F.col("trace"), "UNSUPPORTED_REQUEST_TRACE").when(F.col("nth") > MOST_SPANS, "REJECTED_BATCH_SIZE")
-        .when(F.col("attributes").isNull(), "INVALID_REQUEST_FIELDS").when(~F.coalesce("listed", F.lit(False)), "REJECTED_UNALLOWLISTED_FIELD")
+        .when(~F.col("attributes"), "INVALID_REQUEST_FIELDS").when(~F.coalesce("listed", F.lit(False)), "REJECTED_UNALLOWLISTED_FIELD")
         .when(~F.col("single") | ~F.coalesce(made, F.lit(False)), "INVALID_REQUEST_FIELDS").when(~(bounded_identity(F.col("request_id")) & bounded_identity(F.col("model_raw"))), "REJECTED_FIELD_VALUE")
     )
     return fields.withColumn("code", code)

@@ -188,6 +188,15 @@ def test_rejections_read_attributes_once(spark):
     assert reads(spans.rejections(bodies)) <= reads(spans._judged(bodies))
 
 
+def test_fields_are_read_before_the_shuffle(spark):
+    """What is grouped by batch has numbers and texts, no VARIANT of a span."""
+    bodies = spark.createDataFrame([("b", "{}", 1)], "batch_id string, body string, received_us bigint")
+    for df in (spans._judged(bodies), spans.decoded(bodies)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        first = max(i for i, line in enumerate(plan) if "Window [" in line)
+        assert not [line for line in plan[:first] if "variant_get" in line]
+
+
 def test_packed_logs_read_like_files(spark, tmp_path):
     texts = {"rollout-2026-04-15T12-00-00-0190.jsonl": ['{"type":"world_state"}', "", "é not json", "x"], "b.jsonl": ["[1]", "y" * logs.LONGEST_LINE]}
     for log, lines in texts.items():
